@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = saved(edges.join(to("src", "a"), "src").join(to("dst", "b"), "dst").where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         if edges.isEmpty():
             return labels
+
+
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each member to the first member of its component: as connected as the pairs, at most n of them."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if (label == before).all():
+            break
+    child = np.flatnonzero(label != np.arange(n))
+    return child, label[child]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm.common import byte_slices, saved, text_buffer
-from tidewire.llm.components import components
+from tidewire.llm.components import components, stars
 
 SHINGLE, SEED, BITS = 3, 42, 64
 #: Different fingerprints of one top node that one tile holds from each side.
@@ -112,20 +112,6 @@ def close_pairs(x: np.ndarray, k: int, fan: int = 4) -> tuple[np.ndarray, np.nda
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (a[:0], b[:0])
 
 
-def _stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each member to the first member of its component: as connected as the pairs, at most n of them."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (label == before).all():
-            break
-    child = np.flatnonzero(label != np.arange(n))
-    return child, label[child]
-
-
 def _linked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Links inside each group of a partition whose rows are (g1, g2, g3, fp)."""
     cols = [[], [], [], []]
@@ -155,7 +141,7 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         dst.append(fp[at])
     for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
         x = fp[s : s + n]
-        i, j = _stars(*close_pairs(x, k), int(n))
+        i, j = stars(*close_pairs(x, k), int(n))
         src.append(x[i])
         dst.append(x[j])
     if src:
