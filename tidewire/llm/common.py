@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +57,32 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Ite
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``saved``, as compressed Parquet below the shared checkpoint folder: for larger tables."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bit maps of ``may_match``: so many of 4 KB each, whatever the number of rows.
+BITMAPS = 1024
+
+
+def may_match(rows: DataFrame, of: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose 64-bit hash ``of`` may be among ``wanted`` (one column): no row that is there gets lost.
+
+    A bit map of a fixed 4 MB is broadcast. With ever more wanted hashes it lets ever more other rows pass; a join
+    decides about them.
+    """
+    bucket = lambda h: F.pmod(h, F.lit(BITMAPS))
+    bit = lambda h: F.pmod(F.shiftright(h, 16), F.lit(4096 * 8)).cast("long")
+    h = F.col(wanted.columns[0])
+    maps = wanted.select(bucket(h).alias("_bucket"), bit(h).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = rows.withColumn("_of", of).withColumn("_bucket", bucket(F.col("_of"))).join(F.broadcast(maps), "_bucket")
+    at = bit(F.col("_of"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    shift = F.call_function("shiftright", byte, (at % 8).cast("int"))
+    return marked.where(shift.bitwiseAND(F.lit(1)) == 1).select(*rows.columns)

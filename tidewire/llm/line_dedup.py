@@ -13,9 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidewire.llm.common import saved
+from tidewire.llm.common import may_match, stored
 
 #: With fewer words one edit would go below a similarity of 0.8; shorter lines are only compared for equality.
 MIN_WORDS = 5
@@ -33,71 +32,59 @@ def line_words(line: Column) -> Column:
     return F.split(trimmed(F.lower(line)), r"\s+")
 
 
-def _xor_before(column: str) -> Column:
-    """XOR of the column over the rows before this one in its line."""
-    w = W.partitionBy("line").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(F.bit_xor(column).over(w), F.lit(0).cast("long"))
-
-
 def _variants(lines: DataFrame) -> DataFrame:
-    """(variant, line, at, deleted) of lines (line: hash, words): the words before a gap and those after it.
+    """(variant, line, at, deleted) of lines (line: hash, words): a gap at place ``at``, one word deleted there or not.
 
-    A word counts by its place from the start before the gap and from the end after it, so that XORs of running sums
-    describe a variant without building its text.
+    The key hashes the number of words left, the gap's place and the words left in any order (an XOR), so a line's
+    variants cost one step each; whoever shares a key is compared by the words in order afterwards.
     """
-    words = lines.select("line", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    hashed = words.select("line", "n", "at", F.xxhash64("word", "at", F.lit("start")).alias("s"), F.xxhash64("word", F.col("n") - F.col("at"), F.lit("end")).alias("e"))
-    summed = hashed.select("line", "n", "at", "s", "e", _xor_before("s").alias("before"), _xor_before("e").alias("e_before"), F.bit_xor("e").over(W.partitionBy("line")).alias("e_all"))
-    after_with = F.col("e_all").bitwiseXOR(F.col("e_before"))  # this word and those after it
-    after = after_with.bitwiseXOR(F.col("e"))
-    key = lambda size, at, left, right: F.xxhash64(size.cast("int"), at.cast("int"), left, right)
-    both = F.array(
-        F.struct(key(F.col("n") - 1, F.col("at"), F.col("before"), after).alias("variant"), F.col("at").alias("at"), F.lit(True).alias("deleted")),
-        F.struct(key(F.col("n"), F.col("at"), F.col("before"), after_with).alias("variant"), F.col("at").alias("at"), F.lit(False).alias("deleted")),
-    )
-    inner = summed.select("line", F.explode(both).alias("v")).select("v.variant", "line", "v.at", "v.deleted")
-    end = summed.where("at = n - 1").select(key(F.col("n"), F.col("n"), F.col("before").bitwiseXOR(F.col("s")), F.lit(0).cast("long")).alias("variant"), "line", F.col("n").alias("at"), F.lit(False).alias("deleted"))
-    return inner.unionByName(end)
+    hashed = lines.select("line", F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
+    summed = hashed.select("line", "hs", F.size("hs").alias("n"), F.aggregate("hs", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h)).alias("all"))
+    key = lambda size, at, left: F.xxhash64(size.cast("int"), at.cast("int"), left)
+    gone = F.transform("hs", lambda h, i: F.struct(key(F.col("n") - 1, i, F.col("all").bitwiseXOR(h)).alias("variant"), i.alias("at"), F.lit(True).alias("deleted")))
+    gaps = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(key(F.col("n"), i, F.col("all")).alias("variant"), i.alias("at"), F.lit(False).alias("deleted")))
+    return summed.select("line", F.explode(F.concat(gone, gaps)).alias("v")).select("v.variant", "line", "v.at", "v.deleted")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(line: hash of the words, first: struct of key and line_no, n: words, near: boolean) of each different line
     that is not blank; near: a near-duplicate of an earlier line."""
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line_no", "raw")).where(trimmed(F.col("raw")) != "")
-    split = lines.select("key", "line_no", line_words(F.col("raw")).alias("words"))
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("raws")).where("raws is not null")
+    lines = texts.select("key", "text_hash", F.posexplode("raws").alias("line_no", "raw")).where(trimmed(F.col("raw")) != "")
+    split = lines.select("key", "text_hash", "line_no", line_words(F.col("raw")).alias("words"))
     n = F.size("words")
     half = lambda q, side: F.when(n >= MIN_WORDS, F.xxhash64(F.lit(side), F.slice("words", F.lit(1) if side == "p" else n - q + 1, q)))
     q1, q2 = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
-    hashed = split.select("key", "line_no", F.xxhash64("words").alias("line"), n.alias("n"), half(q1, "p").alias("k0"), half(q1, "s").alias("k1"), F.when(q1 != q2, half(q2, "p")).alias("k2"), F.when(q1 != q2, half(q2, "s")).alias("k3"))
+    hashed = split.select("key", "text_hash", "line_no", F.xxhash64("words").alias("line"), n.alias("n"), half(q1, "p").alias("k0"), half(q1, "s").alias("k1"), F.when(q1 != q2, half(q2, "p")).alias("k2"), F.when(q1 != q2, half(q2, "s")).alias("k3"))
     ks = [f"k{i}" for i in range(4)]
-    classes = saved(hashed.groupBy("line").agg(F.min(F.struct("key", "line_no")).alias("first"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in ks]))
+    classes = stored(hashed.groupBy("line").agg(F.min(F.struct("key", "line_no", "text_hash")).alias("first"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in ks]))
     halves = classes.where(F.col("n") >= MIN_WORDS).select("line", F.explode(F.array_compact(F.array(*ks))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("half")
-    suspects = classes.join(halves.join(shared, "half", "left_semi").select("line").distinct(), "line", "left_semi").select("line", "first")
-    # The words of the suspects: from the documents in which they stand first.
-    wanted = suspects.groupBy(F.col("first.key").alias("key")).agg(F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "line")).alias("wanted"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    placed = texts.join(wanted, texts["key"].eqNullSafe(wanted["key"])).select(F.split("text", "\n", -1).alias("raw"), F.explode("wanted").alias("w"))
-    # Rows with one key: only the text that has the line at that place counts.
-    words = placed.select(F.col("w.line").alias("line"), line_words(F.get("raw", F.col("w.line_no"))).alias("words")).where(F.xxhash64("words") == F.col("line")).dropDuplicates(["line"])
-    suspects = saved(suspects.join(words, "line"))
-    variants = _variants(suspects).join(suspects.select("line", "first"), "line")
-    earliest = variants.groupBy("variant").agg(F.min(F.struct("first", "line", "at", "deleted")).alias("e"), F.count("*").alias("rows")).where("rows > 1").select("variant", "e")
-    pairs = variants.join(earliest, "variant").where("line != e.line").select("line", "at", "deleted", F.col("e.line").alias("other"), F.col("e.at").alias("o_at"), F.col("e.deleted").alias("o_deleted"))
-    other = suspects.select(F.col("line").alias("other"), F.col("words").alias("o_words"))
-    without = lambda w, at, gone: F.when(F.col(gone), F.concat(F.slice(w, F.lit(1), F.col(at)), F.slice(w, F.col(at) + 2, F.size(w)))).otherwise(F.col(w))
-    same = (F.col("at") == F.col("o_at")) & (without("words", "at", "deleted") == without("o_words", "o_at", "o_deleted"))
-    near = pairs.join(suspects.select("line", "words"), "line").join(other, "other").where(same).select("line").distinct().withColumn("near", F.lit(True))
+    suspects = stored(classes.join(halves.join(shared, "half", "left_semi").select("line").distinct(), "line", "left_semi").select("line", "first"))
+    # The suspects' words, from any of their rows: few other lines pass the bit map on the way to the join.
+    passed = may_match(lines.select(F.xxhash64(line_words(F.col("raw"))).alias("line"), "raw"), F.col("line"), suspects.select("line"))
+    suspects = stored(suspects.join(passed.groupBy("line").agg(F.min("raw").alias("raw")), "line").select("line", "first", line_words(F.col("raw")).alias("words")))
+    variants = _variants(suspects)
+    shared = variants.groupBy("variant").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("variant")
+    met = variants.join(shared, "variant", "left_semi").select("line", "at", "deleted")
+    without = lambda w, at, gone: F.when(gone, F.concat(F.slice(w, F.lit(1), at), F.slice(w, at + 2, F.size(w)))).otherwise(F.col(w))
+    ordered = stored(met.join(suspects, "line").select("line", "first", "at", "deleted", F.xxhash64("at", without("words", F.col("at"), F.col("deleted"))).alias("same")))
+    earliest = ordered.groupBy("same").agg(F.min(F.struct("first", "line", "deleted")).alias("e"))
+    pairs = ordered.join(earliest, "same").where("line != e.line").groupBy("line", F.col("e.line").alias("other")).agg(F.min(F.struct("at", "deleted", F.col("e.deleted").alias("o_deleted"))).alias("p"))
+    texts_of = lambda name, words: suspects.select(F.col("line").alias(name), F.col("words").alias(words))
+    # Equal words around one gap: one edit turns one line into the other.
+    verified = without("words", F.col("p.at"), F.col("p.deleted")) == without("o_words", F.col("p.at"), F.col("p.o_deleted"))
+    near = pairs.join(texts_of("line", "words"), "line").join(texts_of("other", "o_words"), "other").where(verified).select("line").distinct().withColumn("near", F.lit(True))
     return classes.select("line", "first", "n").join(near, "line", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
 def _judged(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Column, Column, Column]:
     """The rows with their lines and the line numbers that stay there."""
-    kept = line_classes(docs, key, text).where("not near").select("first.*", "line").groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("line_no", "line")).alias("_kept"))
-    held = docs.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left")
+    kept = line_classes(docs, key, text).where("not near").select("first.*").groupBy(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).agg(F.collect_list("line_no").alias("_kept"))
+    held = docs.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left")
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     blank = lambda x: trimmed(x) == ""
-    stays = lambda x, i: blank(x) | F.coalesce(F.array_contains("_kept", F.struct(i.alias("line_no"), F.xxhash64(line_words(x)).alias("line"))), F.lit(False))
+    stays = lambda x, i: blank(x) | F.coalesce(F.array_contains("_kept", i), F.lit(False))
     return held, lines, F.filter(lines, stays), F.size(F.filter(lines, lambda x: ~blank(x)))
 
 
@@ -105,7 +92,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs``, each with its text cut to the lines that stay, and n_lines and n_kept (lines not blank).
 
     Of equal lines and of near-duplicates (see the module) the earliest stays; order is by key (null first), then by
-    line. Blank lines stay and are not counted. A null text stays null. Rows that repeat key and text get one verdict.
+    line, then by a hash of the text. Blank lines stay and are not counted. A null text stays null. Rows that repeat key and text get one verdict.
     Columns of ``docs`` other than key and text pass through.
     """
     held, lines, stay, n = _judged(docs, key, text)
