@@ -1,0 +1,54 @@
+"""Text expressions: titles, tokens, redaction, language tests, keyword matches."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidewire.plans.dims import TITLE_STOPWORDS, VENDORS
+
+
+def first_line_title(text: Column, size: int = 80) -> Column:
+    return F.substring(F.split(text, "\n")[0], 1, size)
+
+
+def title_tokens(title: Column) -> Column:
+    """Distinct lower-case runs of ASCII letters and digits, or of two or more Han characters, but stop words."""
+    plain = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"https?://\S+", " ")
+    found = F.regexp_extract_all(plain, F.lit(r"([a-z0-9]+|[一-鿿]{2,})"), 1)
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(TITLE_STOPWORDS)))
+
+
+def vendors(title: Column) -> Column:
+    pairs = F.array(*[F.when(F.contains(F.lower(title), F.lit(a)), F.lit(v)) for a, v in VENDORS.items()])
+    return F.array_sort(F.array_distinct(F.array_compact(pairs)))
+
+
+def redact(text: Column) -> Column:
+    return F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[redacted-email]")
+
+
+def snippet(text: Column, size: int = 240) -> Column:
+    flat = F.trim(F.regexp_replace(redact(text), r"\s+", " "))
+    return F.when(F.length(flat) > size, F.concat(F.rtrim(F.substring(flat, 1, size - 1)), F.lit("…"))).otherwise(flat)
+
+
+def is_mostly_english(text: Column) -> Column:
+    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+    return ~text.rlike("[一-鿿]") & (letters >= F.greatest(F.lit(6), F.floor(F.length(text) / 4)))
+
+
+def matched(text: Column, terms: list[str]) -> Column:
+    """The distinct terms that occur in the text, sorted; overlapping terms all count."""
+    return F.filter(F.array(*[F.lit(t) for t in sorted(set(terms))]), lambda t: F.contains(text, t))
+
+
+def has_word(text: Column, terms: list[str]) -> Column:
+    """Whether a term occurs between ASCII word boundaries."""
+    return F.lower(text).rlike("(^|[^a-z0-9])(" + "|".join(terms) + ")([^a-z0-9]|$)")
+
+
+def fix_mojibake(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1, read again where that leaves valid text."""
+    again = F.try_to_binary(F.encode(text, "ISO-8859-1").cast("string"), F.lit("utf-8"))
+    return F.when(text.rlike("[ÃÂâ][\u0080-¿]"), F.coalesce(again.cast("string"), text)).otherwise(text)

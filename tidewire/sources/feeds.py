@@ -1,0 +1,54 @@
+"""Parsers over stored payload rows: feeds, subscription lists, search hits and pages become item rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _texts(xml: str, tag: str, entry: str) -> Column:
+    return F.expr(f"xpath({xml}, '//{entry}/{tag}/text()')")
+
+
+def feed_items(payloads: DataFrame, xml: str = "payload") -> DataFrame:
+    """(feed columns, pos, title, link, published) of RSS items and Atom entries; equal (title, link) of one payload once.
+
+    Default namespaces are cut from the text first, so that one path serves both kinds.
+    """
+    plain = payloads.withColumn("_xml", F.regexp_replace(xml, r'\sxmlns(:\w+)?="[^"]*"', ""))
+    entries = plain.withColumn("_e", F.regexp_extract_all("_xml", F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), 1))
+    one = entries.select(*[c for c in payloads.columns if c != xml], F.posexplode("_e").alias("pos", "_one"))
+    value = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("_one", rf"(?s)<{tag}[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1), r"\s+", " "))
+    link = F.coalesce(F.nullif(value("link"), F.lit("")), F.nullif(F.regexp_extract("_one", r'<link[^>]*href="([^"]*)"', 1), F.lit("")))
+    published = F.coalesce(*[F.nullif(value(t), F.lit("")) for t in ("pubDate", "published", "updated")])
+    rows = one.select(*[c for c in one.columns if c != "_one"], value("title").alias("title"), link.alias("link"), published.alias("published"))
+    keys = [c for c in rows.columns if c not in ("pos", "published")]
+    return rows.groupBy(*keys).agg(F.min("pos").alias("pos"), F.min_by("published", "pos").alias("published"))
+
+
+def subscriptions(payloads: DataFrame, xml: str = "payload") -> DataFrame:
+    """(title, xml_url, html_url) of a subscription list's outlines, each feed URL once."""
+    one = payloads.select(F.posexplode(F.regexp_extract_all(xml, F.lit(r"(<outline\s[^>]*>)"), 1)).alias("pos", "o"))
+    attr = lambda n: F.nullif(F.regexp_extract("o", rf'\s{n}="([^"]*)"', 1), F.lit(""))
+    rows = one.select("pos", F.coalesce(attr("title"), attr("text"), attr("xmlUrl")).alias("title"), attr("xmlUrl").alias("xml_url"), attr("htmlUrl").alias("html_url")).where("xml_url is not null")
+    return rows.groupBy("xml_url").agg(F.min_by("title", "pos").alias("title"), F.min_by("html_url", "pos").alias("html_url"))
+
+
+HITS = "struct<hits: array<struct<objectID: string, title: string, url: string, points: int, num_comments: int, created_at_i: long>>>"
+
+
+def search_hits(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Hits of a JSON search API, once by id, with at least 2 comments or 10 points, most discussed first."""
+    hit = payloads.select(F.explode(F.from_json(column, HITS)["hits"]).alias("h")).select("h.*").where("objectID is not null")
+    one = hit.groupBy("objectID").agg(F.max_by(F.struct("title", "url", "points", "num_comments", "created_at_i"), "num_comments").alias("h")).select("objectID", "h.*")
+    return one.where("num_comments >= 2 or points >= 10").orderBy(F.desc("num_comments"), F.desc("points"), F.desc("created_at_i"), "objectID")
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """(page_id, url, title, n_links) of HTML pages."""
+    title = F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1))
+    return pages.select("page_id", "url", title.alias("title"), F.size(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)).cast("long").alias("n_links"))
+
+
+def validated(raw: DataFrame) -> DataFrame:
+    return raw.where((F.trim("title") != "") & F.col("url").startswith("http"))
