@@ -5,10 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.functions import items as I
 from tidewire.functions import text as X
 from tidewire.functions import times, urls
-from tidewire.operators import archive, rank, scoring, stories
+from tidewire.operators import archive, gates, rank, scoring, stories, views
 from tidewire.plans import queries as Q
+from tidewire.plans import views as V  # noqa: F401 (registers its queries)
 from tidewire.sources import archive_files, feeds
 
 NOW = dt.datetime(2026, 6, 2, 12)
@@ -106,6 +108,34 @@ def test_feeds_and_archives(spark, tmp_path):
         assert {r.id for r in archive_files.read_archive(spark, str(tmp_path / name)).collect()} == (set() if name == "bad" else {"1", "2"})
 
 
+def test_item_columns(spark):
+    key = lambda t: one(spark, I.event_key(F.lit(t)))
+    assert key("新书《大模型的 故事》出版") == "book:大模型的故事"
+    assert key("GPT-5.2 is here") == "entity:gpt52" and key("A  b, C!") == "title:abc" and key(None) == "title:"
+    assert one(spark, I.metric_count(F.lit("x"), F.lit("1,204.9"))) == 1204 and one(spark, I.metric_count(F.lit("-3"))) == 0
+    assert one(spark, I.in_domains(F.lit("a.b.org"), ["b.org"])) and not one(spark, I.in_domains(F.lit("ab.org"), ["b.org"]))
+    assert one(spark, I.year_of(F.lit(12), F.lit(30), F.lit(dt.date(2026, 1, 2)))) == 2025
+    assert one(spark, I.source_type(F.lit(None).cast("string"), F.lit("user_opml"))) == "rss"
+    gate = lambda *a: tuple(one(spark, gates.run_gate(*[F.lit(x) for x in a])))
+    assert gate(True, 5, 12, 6) == (True, None) and gate(False, 0, 1, 3599) == (False, "before_run_interval")
+    assert gate(False, 0, 0, 3600) == (True, None)
+    first = lambda now: one(spark, gates.run_gate(F.lit(False), F.lit(None).cast("long"), F.lit(1), F.lit(now), 1, 10)).run
+    assert first(3600 + 600) and not first(3600 + 660) and not first(0)
+
+
+def test_views(spark):
+    rows = [(1, "a", True, 1.0, 1), (2, "a", True, 1.0, 2), (3, "a", True, 1.0, 3), (4, "b", True, 1.0, 4), (5, "a", False, 1.0, 5), (6, "c", True, 0.5, 6)]
+    table = spark.createDataFrame(rows, "id long, site_id string, badge boolean, hot double, place int")
+    seats = lambda n: [r.id for r in views.featured(table, n).orderBy("seat").collect()]
+    # 3 gives way to its equal 4; 5 doesn't, as the next row of another source is hotter or cooler
+    assert seats(4) == [1, 2, 4, 5, 3, 6] and seats(2) == [1, 2, 3, 4, 5, 6]
+    assert views.featured(table.limit(0)).count() == 0
+    keyed = spark.createDataFrame([(1, ["x", "y"]), (2, ["z"]), (3, None), (4, [])], "story_id long, identity_keys array<string>")
+    assert {r.story_id for r in views.unseen(keyed, keyed.where("story_id = 1")).collect()} == {2, 3, 4}
+    items = spark.createDataFrame([(1, "s", "u", "plain", 1), (2, "s", "u", "more", 9), (3, "s", "u", "plain", 1), (4, "s", "", "plain", 1), (5, None, "u", "more", 1)], "id long, site_id string, url_key string, title string, ts long")
+    assert {r.id for r in views.one_per_url(items, "s", F.col("title") == "more").collect()} == {3, 5}
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
