@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokens", tokens)]
 
-#: Learning, fingerprints and token ids are not expressible in SQL; the operators' tests cover the stages one by one.
+#: Learning, fingerprints and token ids are not expressible in SQL; a test holds run() against a plain version.
 ORACLE_SQL = None
 
 
