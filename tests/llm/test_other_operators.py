@@ -238,6 +238,32 @@ def test_passages_of_documents_are_found_and_clean_ones_left(spark):
     assert substring_dedup.near_passages(frame.limit(0)).count() == 0
 
 
+def test_passages_the_first_and_last_holders_of_a_phrase_lack(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    noise = lambda n: [word() for _ in range(n)]
+    docs, truth = {i: [] for i in range(40)}, set()
+    for n in range(8):
+        phrase = noise(18)
+        first, second = ([*noise(30), *phrase, *noise(30)] for _ in range(2))
+        for i, middle in enumerate([[]] * 4 + [first] * 2 + [second] * 3 + [[]] * 4):
+            docs[(n + i) % 40] += noise(5) + (middle or noise(40) + phrase + noise(40)) + noise(5)
+        truth |= {(n + 5, n + 4), (n + 7, n + 6), (n + 8, n + 6)}
+    rows = [(i, " ".join(w)) for i, w in docs.items()]
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # pairs that share a long passage, by brute force
+    held = {i: {tuple(w[j : j + 50]) for j in range(len(w) - 49)} for i, w in docs.items()}
+    share = {(a, b) for a in held for b in held if a > b and held[a] & held[b]}
+    assert truth <= share and got <= share and truth <= got
+
+
+def test_equal_intervals_have_equal_hashes():
+    values = np.random.default_rng(1).integers(0, 3, 300).astype(np.uint64)
+    lo = np.arange(0, 290)
+    got = substring_dedup.interval_hashes(values, lo, lo + 3)
+    assert len(set(got.tolist())) == len({tuple(values[i : i + 4].tolist()) for i in lo})
+
+
 def test_passages_with_one_word_inserted(spark):
     rng = random.Random(12)
     rows, _ = planted_passages(rng, [])

@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
+def powers_to(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_R, _R_INVERSE)):
             steps = np.full(n, base, np.uint64)
@@ -38,7 +38,7 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
-    up, down = _powers_to(len(data) + 1)
+    up, down = powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts])
