@@ -1,6 +1,7 @@
 """Operators on small inline rows, mirroring the documented cases, and plan checks."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tidewire.functions import times, urls
 from tidewire.operators import archive, gates, rank, scoring, stories, views
 from tidewire.plans import queries as Q
 from tidewire.plans import views as V  # noqa: F401 (registers its queries)
-from tidewire.sources import archive_files, feeds
+from tidewire.sources import archive_files, feeds, published
 
 NOW = dt.datetime(2026, 6, 2, 12)
 
@@ -61,7 +62,7 @@ def test_upsert_and_prune(spark):
 
 def test_cascade_order(spark):
     get = lambda t: one(spark, scoring.relevance(F.lit(t), F.lit(0.0)))
-    assert get("openai casino bonus").label == "unsafe_content"
+    assert get("openai nsfw uncensored pictures").label == "unsafe_content" and get("openai on nsfw rules").related
     assert get("how to use gpt").label == "tutorial_excluded"
     assert get("football results").label == "not_ai" and get("football results").score == 0
     kept = get("openai ships gpt benchmark")
@@ -136,6 +137,65 @@ def test_views(spark):
     assert {r.id for r in views.one_per_url(items, "s", F.col("title") == "more").collect()} == {3, 5}
 
 
+def test_site_rules_come_before_the_cascade(spark):
+    cases = [
+        (("buzzing", "Hacker News", "OpenAI ships GPT", "x.example", 0.0), ("source_scope_drop", False, 0.1)),
+        (("iris", "flow", "OpenAI ships GPT", "www.v2ex.com", 0.0), ("source_scope_drop", False, 0.1)),
+        (("iris", "flow", "OpenAI ships it", "nov2ex.com", 0.0), ("ai_product_update", True, 0.65)),
+        (("iris", "flow", "How to prompt GPT", None, 0.0), ("tutorial_excluded", False, 0.15)),
+        (("iris", "flow", "Here's how to stop an AI from using photos", None, 0.0), ("ai_general", True, 0.65)),
+        (("iris", "flow", "Patter SDK guide to building agents", None, 0.0), ("tutorial_excluded", False, 0.15)),
+        (("zeli", "zeli 24h", "anything", None, 0.0), ("curated_hotlist", True, 0.65)),
+        (("zeli", "zeli new", "GPT", None, 0.0), ("source_scope_drop", False, 0.2)),
+        (("tophub", "淘宝 · 热销总榜", "GPT", None, 0.0), ("noise", False, 0.05)),
+        (("tophub", "somewhere", "GPT", None, 0.0), ("source_scope_drop", False, 0.12)),
+        (("aibase", "s", "plain title", None, 0.45), ("ai_general", True, 1.0)),
+        (("curated_media", "MarkTechPost Research", "A quiet day", None, 0.18), ("source_scope_drop", False, 0.22)),
+        (("curated_media", "Daily", "A quiet day", None, 0.18), ("source_scope_drop", False, 0.18)),
+        (("curated_media", "TechCrunch AI", "Startup raises a seed round", None, 0.18), ("industry_business", True, 0.76)),
+        (("other", "s", "plain title", None, 0.0), ("not_ai", False, 0.0)),
+        ((None, None, None, None, 0.0), ("not_ai", False, 0.0)),
+        (("other", "s", "AI for gardens", None, 0.0), ("ai_general", True, 0.65)),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, site string, source string, title string, host string, prior double")
+    c = F.col
+    got = rows.select("i", scoring.site_relevance(c("site"), c("source"), c("title"), F.lit("Site"), c("host"), c("prior")).alias("r")).orderBy("i").collect()
+    assert [(r.r.label, r.r.related, round(r.r.score, 4)) for r in got] == [want for _, want in cases]
+
+
+def test_relative_times_of_clocks_and_dates(spark):
+    now = F.lit("2026-01-10 08:00:00").cast("timestamp")
+    at = lambda text: str(one(spark, F.struct(times.relative(F.lit(text), now).cast("string").alias("t"))).t)
+    assert at("今天 07:30") == "2026-01-10 07:30:00" and at("08:05") == "2026-01-10 08:05:00" and at("23:10") == "2026-01-09 23:10:00"
+    assert at("12月30日") == "2025-12-30 00:00:00" and at("2024年1月3日") == "2026-01-03 00:00:00" and at("2月30日") == "None"
+    assert at("昨天 10:00") == "2026-01-09 08:00:00" and at("25:00") == "None" and at("") == "None"
+
+
+def test_hosted_payloads(spark):
+    load = lambda text: spark.createDataFrame([(text,), (None,), ("broken",)], "payload string")
+    item = lambda **k: {"title": "t", "url": "https://a.b/c", "score": 70, **k}
+    items = [item(), item(url="https://a.b/c?utm_source=x", title="copy"), item(score=59, url="https://low"), item(score=True, url="https://bool"), item(title=" ", title_en="English", url="https://en"), item(url="")]
+    got = {(r.url, r.title, r.score, r.source) for r in published.scored_items(load(json.dumps({"items": items}))).collect()}
+    assert got == {("https://a.b/c", "t", 70.0, "AI HOT"), ("https://en", "English", 70.0, "AI HOT")}
+    feeds = {"x": [{"name": "", "handle": "h", "tweets": [{"text": "a\n b" + "c" * 300, "url": "u1", "createdAt": "2026"}, {"text": "", "url": "u2", "createdAt": "2026"}]}], "blogs": [{"title": "b", "url": "u3"}], "podcasts": [{"name": "P", "title": "", "url": "u4"}], "generatedAt": "2025"}
+    got = {(r.source, len(r.title), r.url, r.published) for r in published.builder_items(load(json.dumps(feeds))).collect()}
+    assert got == {("Follow Builders · X · h", 220, "u1", "2026"), ("Follow Builders · Blog · Blog", 1, "u3", "2025")}
+    page = "Jan 5, 2026 • 3 min read ### **One  title** x](https://aibreakfast.beehiiv.com/p/one) Jan 5, 2025 • 3 min read ### **Old** x](https://aibreakfast.beehiiv.com/p/old)"
+    rows = published.newsletter_items(load(page), F.lit("2026-01-10").cast("timestamp")).collect()
+    assert [(r.title, r.url, str(r.published)) for r in rows] == [("One title", "https://aibreakfast.beehiiv.com/p/one", "2026-01-05 00:00:00")]
+
+
+def test_feed_addresses(spark):
+    feed = lambda u: tuple(one(spark, published.resolved_feed(F.lit(u))))
+    assert feed(" https://rsshub.app/sspai/index ") == ("https://sspai.com/feed", "official_replacement") and feed("https://a/rss") == ("https://a/rss", None)
+    assert feed("https://flak.tedunangst.com/rss") == (None, "no_official_rss_or_unreachable") and feed("https://rsshub.app/zhihu/x") == (None, "no_official_rss_for_source_type") and feed(None) == (None, "empty_url")
+    page = lambda u, h: one(spark, F.struct(published.public_page(F.lit(u), F.lit(h)).alias("p"))).p
+    assert tuple(page("https://rsshub.app/telegram/channel/abc", "")) == ("telegram", "abc", "https://t.me/s/abc")
+    assert tuple(page("", "https://m.okjike.com/users/q/")) == ("jike_user", "q", "https://m.okjike.com/users/q/") and page("https://a/b", None) is None
+    allowed = lambda title, words, strict=False: one(spark, F.struct(published.allowed_entry(F.lit(title), F.lit("https://ai.x"), F.lit("feed"), words, strict).alias("p"))).p
+    assert allowed("paid", ["ai"]) and not allowed("paid", ["AI"], True) and allowed("an AI", ["ai"], True) and allowed("x", [])
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 

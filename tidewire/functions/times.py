@@ -22,8 +22,26 @@ def epoch(value: Column) -> Column:
 
 
 def relative(text: Column, now: Column) -> Column:
-    """'N minutes/hours/days ago' in English or Chinese, 'just now', 'yesterday'; else null."""
-    n = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("int")
+    """'N minutes/hours/days ago' in English or Chinese, 'just now', 'yesterday', a clock time of today ('HH:MM'), or a
+    month and day in Chinese; else null. A clock time over 5 minutes ahead is yesterday's, a date over 2 days ahead last
+    year's; a year before the month doesn't count. The first of these that fits decides; clocks are read in UTC."""
+    text = F.trim(text)
+    n = lambda p, i=1: F.nullif(F.regexp_extract(text, p, i), F.lit("")).cast("int")
     back = lambda c, unit: now - F.make_dt_interval(**{unit: c})
     minutes, hours, days = n(r"(\d+)\s*(?:分钟|minutes? ago)"), n(r"(\d+)\s*(?:小时|hours? ago)"), n(r"(\d+)\s*(?:天|days? ago)")
-    return F.when(text.rlike("刚刚|just now"), now).when(minutes.isNotNull(), back(minutes, "mins")).when(hours.isNotNull(), back(hours, "hours")).when(days.isNotNull(), back(days, "days")).when(text.rlike("昨天|yesterday"), back(F.lit(1), "days"))
+    clock, date = r"^(?:今天)?\s*(\d{1,2}):(\d{2})$", r"^(?:\d{4}年\s*)?(\d{1,2})月(\d{1,2})日$"
+    midnight = F.date_trunc("day", now)
+    at = F.when((n(clock) < 24) & (n(clock, 2) < 60), midnight + F.make_dt_interval(hours=n(clock), mins=n(clock, 2)))
+    day = lambda year: F.try_make_timestamp(year, n(date), n(date, 2), F.lit(0), F.lit(0), F.lit(0))
+    this = day(F.year(now))
+    return (
+        F.when(minutes.isNotNull(), back(minutes, "mins"))
+        .when(hours.isNotNull(), back(hours, "hours"))
+        .when(days.isNotNull(), back(days, "days"))
+        .when(text.rlike("刚刚|just now"), now)
+        .when(text.rlike("昨天|yesterday"), back(F.lit(1), "days"))
+        .when(at > now + F.make_dt_interval(mins=F.lit(5)), at - F.make_dt_interval(days=F.lit(1)))
+        .when(at.isNotNull(), at)
+        .when(this > now + F.make_dt_interval(days=F.lit(2)), day(F.year(now) - 1))
+        .otherwise(this)
+    )

@@ -13,7 +13,11 @@ from tidewire.plans.dims import KEEP_AT
 
 @dataclass(frozen=True)
 class Rules:
-    """The terms of a relevance cascade; the engine's rules are data, so tests use a dictionary of their own."""
+    """The terms of a relevance cascade; the engine's rules are data, so tests use a dictionary of their own.
+
+    Terms match anywhere; ``words`` and ``broad_words`` between word boundaries. ``unsafe`` and ``promo`` are patterns:
+    one of the former or two of the latter make a text unsafe. ``tutorial`` opens a title, ``tutorial_inside`` is in it.
+    """
 
     signal: list[str]
     broad: list[str]
@@ -23,17 +27,29 @@ class Rules:
     unsafe: list[str]
     tutorial: list[str]
     labels: list[tuple[str, list[str]]] = field(default_factory=list)
+    words: list[str] = field(default_factory=list)
+    broad_words: list[str] = field(default_factory=list)
+    promo: list[str] = field(default_factory=list)
+    tutorial_inside: list[str] = field(default_factory=list)
 
 
 # The rules for news about artificial intelligence.
 NEWS = Rules(
-    signal=["a.i.", "agent view", "agent skills", "for agents", "cursor", "aigc", "llm", "gpt", "claude", "gemini", "deepseek", "openai", "anthropic", "copilot", "codex", "mcp", "hugging face", "huggingface", "transformer", "prompt", "diffusion", "多模态", "语言模型", "大模型", "人工智能", "机器学习", "深度学习", "智能体", "算力", "推理", "微调"],
+    signal=[
+        "a.i.", "agent view", "agent skills", "for agents", "parallel agent", "并行 agent", "known agents", "hermes-agent", "agentmemory", "cursor", "aigc", "llm", "gpt", "claude", "gemini", "deepseek", "openai", "anthropic", "copilot", "codex", "mcp", "hugging face", "huggingface", "transformer", "prompt", "diffusion",
+        "多模态", "交互模型", "变换器", "语言模型", "视觉语言模型", "基础模型", "本地模型", "具身智能", "大模型", "人工智能", "机器学习", "深度学习", "智能体", "算力", "推理", "微调",
+        "人工智慧", "機器學習", "深度學習", "大型語言模型", "語言模型", "生成式人工智慧", "生成式ai", "智慧體", "智能體", "多模態", "基礎模型", "視覺語言模型", "具身智慧", "演算法", "微調", "神經網路",
+    ],
+    words=["ai", "aigc", "llm", "gpt", "openai", "anthropic", "deepseek", "gemini", "claude", "robot", "robotics", "embodied", "autonomous", "machine learning", "artificial intelligence", "transformer", "diffusion"],
     broad=["agent", "模型", "推理"],
-    tech=["robot", "robotics", "embodied", "autonomous", "vision", "chip", "semiconductor", "cuda", "npu", "gpu", "cloud", "developer", "benchmark", "dataset", "eval", "evaluation", "sandbox", "context", "开源", "技术", "编程", "软件", "沙箱", "上下文", "芯片", "机器人", "具身"],
+    broad_words=["agent"],
+    tech=["robot", "robotics", "embodied", "autonomous", "vision", "chip", "semiconductor", "cuda", "npu", "gpu", "cloud", "developer", "benchmark", "dataset", "eval", "evaluation", "sandbox", "context", "开源", "技术", "编程", "软件", "沙箱", "上下文", "芯片", "机器人", "具身", "開源", "技術", "編程", "程式設計", "軟體", "晶片", "機器人"],
     noise=["娱乐", "明星", "八卦", "足球", "篮球", "彩票", "情感", "旅游", "美食"],
     commerce=["淘宝", "天猫", "京东", "拼多多", "券后", "热销总榜", "促销", "优惠", "补贴", "下单", "首发价"],
-    unsafe=["casino bonus", "adult video"],
-    tutorial=["how to", "tutorial", "step by step"],
+    unsafe=[r"\bcreampie\b", r"\bblowjob\b", r"\bsuck (?:your|my) (?:dick|cock)\b", "中出|婊子|吸你的鸡鸡|操虚拟女友"],
+    promo=[r"\b(?:nsfw|nudes?|porn(?:ography)?)\b", r"\buncensored pictures?\b", r"\bvirtual girlfriends?\b", r"\bknock her up\b", "未经审查的图片|虚拟女友|色情内容|成人内容"],
+    tutorial=["how to", "guide to", "tutorial", "hands-on", "step-by-step", "a coding guide"],
+    tutorial_inside=["使用教學", "使用教学", "教學文", "教学文", "入門教學", "入门教学", "新手教學", "新手教学", "保姆級", "保姆级", "教程", "手把手", "實作指南", "实作指南", "sdk guide", "coding guide"],
     labels=[
         ("model_release", ["model", "gpt", "claude", "gemini", "deepseek", "llm", "模型", "大模型", "发布", "release"]),
         ("developer_tool", ["copilot", "codex", "mcp", "api", "sdk", "developer", "开发者", "编程", "代码", "coding"]),
@@ -59,20 +75,125 @@ def label(text: Column, rules: Rules, has_tech: Column) -> Column:
     return rest if out is None else out.otherwise(rest)
 
 
-def relevance(text: Column, prior: Column, rules: Rules = NEWS) -> Column:
+def is_unsafe(text: Column, rules: Rules) -> Column:
+    hits = sum((text.rlike(p).cast("int") for p in rules.promo), F.lit(0))
+    hard = text.rlike("|".join(rules.unsafe)) if rules.unsafe else F.lit(False)
+    return hard | (hits >= 2)
+
+
+def is_tutorial(title: Column, rules: Rules) -> Column:
+    """Whether a lower-cased title opens with a tutorial's phrase or holds one of the unmistakable ones."""
+    opens = F.trim(title).rlike(r"^(" + "|".join(rules.tutorial) + r")\b") if rules.tutorial else F.lit(False)
+    return opens | any_of(title, rules.tutorial_inside)
+
+
+def has_signal(text: Column, rules: Rules) -> Column:
+    """Whether a lower-cased text holds a term of the subject other than a broad one."""
+    narrow = any_of(text, [t for t in rules.signal if t not in rules.broad])
+    return narrow | has_word(text, rules.words) if rules.words else narrow
+
+
+def has_broad(text: Column, rules: Rules) -> Column:
+    words = rules.words + rules.broad_words
+    return any_of(text, rules.broad) | has_word(text, words) if words else any_of(text, rules.broad)
+
+
+def verdict(score: Column, name: Column | str, related: Column | bool) -> Column:
+    name, related = (F.lit(x) if isinstance(x, str | bool) else x for x in (name, related))
+    return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), name.alias("label"), related.alias("related"))
+
+
+def relevance(text: Column, prior: Column, rules: Rules = NEWS, title: Column | None = None) -> Column:
     """struct(score double, label string, related boolean) of a lower-cased text: the first rule that holds decides."""
     signals, tech = F.size(matched(text, rules.signal)), F.size(matched(text, rules.tech))
     noise = F.size(matched(text, rules.noise + rules.commerce))
-    narrow = any_of(text, [t for t in rules.signal if t not in rules.broad])
-    broad = any_of(text, rules.broad)
+    narrow, broad = has_signal(text, rules), has_broad(text, rules)
     keep = F.greatest(F.lit(KEEP_AT), prior + F.when(narrow, 0.52).otherwise(0.34) + F.least(F.lit(0.18), signals * 0.04) + F.least(F.lit(0.12), tech * 0.03) - F.least(F.lit(0.18), noise * 0.04))
-    result = lambda score, name, related: F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), name.alias("label"), F.lit(related).alias("related"))
     return (
-        F.when(any_of(text, rules.unsafe), result(F.lit(0.0), F.lit("unsafe_content"), False))
-        .when(any_of(text, rules.tutorial), result(F.lit(0.15), F.lit("tutorial_excluded"), False))
-        .when(~narrow & ~(broad & (tech > 0)), result(prior + F.when(broad, 0.32).otherwise(0.0) + F.when(tech > 0, 0.08).otherwise(0.0), F.lit("not_ai"), False))
-        .when((noise > 0) & ~narrow, result(prior + 0.25, F.lit("noise"), False))
-        .otherwise(result(keep, label(text, rules, tech > 0), True))
+        F.when(is_unsafe(text, rules), verdict(F.lit(0.0), "unsafe_content", False))
+        .when(is_tutorial(text if title is None else title, rules), verdict(F.lit(0.15), "tutorial_excluded", False))
+        .when(~narrow & ~(broad & (tech > 0)), verdict(prior + F.when(broad, 0.32).otherwise(0.0) + F.when(tech > 0, 0.08).otherwise(0.0), "not_ai", False))
+        .when(any_of(text, rules.commerce) & ~narrow, verdict(prior + 0.25, "commerce_noise", False))
+        .when((noise > 0) & ~narrow, verdict(prior + 0.25, "noise", False))
+        .otherwise(verdict(keep, label(text, rules, tech > 0), True))
+    )
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What single sites' feeds have to meet before or instead of the cascade's general rules."""
+
+    forwarded: list[str]
+    domains: list[str]
+    hot_site: str
+    hot_source: str
+    board_site: str
+    board_allow: list[str]
+    board_block: list[str]
+    media_site: str
+    media_trusted: list[str]
+    media_research: list[str]
+    research: list[str]
+    business: list[str]
+    trusted_sites: list[str]
+
+
+# The sites of the news about artificial intelligence.
+NEWS_SCOPE = Scope(
+    forwarded=["hacker news", "hackernews", "黑客新闻", "黑客新聞", "駭客新聞"],
+    domains=["v2ex.com"],
+    hot_site="zeli",
+    hot_source="24h",
+    board_site="tophub",
+    board_allow=["readhub · ai", "hacker news", "github", "product hunt", "v2ex", "少数派", "infoq", "36氪", "机器之心", "量子位", "科技", "人工智能", "机器人", "具身", "开源"],
+    board_block=["热销总榜", "淘宝", "天猫", "京东", "拼多多", "抖音", "快手", "微博", "小红书"],
+    media_site="curated_media",
+    media_trusted=["the decoder ai news", "techcrunch ai", "venturebeat ai", "artificial intelligence news", "claude code releases", "lmarena blog", "epoch ai"],
+    media_research=["marktechpost research"],
+    research=["paper", "arxiv", "research", "benchmark", "bench", "eval", "evaluation", "dataset", "model", "llm", "agent", "diffusion", "transformer", "multimodal", "reasoning", "inference", "training", "open-source", "robot", "governance"],
+    business=["funding", "raises", "raised", "startup", "acquire", "acquisition", "merger", "revenue", "enterprise", "ipo", "valuation"],
+    trusted_sites=["aibase", "aihot", "aihubtoday"],
+)
+
+
+def media_relevance(source: Column, title: Column, text: Column, prior: Column, rules: Rules, scope: Scope) -> Column:
+    """Relevance of a picked medium's item: by its title, or by its feed where that is trusted or of research."""
+    trusted, lab = any_of(source, scope.media_trusted), any_of(source, scope.media_research)
+    in_title, broad, paper = has_signal(title, rules), has_broad(title, rules), any_of(title, scope.research)
+    signals, tech = F.size(matched(text, rules.signal)), F.size(matched(text, rules.tech))
+    noise = F.size(matched(text, rules.noise + rules.commerce))
+    whole = prior + F.when(trusted, 0.58).otherwise(0.5) + F.least(F.lit(0.12), signals * 0.03) + F.least(F.lit(0.08), tech * 0.02)
+    score = F.when(lab, F.least(whole, F.lit(0.76))).otherwise(whole) - F.when((noise > 0) & ~in_title, F.least(F.lit(0.16), noise * 0.04)).otherwise(0.0)
+    name = F.when(lab | paper, "research_paper").when(any_of(title, scope.business), "industry_business").otherwise(label(text, rules, tech > 0))
+    return (
+        F.when(lab & ~in_title & ~paper, verdict(F.lit(0.22), "source_scope_drop", False))
+        .when(~trusted & ~lab & ~in_title & ~(broad & (tech > 0)), verdict(prior + F.when(broad, 0.28).otherwise(0.0), "source_scope_drop", False))
+        .otherwise(verdict(score, name, score >= KEEP_AT))
+    )
+
+
+def site_relevance(site: Column, source: Column, title: Column, site_name: Column, host: Column, prior: Column, rules: Rules = NEWS, scope: Scope = NEWS_SCOPE) -> Column:
+    """The whole cascade over an item: safety, tutorials, the rules of its site, then ``relevance``. Null columns count
+    as empty; of the URL only the host is read, as paths hold terms by chance."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    site, source, title, host = F.coalesce(site, F.lit("")), low(source), low(title), low(host)
+    text = F.concat_ws(" ", title, source, low(site_name), host)
+    tech = F.size(matched(text, rules.tech)) > 0
+    drop = lambda score, name="source_scope_drop": verdict(F.lit(score), name, False)
+    board, domain = site == scope.board_site, F.lit(False)
+    for d in scope.domains:
+        domain = domain | (host == d) | host.endswith(f".{d}")
+    return (
+        F.when(is_unsafe(text, rules), drop(0.0, "unsafe_content"))
+        .when(is_tutorial(title, rules), drop(0.15, "tutorial_excluded"))
+        .when(any_of(source, scope.forwarded) | domain, drop(0.1))
+        .when((site == scope.hot_site) & F.contains(source, F.lit(scope.hot_source)), verdict(F.greatest(F.lit(KEEP_AT), prior + 0.62), "curated_hotlist", True))
+        .when(site == scope.hot_site, drop(0.2))
+        .when(board & any_of(source, scope.board_block), drop(0.05, "noise"))
+        .when(board & ~any_of(source, scope.board_allow), drop(0.12))
+        .when(site == scope.media_site, media_relevance(source, title, text, prior, rules, scope))
+        .when(site.isin(scope.trusted_sites), verdict(F.greatest(F.lit(KEEP_AT), prior + 0.72), label(text, rules, tech), True))
+        .otherwise(relevance(text, prior, rules, title))
     )
 
 

@@ -74,7 +74,7 @@ def _relevance_sql(r: scoring.Rules, prior: str = "0.1") -> str:
     tech, noise = count(r.tech), count(r.noise + r.commerce)
     label = "CASE " + " ".join(f"WHEN {_any(t)} THEN '{n}'" for n, t in r.labels) + f" WHEN {tech} > 0 THEN 'ai_tech' ELSE 'ai_general' END"
     keep = f"greatest(0.65, {prior} + CASE WHEN {narrow} THEN 0.52 ELSE 0.34 END + least(0.18, {count(r.signal)} * 0.04) + least(0.12, {tech} * 0.03) - least(0.18, {noise} * 0.04))"
-    rules = [(_any(r.unsafe), "0.0", "'unsafe_content'", "false"), (_any(r.tutorial), "0.15", "'tutorial_excluded'", "false"), (f"NOT {narrow} AND NOT ({broad} AND {tech} > 0)", f"{prior} + CASE WHEN {broad} THEN 0.32 ELSE 0.0 END + CASE WHEN {tech} > 0 THEN 0.08 ELSE 0.0 END", "'not_ai'", "false"), (f"{noise} > 0 AND NOT {narrow}", f"{prior} + 0.25", "'noise'", "false")]
+    rules = [(f"regexp_matches(low, '{'|'.join(r.unsafe)}')", "0.0", "'unsafe_content'", "false"), (f"regexp_matches(trim(low), '^({'|'.join(r.tutorial)})\\b')", "0.15", "'tutorial_excluded'", "false"), (f"NOT {narrow} AND NOT ({broad} AND {tech} > 0)", f"{prior} + CASE WHEN {broad} THEN 0.32 ELSE 0.0 END + CASE WHEN {tech} > 0 THEN 0.08 ELSE 0.0 END", "'not_ai'", "false"), (f"{_any(r.commerce)} AND NOT {narrow}", f"{prior} + 0.25", "'commerce_noise'", "false"), (f"{noise} > 0 AND NOT {narrow}", f"{prior} + 0.25", "'noise'", "false")]
     case = lambda i, rest: "CASE " + " ".join(f"WHEN {x[0]} THEN {x[i]}" for x in rules) + f" ELSE {rest} END"
     return f"greatest(0.0, least(1.0, {case(1, keep)}))::DOUBLE AS score, {case(2, label)} AS label, {case(3, 'true')} AS related"
 

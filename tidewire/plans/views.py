@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import items as I
-from tidewire.functions import urls
-from tidewire.operators import gates, views
+from tidewire.functions import times, urls
+from tidewire.operators import gates, scoring, views
 from tidewire.plans import dims
-from tidewire.plans.queries import ITEMS, SCORED, TIERS, items, query, scored, table, tiers
+from tidewire.plans.queries import ITEMS, PROSE, SCORED, TIERS, _relevance_sql, items, query, scored, table, tiers
+from tidewire.sources import published
 
 _PLAIN = r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), 'https?://\S+', '', 'g'), '[\s　]+', '', 'g'), '" + I.MARKS + "', '', 'g')"
 _TITLE, _BOOK = _PLAIN.format("title"), "regexp_extract(coalesce(title, ''), '《([^》]{4,40})》', 1)"
@@ -140,3 +141,67 @@ def source_sort(spark, d):
     t = items(spark, d).where(F.contains(F.lower("title"), F.lit("en")) | F.contains(F.lower("body"), F.lit("thing"))).select("site_id", "id")
     sizes = t.groupBy("site_id").agg(F.count("*").alias("group_size"))
     return t.alias("t").join(sizes.alias("s"), F.col("t.site_id").eqNullSafe(F.col("s.site_id"))).select("t.site_id", "id", "group_size")
+
+
+#: Site rules of words that occur in the tables' prose; the sites' names stand for sources of documents.
+SCOPE = scoring.Scope(forwarded=["alpha"], domains=["src9.example"], hot_site="src1", hot_source="24h", board_site="src2", board_allow=["en", "de"], board_block=["de"], media_site="src3", media_trusted=["fr"], media_research=["es"], research=["ch", "ll"], business=["an"], trusted_sites=["src4"])
+
+
+def _site_cascade_sql() -> str:
+    any_ = lambda terms, of: "(" + " OR ".join(f"contains({of}, '{t}')" for t in terms) + ")"
+    count = lambda terms: "(" + " + ".join(f"contains(low, '{t}')::INT" for t in sorted(set(terms))) + ")"
+    narrow, tech, noise = [t for t in PROSE.signal if t not in PROSE.broad], count(PROSE.tech), count(PROSE.noise + PROSE.commerce)
+    label = "CASE " + " ".join(f"WHEN {any_(t, 'low')} THEN '{n}'" for n, t in PROSE.labels) + f" WHEN {tech} > 0 THEN 'ai_tech' ELSE 'ai_general' END"
+    lab, trusted, titled, paper, broad = any_(SCOPE.media_research, "src"), any_(SCOPE.media_trusted, "src"), any_(narrow, "lt"), any_(SCOPE.research, "lt"), any_(PROSE.broad, "lt")
+    media = f"0.1 + CASE WHEN {trusted} THEN 0.58 ELSE 0.5 END + least(0.12, {count(PROSE.signal)} * 0.03) + least(0.08, {tech} * 0.02)"
+    media = f"CASE WHEN {lab} THEN least({media}, 0.76) ELSE {media} END - CASE WHEN {noise} > 0 AND NOT {titled} THEN least(0.16, {noise} * 0.04) ELSE 0.0 END"
+    named = f"CASE WHEN {lab} OR {paper} THEN 'research_paper' WHEN {any_(SCOPE.business, 'lt')} THEN 'industry_business' ELSE {label} END"
+    rules = [
+        (f"regexp_matches(low, '{'|'.join(PROSE.unsafe)}')", "0.0", "'unsafe_content'", "false"),
+        (f"regexp_matches(trim(lt), '^({'|'.join(PROSE.tutorial)})\\b')", "0.15", "'tutorial_excluded'", "false"),
+        (f"{any_(SCOPE.forwarded, 'src')} OR host = 'src9.example'", "0.1", "'source_scope_drop'", "false"),
+        ("site_id = 'src1' AND contains(src, '24h')", "greatest(0.65, 0.72)", "'curated_hotlist'", "true"),
+        ("site_id = 'src1'", "0.2", "'source_scope_drop'", "false"),
+        (f"site_id = 'src2' AND {any_(SCOPE.board_block, 'src')}", "0.05", "'noise'", "false"),
+        (f"site_id = 'src2' AND NOT {any_(SCOPE.board_allow, 'src')}", "0.12", "'source_scope_drop'", "false"),
+        (f"site_id = 'src3' AND {lab} AND NOT {titled} AND NOT {paper}", "0.22", "'source_scope_drop'", "false"),
+        (f"site_id = 'src3' AND NOT {trusted} AND NOT {lab} AND NOT {titled} AND NOT ({broad} AND {tech} > 0)", f"0.1 + CASE WHEN {broad} THEN 0.28 ELSE 0.0 END", "'source_scope_drop'", "false"),
+        ("site_id = 'src3'", media, named, f"{media} >= 0.65"),
+        ("site_id = 'src4'", "0.82", label, "true"),
+    ]
+    case = lambda i, rest: "CASE " + " ".join(f"WHEN {r[0]} THEN {r[i]}" for r in rules) + f" ELSE {rest} END"
+    return f"""WITH {ITEMS}, x AS (SELECT *, lower(title) AS lt, CASE WHEN id % 7 = 0 THEN '24h ' ELSE '' END || lang AS src, site_id || '.example' AS host FROM items),
+y AS (SELECT *, concat_ws(' ', lt, src, 'site', host) AS low FROM x), z AS (SELECT *, {_relevance_sql(PROSE)} FROM y)
+SELECT id, greatest(0.0, least(1.0, {case(1, 'score')}))::DOUBLE AS score, {case(2, 'label')} AS label, {case(3, 'related')} AS related FROM z"""
+
+
+@query(_site_cascade_sql())
+def site_cascade(spark, d):
+    source = F.concat(F.when(F.col("id") % 7 == 0, "24h ").otherwise(""), F.col("lang"))
+    i = items(spark, d).withColumn("source", source)
+    r = scoring.site_relevance(F.col("site_id"), F.col("source"), F.col("title"), F.lit("Site"), F.concat("site_id", F.lit(".example")), F.lit(0.1), PROSE, SCOPE)
+    return i.select("id", r.alias("r")).select("id", "r.*")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS flat FROM documents)
+SELECT doc_id, CASE WHEN length(flat) > 220 THEN rtrim(substr(flat, 1, 217)) || '...' ELSE flat END AS title FROM t""")
+def post_titles(spark, d):
+    return table(spark, d, "documents").select("doc_id", published.post_title(F.col("text")).alias("title"))
+
+
+@query(f"""WITH {ITEMS}, n AS (SELECT max(event_time) AS now FROM items), e AS (SELECT site_id AS feed, id AS pos, lower(title) AS link FROM items, n WHERE event_time >= now - INTERVAL 30 DAY),
+o AS (SELECT feed, link, min(pos) AS pos FROM e GROUP BY 1, 2) SELECT feed, pos, link FROM o QUALIFY row_number() OVER (PARTITION BY feed ORDER BY pos) <= 8""")
+def latest_feed_entries(spark, d):
+    i = items(spark, d)
+    e = i.select(F.col("site_id").alias("feed"), F.col("id").alias("pos"), F.lower("title").alias("link"), F.col("event_time").alias("published"))
+    e = e.join(F.broadcast(i.agg(F.max("event_time").alias("now"))))
+    return published.latest_entries(e, F.col("now"), 30, 8).select("feed", "pos", "link")
+
+
+@query("""WITH m AS (SELECT DISTINCT event_id % 24 AS h, event_id % 60 AS m, event_id % 12 + 1 AS mo, event_id % 28 + 1 AS dy, event_id % 2 = 0 AS clock, event_id, ts FROM events),
+c AS (SELECT *, CASE WHEN clock THEN date_trunc('day', ts) + to_hours(h::INT) + to_minutes(m::INT) ELSE make_timestamp(year(ts), mo, dy, 0, 0, 0.0) END AS t FROM m)
+SELECT event_id, CASE WHEN clock AND t > ts + INTERVAL 5 MINUTE THEN t - INTERVAL 1 DAY WHEN NOT clock AND t > ts + INTERVAL 2 DAY THEN make_timestamp(year(ts) - 1, mo, dy, 0, 0, 0.0) ELSE t END AS at FROM c""")
+def clock_times(spark, d):
+    n = lambda m, plus=0: (F.pmod("event_id", F.lit(m)) + plus).cast("string")
+    said = F.when(F.col("event_id") % 2 == 0, F.concat(n(24), F.lit(":"), F.lpad(n(60), 2, "0"))).otherwise(F.concat(n(12, 1), F.lit("月"), n(28, 1), F.lit("日")))
+    return table(spark, d, "events").select("event_id", times.relative(said, F.col("ts").cast("timestamp")).alias("at"))
