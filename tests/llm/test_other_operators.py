@@ -271,3 +271,78 @@ def test_passages_with_one_word_inserted(spark):
     rows += [(300, " ".join(base)), (301, " ".join(base[:35] + ["new"] + base[35:]))]
     got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(301, 300)}
+
+
+def test_edited_copies_of_a_passage_meet_the_unchanged_one(spark):
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(words, k=60)
+    texts = {0: None}
+    for i in range(200):
+        edited = list(passage)
+        edited[10 + i % 40] = f"edit{i}"
+        texts[i + 1] = edited
+    # The unchanged one stands in the middle of the keys, the least and the greatest are edited copies.
+    texts[0], texts[100] = texts[100], list(passage)
+    rows = [(k, " ".join(rng.choices(words, k=30) + t + rng.choices(words, k=30))) for k, t in texts.items()]
+    rows += [(1000 + k, " ".join(rng.choices(words, k=80))) for k in range(20)]
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: {tuple(t[i : i + 5]) for i in range(56)} for k, t in texts.items()}
+    wanted = [(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    group = {k: k for k in texts}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a, b in got:
+        assert a < 1000 and b < 1000
+        group[top(a)] = top(b)
+    joined = sum(top(a) == top(b) for a, b in wanted)
+    assert joined >= 0.97 * len(wanted), (joined, len(wanted))
+
+
+def test_forest_joins_what_brute_force_joins():
+    rng = np.random.default_rng(3)
+    least, zone = substring_dedup.LEAST, substring_dedup.ZONE
+    base = rng.integers(1, 1 << 16, 2 * zone + 1).astype("<u2")
+    rows = []
+    for _ in range(60):
+        x = rng.integers(1, 1 << 16, len(base)).astype("<u2")
+        lo = zone - int(rng.integers(0, least + 20))
+        hi = min(len(x), lo + least + int(rng.integers(0, 30)))
+        x[lo:hi] = base[lo:hi]
+        gap = int(rng.integers(lo, hi - 5))
+        if not gap <= zone < gap + 5:
+            x[gap : gap + 5] = rng.integers(1, 1 << 16, 5)
+        rows.append(x)
+    rows = np.array(rows)
+
+    def plain(x, y):
+        same = x == y
+        spans = [(b, e) for b in range(zone + 1) for e in range(max(zone + 1, b + least), len(x) + 1) if same[b] and same[e - 1]]
+        return any(9 * int(same[b:e].sum()) >= 8 * (e - b) for b, e in spans)
+
+    for i in (0, 7, 31):
+        assert [bool(v) for v in substring_dedup.alike_around(rows[i], rows)] == [plain(rows[i], y) for y in rows]
+    pairs = substring_dedup.forest(rows)
+    assert pairs and len(pairs) < len(rows)
+
+
+def test_passage_is_the_longest_similar_stretch():
+    rng = np.random.default_rng(11)
+    least = substring_dedup.LEAST
+    for _ in range(60):
+        a = np.arange(120, dtype=np.uint64)
+        b = a + np.uint64(1000)
+        lo, hi = 20 + int(rng.integers(0, 20)), 75 + int(rng.integers(0, 25))
+        b[lo:hi] = a[lo:hi]
+        for _ in range(int(rng.integers(0, 3))):
+            gap = int(rng.integers(lo, hi - 5))
+            b[gap : gap + 5] += np.uint64(5000)
+        at = int(rng.choice(np.flatnonzero(a == b)))
+        same = a == b
+        spans = [e - s for s in range(at + 1) for e in range(at + 1, 121) if same[s] and same[e - 1] and 9 * int(same[s:e].sum()) >= 8 * (e - s)]
+        got = substring_dedup.passage(substring_dedup.side_by_side(a, b, 0), at, 0)
+        assert (got[1] - got[0] if got else 0) == (max(spans) if max(spans) >= least else 0)
