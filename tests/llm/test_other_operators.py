@@ -346,3 +346,28 @@ def test_passage_is_the_longest_similar_stretch():
         spans = [e - s for s in range(at + 1) for e in range(at + 1, 121) if same[s] and same[e - 1] and 9 * int(same[s:e].sum()) >= 8 * (e - s)]
         got = substring_dedup.passage(substring_dedup.side_by_side(a, b, 0), at, 0)
         assert (got[1] - got[0] if got else 0) == (max(spans) if max(spans) >= least else 0)
+
+
+def test_pseudo_likelihood_is_of_words_not_of_their_ids(spark):
+    def id_of(w):
+        return int(pseudo_lm.token_ids(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+
+    common = "common"
+    rare = next(w for w in (f"rare{i}" for i in range(100_000)) if id_of(w) == id_of(common))
+    texts = ["one two common three four"] * 60 + [f"one two {rare} three four", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudo_lm.pseudo_likelihood(frame).collect()}
+    assert len(got) == len(texts)
+    assert got[0].log_likelihood - got[60].log_likelihood == pytest.approx(np.log(60), abs=1e-3)
+    assert got[60]["mean"] == pytest.approx(got[60].log_likelihood / 5)
+    assert [(got[i].n_tokens, got[i].log_likelihood, got[i]["mean"]) for i in (61, 62)] == [(0, 0, None)] * 2
+
+
+def test_pseudo_likelihood_keeps_what_one_partition_learnt_of_a_word(spark):
+    one, other = [("alpha beta gamma " * 400,)], [("delta epsilon zeta " * 4000,)]
+    frame = lambda rows, n: spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "text string")
+    both, alone = (pseudo_lm.parameters(pseudo_lm.train(f)) for f in (frame(one + other, 2), frame(one, 1)))
+    at = int(pseudo_lm.token_ids(np.frombuffer(b"beta", np.uint8), np.array([0, 4]))[0][0])
+    start = pseudo_lm.parameters()["left"][at]
+    assert np.abs(alone["left"][at] - start).max() > 0.01
+    assert both["left"][at] == pytest.approx(alone["left"][at], abs=1e-5)

@@ -3,7 +3,11 @@
 Words are hashed into ``GROUPS`` x ``GROUPS`` token ids. The two words before and the two after a token (the token itself
 masked) are embedded, by side, and summed; a softmax gives the id's group and a second one, with a bias for each group,
 its place in the group, so that a prediction costs 2 x ``GROUPS`` outputs. Every partition trains on all its documents;
-the partitions' parameters are averaged by their numbers of tokens, in a Spark aggregation.
+the partitions' parameters are averaged in a Spark aggregation, those of an id or a group by its occurrences there, all
+others by the numbers of tokens.
+
+An id is a class of words. A word's probability is its class's probability in the context times the word's share of its
+class, from the counts of all words in a keyed table that grows with the vocabulary.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import textnum as N
-from tidewire.llm.common import byte_slices, text_buffer
+from tidewire.llm.common import byte_slices, stored, text_buffer
 
 GROUPS, WIDTH, REACH = 64, 8, 2
 IDS = GROUPS * GROUPS
@@ -38,12 +42,18 @@ def parameters(flat: np.ndarray | None = None) -> dict[str, np.ndarray]:
     return out
 
 
-def token_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all rows and the rows' bounds; words are lower-cased (A-Z)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all rows' words and the rows' bounds; words are lower-cased (A-Z)."""
     starts, ends, rows = N.words(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), rows
-    return (N.span_hashes(N.LOWER[data], starts, ends) % np.uint64(IDS)).astype(np.int64), rows
+        return np.zeros(0, np.uint64), rows
+    return N.span_hashes(N.LOWER[data], starts, ends), rows
+
+
+def token_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all rows and the rows' bounds."""
+    hashes, rows = word_hashes(data, offsets)
+    return (hashes % np.uint64(IDS)).astype(np.int64), rows
 
 
 def contexts(ids: np.ndarray, rows: np.ndarray) -> list[tuple[str, np.ndarray]]:
@@ -109,12 +119,15 @@ def train_step(p: dict, seen: dict, ids: np.ndarray, around: list) -> None:
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Parameters learnt from every word of every text: one pass in each partition, then their weighted mean.
 
-    What is gathered grows with the number of partitions; the driver gets one set of ``SIZE`` numbers.
+    The weight of an id's or a group's parameters is how often the partition met it, so one that never did doesn't pull
+    them back to their start. The driver gets one set of ``SIZE`` numbers, whatever the input's size; see
+    ``word_shares`` for what grows with the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parameters()
         seen, n = {k: np.zeros_like(v) for k, v in p.items()}, 0
+        met = {"left": np.zeros(IDS + 1), "right": np.zeros(IDS + 1), "place_bias": np.zeros(GROUPS)}
         for batch in batches:
             for part in byte_slices(batch, text):
                 ids, rows = token_ids(*text_buffer(part.column(text)))
@@ -122,18 +135,26 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
                 for lo in range(0, len(ids), BATCH):
                     train_step(p, seen, ids[lo : lo + BATCH], [(s, c[lo : lo + BATCH]) for s, c in around])
                 n += len(ids)
+                for side, at in around:
+                    met[side] += np.bincount(at, minlength=IDS + 1)
+                met["place_bias"] += np.bincount(ids // GROUPS, minlength=GROUPS)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([v.ravel() for v in p.values()])], pa.list_(pa.float32()))], ["n", "flat"])
-
-    local = docs.select(text).mapInArrow(run, "n long, flat array<float>")
-    mean = local.select("n", F.posexplode("flat").alias("at", "v")).groupBy("at").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v")).toArrow().sort_by("at")
+            weights = [np.repeat(met[k], v.shape[1]) if k in met else np.full(v.size, n) for k, v in p.items()]
+            flat = pa.StructArray.from_arrays([np.concatenate([v.ravel() for v in p.values()]), pa.array(np.concatenate(weights).astype(np.int64))], ["v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, SIZE], pa.int32()), flat)], ["flat"])
+
+    local = docs.select(text).mapInArrow(run, "flat array<struct<v float, n long>>")
+    weighted = F.sum(F.col("p.v").cast("double") * F.col("p.n")) / F.nullif(F.sum("p.n"), F.lit(0))
+    # What no partition met is at its start in all of them.
+    mean = local.select(F.posexplode("flat").alias("at", "p")).groupBy("at").agg(F.coalesce(weighted, F.avg("p.v")).alias("v")).toArrow().sort_by("at")
     return mean.column("v").to_numpy() if mean.num_rows else np.concatenate([v.ravel() for v in parameters().values()])
 
 
-def score(docs: DataFrame, flat: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens long, log_likelihood double, mean double) of each whole text under the trained parameters.
+def score(docs: DataFrame, flat: np.ndarray, key: str = "doc_id", text: str = "text", words: bool = False) -> DataFrame:
+    """(key, n_tokens long, log_likelihood double, mean double) of each whole text's ids under the trained parameters.
 
-    A null or blank text has no tokens, a log-likelihood of 0 and a null mean. Repeated rows are scored each.
+    A null or blank text has no tokens, a log-likelihood of 0 and a null mean. Repeated rows are scored each. With
+    ``words`` a column words array<struct<word long, n int>> is added: the hashes of the row's words and their counts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
 
@@ -141,14 +162,45 @@ def score(docs: DataFrame, flat: np.ndarray, key: str = "doc_id", text: str = "t
         p = parameters(sent.value)
         for batch in batches:
             for part in byte_slices(batch, text):
-                ids, rows = token_ids(*text_buffer(part.column(text)))
+                hashes, rows = word_hashes(*text_buffer(part.column(text)))
+                ids = (hashes % np.uint64(IDS)).astype(np.int64)
                 total, n = N.row_sums(log_probabilities(p, ids, rows), rows), np.diff(rows)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n), mask=n == 0)], [key, "n_tokens", "log_likelihood", "mean"])
+                out = [part.column(key), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n), mask=n == 0)]
+                if words:
+                    out.append(row_words(hashes, rows))
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean", T.DoubleType())])
+    if words:
+        schema = schema.add("words", T._parse_datatype_string("array<struct<word: bigint, n: int>>"))
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def row_words(hashes: np.ndarray, rows: np.ndarray) -> pa.ListArray:
+    """Each row's different word hashes with their counts."""
+    known, which = np.unique(hashes, return_inverse=True)
+    row_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    pairs, counts = np.unique(row_of * max(1, len(known)) + which, return_counts=True)
+    bounds = np.searchsorted(pairs, np.arange(len(rows)) * max(1, len(known)))
+    held = known[pairs % max(1, len(known))] if len(known) else known
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(held.view(np.int64)), pa.array(counts.astype(np.int32))], ["word", "n"]))
+
+
+def word_shares(words: DataFrame) -> DataFrame:
+    """(word, share double): the natural log of each word's share of its id's occurrences; a row for every word."""
+    counts = stored(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.pmod("word", F.lit(IDS))))
+    of_id = counts.groupBy("id").agg(F.sum("n").alias("all"))  # at most ``IDS`` rows
+    return stored(counts.join(F.broadcast(of_id), "id").select("word", F.ln(F.col("n") / F.col("all")).alias("share")))
+
+
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on ``docs`` and score them; see ``train`` and ``score``. An empty table gives an empty result."""
-    return score(docs, train(docs, text), key, text)
+    """Train on ``docs`` and score them: the columns of ``score``, with the probabilities of words instead of their ids.
+
+    An empty table gives an empty result.
+    """
+    scored = stored(score(docs, train(docs, text), key, text, words=True).withColumn("_row", F.monotonically_increasing_id()))
+    words = scored.select("_row", F.explode("words").alias("w")).select("_row", "w.word", "w.n")
+    shares = words.join(word_shares(words), "word").groupBy("_row").agg(F.sum(F.col("n") * F.col("share")).alias("_share"))
+    total = F.col("log_likelihood") + F.coalesce("_share", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.drop("words").join(shares, "_row", "left").select(key, "n_tokens", total.alias("log_likelihood"), mean.alias("mean"))
