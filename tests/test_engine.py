@@ -215,3 +215,20 @@ def test_entry_survives_without_training_data_operators(spark, small):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(Q.QUERIES) <= set(__spark_entry__.queries()) and set(Q.SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_streams_keep_their_results_out_of_the_driver(spark, tmp_path):
+    from tidewire.streaming import archive_stream
+
+    rows = spark.sql("SELECT id % 7 AS k, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS at FROM range(100)")
+    rows.write.parquet(str(tmp_path / "in"))
+    got = archive_stream.first_last_seen(spark, str(tmp_path / "in"), rows.schema, "k", "at")
+    windows = archive_stream.windowed_counts(spark, str(tmp_path / "in"), rows.schema, "k", "at", "1 hour")
+    for frame in (got, windows):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Memory" not in plan and "parquet" in plan, plan
+    assert sorted((r.k, r.n, r.first_seen.second) for r in got.collect()) == [(k, len(range(k, 100, 7)), k) for k in range(7)]
+    assert sum(r.n for r in windows.collect()) == 100
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert archive_stream.first_last_seen(spark, str(empty), rows.schema, "k", "at").count() == 0

@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _drained(stream: DataFrame, mode: str, checkpoint: str | None) -> DataFrame:
-    """Run a stream over all that is there now and give its result table."""
-    name = f"t{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint and mode == "complete" else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, or (in tests) a temporary one."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    where = current.get() if current.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    return f"{where or tempfile.mkdtemp(prefix='tidewire-stream-')}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(stream: DataFrame, checkpoint: str | None) -> DataFrame:
+    """Run an aggregating stream over all that is there now and give its result table.
+
+    Each micro-batch writes the whole result as Parquet from the executors; the last one's is read back.
+    """
+    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/{number}")
+        written.append(number)
+
+    writer = stream.writeStream.outputMode("complete").trigger(availableNow=True).foreachBatch(write)
+    writer.option("checkpointLocation", checkpoint or f"{at}/state").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/{written[-1]}") if written else spark.createDataFrame([], stream.schema)
 
 
 def first_last_seen(spark: SparkSession, path: str, schema, key: str, at: str) -> DataFrame:
     """(key, first_seen, last_seen, n) over all micro-batches of a Parquet folder."""
     rows = spark.readStream.schema(schema).parquet(path)
-    return _drained(rows.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("n")), "complete", None)
+    return _drained(rows.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("n")), None)
 
 
 def windowed_counts(spark: SparkSession, path: str, schema, key: str, at: str, width: str) -> DataFrame:
     rows = spark.readStream.schema(schema).parquet(path).withColumn(at, F.col(at).cast("timestamp"))
-    return _drained(rows.withWatermark(at, "21 days").groupBy(F.window(at, width), key).agg(F.count("*").alias("n")), "complete", None)
+    return _drained(rows.withWatermark(at, "21 days").groupBy(F.window(at, width), key).agg(F.count("*").alias("n")), None)
 
 
 def merge_batch(archive: DataFrame, batch: DataFrame, key: str, now) -> DataFrame:
