@@ -252,3 +252,14 @@ def test_quality_odd_rows(spark, weird):
     assert {r.score for r in quality.classify(weird, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(weird.limit(0), labels).count() == 0
     assert quality.accepted(weird, labels).columns == weird.columns
+
+
+def test_decontamination_searches_short_and_unspaced_items(spark):
+    unspaced = "机器学习模型的训练数据必须去除所有基准测试的内容以免泄漏结果"
+    edited = unspaced.replace("必须", "必需")
+    items = [(1, unspaced), (2, "Paris"), (3, "深度学习"), (4, "internationalisation considerations"), (5, " "), (6, None)]
+    docs = [(1, f"前言{edited}后记"), (2, "in  PARIS, today"), (3, "comparison of parishes"), (4, "我们用深度学习方法"), (5, "an internationalisation consideration s"), (6, "paris"), (7, "nothing"), (8, None)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 1), (2, 2, 0), (4, 3, 0), (5, 4, 1), (6, 2, 0)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 7, 8}

@@ -19,8 +19,8 @@ from tidewire.llm.common import byte_slices
 
 #: Allowed edits, as a share of an item's characters.
 EDIT_RATE = 0.08
-#: Items of fewer words are too short to tell a leak from ordinary language, and are not searched.
-MIN_WORDS = 5
+#: Items of fewer words and fewer characters than these match only exactly and as whole words.
+MIN_WORDS, MIN_CHARS = 5, 20
 #: Bytes of benchmark text that one pass over the documents carries; larger benchmarks take several passes.
 BLOCK_BYTES = 4 << 20
 
@@ -40,6 +40,19 @@ def pieces(item: str, rate: float = EDIT_RATE) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edge, edge[1:]) if b > a]
 
 
+def matched_exactly(item: str) -> bool:
+    return len(item) < MIN_CHARS and len(item.split()) < MIN_WORDS
+
+
+#: Scripts that don't part words by spaces: South-East Asian, kana and Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def parted(a: str, b: str) -> bool:
+    """Whether a word may end between two characters; '' is the text's end. Unspaced scripts allow it everywhere."""
+    return not (a.isalnum() and b.isalnum()) or any(lo <= ord(c) <= hi for c in (a, b) for lo, hi in UNSPACED)
+
+
 def masks(item: str) -> dict[str, int]:
     out: dict[str, int] = defaultdict(int)
     for i, c in enumerate(item):
@@ -76,7 +89,7 @@ class Matcher:
         self.rate, self.items, found = rate, {}, defaultdict(list)
         for number, (key, text) in enumerate(items):
             self.items[number] = (key, text, masks(text))
-            for offset, piece in pieces(text, rate):
+            for offset, piece in pieces(text, 0 if matched_exactly(text) else rate):
                 found[piece].append((number, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in found.items():
@@ -95,6 +108,11 @@ class Matcher:
         out = {}
         for number, begins in windows.items():
             _, item, peq = self.items[number]
+            if matched_exactly(item):
+                ends = ((b, b + len(item)) for b in begins)
+                if any(parted(text[max(0, b - 1) : b], item[0]) and parted(item[-1], text[e : e + 1]) for b, e in ends):
+                    out[number] = 0
+                continue
             most, covered = budget(len(item), self.rate), -1
             for begin in sorted(begins):
                 lo, hi = max(0, begin - most), begin + len(item) + most
@@ -116,14 +134,15 @@ def _blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[lis
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
         cleaned = sorted({(r["k"], normalised(r["t"])) for r in rows}, key=lambda x: (x[1], x[0] is not None, x[0] or 0))
-        yield [x for x in cleaned if len(x[1].split()) >= MIN_WORDS]
+        yield [x for x in cleaned if x[1]]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> DataFrame:
     """(key, item_id, distance int): every item that occurs in a row's whole text within ``rate`` edits a character.
 
-    Both sides are lower-cased and their white space runs become one space. Null, blank and short items (fewer than
-    ``MIN_WORDS`` words) are not searched; null and blank texts match nothing; repeated rows repeat their matches; an
+    Both sides are lower-cased and their white space runs become one space. Items of fewer than ``MIN_WORDS`` words and
+    ``MIN_CHARS`` characters must occur unchanged and as whole words. Null and blank items are not searched; null and
+    blank texts match nothing; repeated rows repeat their matches; an
     empty benchmark gives an empty result. A row with a null key is searched as well. Items with one key and different
     texts each give a row. The benchmark is passed to the executors in blocks of at most about ``BLOCK_BYTES``.
     """
