@@ -371,3 +371,20 @@ def test_pseudo_likelihood_keeps_what_one_partition_learnt_of_a_word(spark):
     start = pseudo_lm.parameters()["left"][at]
     assert np.abs(alone["left"][at] - start).max() > 0.01
     assert both["left"][at] == pytest.approx(alone["left"][at], abs=1e-5)
+
+
+def test_chat_records_that_look_like_a_layout(spark):
+    records = [
+        (1, json.dumps({"messages": [{"role": "user"}, {"content": "x"}]})),
+        (2, json.dumps({"messages[].role": "user", "messages[].content": "x"})),
+        (3, '{"prompt": "\\ud800", "response": "x"}'),
+        (4, '{"a": ' * 100_000 + "1" + "}" * 100_000),
+        (5, json.dumps({"turns": [{"turn": 0, "role": "human", "text": "as it is"}]})),
+        (6, json.dumps({"messages": [["role", "content"]]})),
+        (7, '{"\\ud800": 1}'),
+        (8, json.dumps({"conversations": [{"from": "human", "value": "hi"}]})),
+    ]
+    made = chat_format.format_chats(spark.createDataFrame(records, "id long, rec string"), "id", "rec")
+    assert {r.id: r.layout for r in made.collect()} == {1: None, 2: None, 3: None, 4: None, 5: "rows", 6: None, 7: None, 8: "exchange"}
+    back = {r.id: r.turns for r in chat_format.parse_chats(made, "id").collect()}
+    assert back[5][0].role == "human" and back[8][0].role == "user" and back[1] is None

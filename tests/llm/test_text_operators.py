@@ -263,3 +263,71 @@ def test_decontamination_searches_short_and_unspaced_items(spark):
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(1, 1, 1), (2, 2, 0), (4, 3, 0), (5, 4, 1), (6, 2, 0)}
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 7, 8}
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f\nshort", "x"), (2, "a b c d e g\nshort\nnew words stand here now", "y"), (None, "short", "z")]
+    frame = spark.createDataFrame([(*r, *range(6)) for r in rows], "doc_id long, text string, _kept string, _key long, _hash long, k long, h long, n_lines long, `a.b` long")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert (got[1].text, got[2].text, got[None].text) == ("a b c d e f", "new words stand here now", "short")
+    assert (got[2].n_lines, got[2].n_kept, got[2]._kept, got[2]["a.b"]) == (3, 1, "y", 5)
+
+
+def test_decontamination_keys_of_any_type_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    words = "amber birch cedar delta ember flint grove heron ivory jewel".split()
+    items = [(f"item-{i}", " ".join(words[i:] + words[:i])) for i in range(6)] + [(None, " ".join(reversed(words)))]
+    docs = [(f"d{i}", f"so {t} it is") for i, (_, t) in enumerate(items)] + [(None, None), ("clean", "nothing of the sort stands in here")]
+    docs, bench = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect() if r.distance == 0}
+    assert got == {(f"d{i}", k) for i, (k, _) in enumerate(items)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {None, "clean"}
+
+
+def test_first_of_each_group_of_near_copies(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (3, text + " more", "c"), (None, "alone and unlike the others", "d"), (9, None, "e"), (8, " ", "f"), (None, "", "g"), (7, "one of its kind", "h")]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, k long, first long")
+    got = simhash.first_of_each(frame)
+    assert got.columns == frame.columns
+    assert sorted(r.lang for r in got.collect()) in (["b", "d", "g", "h"], ["c", "d", "g", "h"])
+    assert simhash.first_of_each(frame.limit(0)).count() == 0
+
+
+def plain_features(text):
+    """The hashed n-grams of a text by plain arithmetic: per sort of n-gram their numbers in order."""
+    m = 2**64
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % m
+        return x ^ x >> 31
+
+    runs = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", text.encode())
+    spelled, shaped = [], []
+    for run in runs:
+        low = re.sub(rb"[A-Z]", lambda c: c[0].lower(), run)
+        spelled.append(mixed(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, m) for i, b in enumerate(low)) % m))
+        upper = len(re.findall(rb"[A-Z]", run))
+        style = 0 if not upper else 2 if upper == len(run) else 1 if run[:1].isupper() else 3
+        kind = 1 if re.match(rb"[0-9A-Za-z\x80-\xff]", run) else 2
+        shaped.append(mixed((kind * 4 + style) * 16 + min(len(run), 15) + 1))
+    out = []
+    for salt, (hashes, n) in enumerate(((spelled, 1), (spelled, 2), (shaped, 1), (shaped, 3)), 1):
+        salted, numbers = [h ^ salt * 0x2545F4914F6CDD1D % m for h in hashes], []
+        for i in range(len(salted) - n + 1):
+            x = salted[i]
+            for h in salted[i + 1 : i + n]:
+                x = (x * 0xD6E8FEB86659FD93 + h) % m
+            numbers.append(mixed(x) >> 64 - quality.FEATURE_BITS)
+        out.append(numbers)
+    return out
+
+
+def test_quality_features_equal_plain_version():
+    texts = ["Hello, WORLD! 42 naïve iPhones...", "", " \t", "one", "a b", "Łódź — x²  (ok)"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    got = quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for i, text in enumerate(texts):
+        assert [number[bounds[i] : bounds[i + 1]].tolist() for number, bounds in got] == plain_features(text)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,32 +24,38 @@ TRAINED = "assistant"
 
 
 def paths(value, at: str = "") -> set[str]:
-    """Nested field paths; [] stands for all members of a list."""
+    """Nested field paths; [] stands for all members of a list, and such marks inside keys are escaped."""
     if isinstance(value, dict) and value:
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        name = lambda k: re.sub(r"[\\.\[\]]", r"\\\g<0>", k)
+        return set().union(*(paths(v, f"{at}.{name(k)}" if at else name(k)) for k, v in value.items()))
     if isinstance(value, list):
         return set().union({f"{at}[]"} if not value else (), *(paths(v, f"{at}[]") for v in value))
     return {at}
 
 
 def fingerprint(fields: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(fields)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(fields)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """turns: the list field with one turn a member, its role and text fields; or else pairs: (role, field) in order."""
+    """turns: the list field with one turn a member, its role and text fields; or else pairs: (role, field) in order.
+
+    A foreign layout's names of speakers are translated to canonical roles.
+    """
 
     name: str
     fields: tuple[str, ...]
     turns: tuple[str, str, str] | None = None
     pairs: tuple[tuple[str, str], ...] = ()
+    foreign: bool = True
 
     def apply(self, record: dict) -> list[tuple[str, str]]:
         text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
         if self.turns:
             where, role, said = self.turns
-            return [(ROLES.get(text(t[role]), text(t[role])), text(t[said])) for t in record[where]]
+            known = ROLES if self.foreign else {}
+            return [(known.get(text(t[role]), text(t[role])), text(t[said])) for t in record[where]]
         return [(role, text(record[field])) for role, field in self.pairs if not (field in OPTIONAL and not record[field])]
 
 
@@ -57,7 +64,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 #: Fields that add no turn when empty.
 OPTIONAL = {"input", "system"}
 MAPPINGS = (
-    Mapping("rows", ("turns[].turn", "turns[].role", "turns[].text"), ("turns", "role", "text")),
+    Mapping("rows", ("turns[].turn", "turns[].role", "turns[].text"), ("turns", "role", "text"), foreign=False),
     Mapping("messages", ("messages[].role", "messages[].content"), ("messages", "role", "content")),
     Mapping("exchange", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
     Mapping("prompt", ("prompt", "response"), pairs=(("user", "prompt"), ("assistant", "response"))),
@@ -107,9 +114,10 @@ def format_chats(records: DataFrame, key: str, record: str, mappings: tuple[Mapp
     """(key, fingerprint, layout, chat, loss_mask array<int>) for each row's JSON record.
 
     A record whose fingerprint no mapping names, that is null or no JSON object keeps its row, with layout and chat
-    null and the fingerprint of what it has (null without JSON), so nothing is guessed and nothing lost. Roles and
-    texts that are null count as empty; a record without turns gives an empty chat. Repeated rows are formatted each;
-    other columns are not read.
+    null and the fingerprint of what it has (null without JSON, or with JSON nested too deep to read), so nothing is
+    guessed and nothing lost; so does one of whose turns any lacks a field of its layout, or whose texts are no valid
+    Unicode (half a surrogate pair). Roles and texts that are null count as empty; a record without turns gives an
+    empty chat. Repeated rows are formatted each; other columns are not read.
     """
     known = {fingerprint(set(m.fields)): m for m in mappings}
     schema = T.StructType([records.schema[key], T.StructField("fingerprint", T.StringType()), T.StructField("layout", T.StringType()), T.StructField("chat", T.StringType()), T.StructField("loss_mask", T.ArrayType(T.IntegerType()))])
@@ -117,15 +125,17 @@ def format_chats(records: DataFrame, key: str, record: str, mappings: tuple[Mapp
     def one(source: str | None):
         try:
             value = json.loads(source) if source is not None else None
-        except ValueError:
-            value = None
-        if not isinstance(value, dict):
+            mark = fingerprint(paths(value)) if isinstance(value, dict) else None
+        except (ValueError, RecursionError):
             return None, None, None, None
-        mark = fingerprint(paths(value))
         mapping = known.get(mark)
-        if mapping is None:
+        try:
+            chat, mask = formatted(mapping.apply(value)) if mapping else (None, None)
+            if mapping:
+                chat.encode()
+        except (KeyError, TypeError, UnicodeEncodeError):
             return mark, None, None, None
-        return mark, mapping.name, *formatted(mapping.apply(value))
+        return mark, mapping.name if mapping else None, chat, mask
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: what the cluster names, else (in tests) a temporary one."""
+    """The shared folder for checkpoints: what the cluster names, else (on a local master only) a temporary one."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-checkpoint-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="tidewire-checkpoint-")
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -59,14 +63,31 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Ite
         lo = hi
 
 
+#: Folders that ``stored`` wrote and ``release`` has not deleted yet.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like ``saved``, as compressed Parquet below the shared checkpoint folder: for larger tables."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that ``stored`` wrote so far: call it once the results that read from it are written themselves."""
+    while _written:
+        delete_folder(spark, _written.pop())
+
+
 #: Bit maps of ``may_match``: so many of 4 KB each, whatever the number of rows.
 BITMAPS = 1024
 

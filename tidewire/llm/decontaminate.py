@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.llm.common import byte_slices
 
@@ -133,7 +134,7 @@ def _blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[lis
     blocks = max(1, -(-size // BLOCK_BYTES))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
-        cleaned = sorted({(r["k"], normalised(r["t"])) for r in rows}, key=lambda x: (x[1], x[0] is not None, x[0] or 0))
+        cleaned = sorted({(r["k"], normalised(r["t"])) for r in rows}, key=lambda x: (x[1], x[0] is not None, str(x[0])))
         yield [x for x in cleaned if x[1]]
 
 
@@ -144,30 +145,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     ``MIN_CHARS`` characters must occur unchanged and as whole words. Null and blank items are not searched; null and
     blank texts match nothing; repeated rows repeat their matches; an
     empty benchmark gives an empty result. A row with a null key is searched as well. Items with one key and different
-    texts each give a row. The benchmark is passed to the executors in blocks of at most about ``BLOCK_BYTES``.
+    texts each give a row; keys may be of any type. The benchmark is passed to the executors in blocks of at most about
+    ``BLOCK_BYTES``, which follow each other in one scan of the documents; each text is normalised once.
     """
-    schema = T.StructType([docs.schema[key], T.StructField(item_key, benchmark.schema[item_key].dataType), T.StructField("distance", T.IntegerType())])
-    out = None
-    for items in _blocks(benchmark, item_key, item_text):
-        got = docs.select(key, text).mapInArrow(_searching(docs, items, rate, key, text, item_key), schema)
-        out = got if out is None else out.unionByName(got)
-    return out
+    item_type = benchmark.schema[item_key].dataType
+    hit = T.StructType([T.StructField("item", item_type), T.StructField("distance", T.IntegerType())])
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("t", T.StringType()), T.StructField("hits", T.ArrayType(hit))])
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    for number, items in enumerate(_blocks(benchmark, item_key, item_text)):
+        out = out.mapInArrow(_searching(docs, items, rate, to_arrow_type(item_type), number == 0), schema)
+    return out.select(F.col("k").alias(key), F.explode("hits").alias("hit")).select(key, F.col("hit.item").alias(item_key), "hit.distance")
 
 
-def _searching(docs: DataFrame, items: list, rate: float, key: str, text: str, item_key: str):
+def _searching(docs: DataFrame, items: list, rate: float, kind: pa.DataType, first: bool):
+    """Adds one block's matches to the rows (k, t, hits); the first block normalises the texts."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    hit = pa.struct([("item", kind), ("distance", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, rate)
         for batch in batches:
-            at, found, distances = [], [], []
-            for i, t in enumerate(batch.column(text).to_pylist()):
-                for number, distance in matcher.matches(normalised(t)).items():
-                    at.append(i)
-                    found.append(matcher.items[number][0])
-                    distances.append(distance)
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array(found, pa.int64()), pa.array(distances, pa.int32())], [key, item_key, "distance"])
+            for part in byte_slices(batch, "t"):
+                texts = part.column("t").to_pylist()
+                texts = list(map(normalised, texts)) if first else texts
+                before = [[]] * len(texts) if first else part.column("hits").to_pylist()
+                found = [[{"item": matcher.items[n][0], "distance": d} for n, d in matcher.matches(t).items()] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(texts, pa.string()), pa.array([b + f for b, f in zip(before, found)], pa.list_(hit))], ["k", "t", "hits"])
 
     return run
 

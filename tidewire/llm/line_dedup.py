@@ -78,25 +78,32 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return classes.select("line", "first", "n").join(near, "line", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def _judged(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Column, Column, Column]:
-    """The rows with their lines and the line numbers that stay there."""
-    kept = line_classes(docs, key, text).where("not near").select("first.*").groupBy(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).agg(F.collect_list("line_no").alias("_kept"))
-    held = docs.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    blank = lambda x: trimmed(x) == ""
-    stays = lambda x, i: blank(x) | F.coalesce(F.array_contains("_kept", i), F.lit(False))
-    return held, lines, F.filter(lines, stays), F.size(F.filter(lines, lambda x: ~blank(x)))
+def _kept_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, h, kept): by key and hash of the text whether each line number stays, up to the last one that does."""
+    first = line_classes(docs, key, text).where("not near").select("first.*")
+    numbers = first.groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_list("line_no")).alias("stay"))
+    # A flag for each line, from the gaps between the numbers: a look-up by place costs one step.
+    gap = lambda n, i: F.when(i == 0, n).otherwise(n - F.get("stay", i - 1) - 1)
+    flags = F.flatten(F.transform("stay", lambda n, i: F.concat(F.array_repeat(F.lit(False), gap(n, i)), F.array(F.lit(True)))))
+    return numbers.select("k", "h", flags.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, each with its text cut to the lines that stay, and n_lines and n_kept (lines not blank).
 
     Of equal lines and of near-duplicates (see the module) the earliest stays; order is by key (null first), then by
-    line, then by a hash of the text. Blank lines stay and are not counted. A null text stays null. Rows that repeat key and text get one verdict.
-    Columns of ``docs`` other than key and text pass through.
+    line, then by a hash of the text. Blank lines stay and are not counted. A null text stays null. Rows that repeat
+    key and text get one verdict. Columns of ``docs`` other than key and text pass through whatever their names, but
+    for n_lines and n_kept, which the new ones replace.
     """
-    held, lines, stay, n = _judged(docs, key, text)
-    others = [c for c in docs.columns if c != text]
-    cut = held.select(*others, F.col(text).alias("_text"), stay.alias("_stay"), n.cast("long").alias("n_lines"))
-    count = F.size(F.filter("_stay", lambda x: trimmed(x) != ""))
-    return cut.select(*others, F.when(F.col("_text").isNotNull(), F.array_join("_stay", "\n")).alias(text), "n_lines", count.cast("long").alias("n_kept"))
+    kept = _kept_lines(docs, key, text)
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    said = F.col("row").getField(text)
+    held = row.join(kept, F.col("row").getField(key).eqNullSafe(F.col("k")) & (F.xxhash64(said) == F.col("h")), "left")
+    lines = F.split(F.coalesce(said, F.lit("")), "\n", -1)
+    blank = lambda x: trimmed(x) == ""
+    stay = F.filter(lines, lambda x, i: blank(x) | F.coalesce(F.get("kept", i), F.lit(False)))
+    cut = held.select("row", stay.alias("stay"), F.size(F.filter(lines, lambda x: ~blank(x))).cast("long").alias("n_lines"))
+    count = F.size(F.filter("stay", lambda x: ~blank(x))).cast("long")
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text, "n_lines", "n_kept")]
+    return cut.select(*others, F.when(said.isNotNull(), F.array_join("stay", "\n")).alias(text), "n_lines", count.alias("n_kept"))

@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,10 +186,29 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     component's smallest non-null key (null if there is none). Repeated keys and other columns do no harm.
     """
     found = saved(fingerprints(df, key, text))
-    firsts = found.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = components(fingerprint_links(firsts.select("fp"), k))
-    rooted = firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = saved(rooted)
+    rooted = _rooted(found.groupBy("fp").agg(F.min(key).alias("first")), k)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     byfp = rooted.join(least, "root").select("fp", "component_id")
     return found.join(byfp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(firsts: DataFrame, k: int) -> DataFrame:
+    """The rows of ``firsts`` (fp and first, a row for each fingerprint) with their component's root."""
+    roots = components(fingerprint_links(firsts.select("fp"), k))
+    return saved(firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
+    """One whole row of each component of ``near_duplicates``: the first by key (null first), then by a hash of the
+    text, then (rows that repeat both) by a hash of the other columns.
+
+    A row with a null key stays if its text is like no other's; blank and null texts are one component.
+    """
+    row = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+    name, said = F.col("row").getField(key), F.xxhash64(F.col("row").getField(text))
+    marks = fingerprints(df.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("id"), F.col(text).alias("t")), "id", "t")
+    firsts = saved(marks.groupBy("fp").agg(F.min("id").alias("first")))
+    chosen = _rooted(firsts, k).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k"), F.col("first.h").alias("h"))
+    kept = row.join(chosen, name.eqNullSafe(F.col("k")) & (said == F.col("h")), "left_semi")
+    one = Window.partitionBy(name, said).orderBy(F.xxhash64("row"))
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
