@@ -197,8 +197,8 @@ def test_compact_windows_stand_for_each_passage_once():
         found = substring_dedup.compact_windows(h, 4)
         for i in range(n):
             for j in range(i + 3, n):
-                holding = [c for lo, c, hi in found if lo <= i <= c <= j <= hi]
-                assert holding == [i + int(h[i : j + 1].argmin())]
+                holding = sorted(c for lo, c, hi in found if lo <= i <= c <= j <= hi)
+                assert holding == (i + np.flatnonzero(h[i : j + 1] == h[i : j + 1].min())).tolist()
 
 
 def planted_passages(rng, share):
@@ -388,3 +388,56 @@ def test_chat_records_that_look_like_a_layout(spark):
     assert {r.id: r.layout for r in made.collect()} == {1: None, 2: None, 3: None, 4: None, 5: "rows", 6: None, 7: None, 8: "exchange"}
     back = {r.id: r.turns for r in chat_format.parse_chats(made, "id").collect()}
     assert back[5][0].role == "human" and back[8][0].role == "user" and back[1] is None
+
+
+def near_by_brute_force(a, b):
+    """Whether two texts share a passage of 50 words or more with a similarity of 0.8, side by side at any offset."""
+    x, y = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (a, b))
+    for shift in range(-len(x), len(y)):
+        lo, hi = max(0, -shift), min(len(x), len(y) - shift)
+        sums, low = 0, {}
+        equal = [x[i] == y[i + shift] for i in range(lo, hi)]
+        before = [0]
+        for e in equal:
+            sums += 1 if e else -8
+            before.append(sums)
+        least = float("inf")
+        for end in range(substring_dedup.LEAST, len(before)):
+            least = min(least, before[end - substring_dedup.LEAST])
+            if before[end] >= least:
+                return True
+    return False
+
+
+def test_near_passages_have_full_recall_on_edited_copies(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    rows, sources = [], [[word() for _ in range(n)] for n in (50, 52, 60, 75, 100, 140)]
+    for i in range(60):
+        copy = list(sources[i % 6])
+        for _ in range(rng.randint(0, 1 + len(copy) // 60)):
+            p = rng.randrange(len(copy))
+            copy[p : p + 1] = [word()]
+        rows.append((i, [word() for _ in range(rng.randint(0, 40))] + copy + [word() for _ in range(rng.randint(0, 40))]))
+    near = {(a, b) for a, x in rows for b, y in rows if a > b and near_by_brute_force(x, y)}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.near_passages(frame).collect()}
+    assert got <= near and len(near) > 100
+
+    def rooted(pairs):
+        top = {k: k for k, _ in rows}
+        for _ in rows:
+            for a, b in pairs:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    # the links given connect all that any link connects
+    assert rooted(got) == rooted(near)
+
+
+def test_repetitive_texts_cost_no_more_than_others():
+    for text in ("tick " * 80_000, "tick tock " * 40_000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        values, bounds = substring_dedup.shingles(data, np.array([0, len(data)]))
+        h = substring_dedup.N.mixed(values)
+        assert len(substring_dedup.compact_windows(h)) <= len(h)
