@@ -65,9 +65,9 @@ def test_chat_escaping_is_reversible():
 
 def brute_embeddings(rows, cosine=0.9):
     """(key, links, component) by comparing all with all."""
-    x = [np.array(v, float) if v is not None and None not in v and len(v) == 8 and np.isfinite(np.array(v, float)).all() and np.any(v) else None for _, v in rows]
+    x = [np.array(v, float) if v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v) else None for _, v in rows]
     x = [v / np.abs(v).max() if v is not None else None for v in x]
-    near = [[i != j and x[i] is not None and x[j] is not None and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= cosine for j in range(len(x))] for i in range(len(x))]
+    near = [[i != j and x[i] is not None and x[j] is not None and len(x[i]) == len(x[j]) and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= cosine for j in range(len(x))] for i in range(len(x))]
     comp = list(range(len(x)))
     for i in range(len(x)):
         stack, seen = [i], {i}
@@ -80,13 +80,17 @@ def brute_embeddings(rows, cosine=0.9):
     return [(k, sum(n), c) for (k, _), n, c in zip(rows, near, comp)]
 
 
-def test_embeddings_equal_brute_force(spark):
+@pytest.mark.parametrize("small_length", [1 << 17, 100])
+def test_embeddings_equal_brute_force(spark, monkeypatch, small_length):
+    monkeypatch.setattr(embed_dedup, "SMALL", small_length)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.05 * (i % 11)).tolist()) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(20)] + [(330, [0.0] * 8), (331, None), (332, [None] + [1.0] * 7), (333, [float("nan")] * 8), (334, [1.0]), (335, [float("inf")] * 8), (336, (np.array(rows[5][1]) * 1e200).tolist())]
+    # other lengths, with links of their own
+    rows += [(340, [3.0]), (341, [0.5]), (342, [-1.0]), (343, []), *((350 + i, (np.arange(1, 41) + rng.normal(size=40) * 3).tolist()) for i in range(30))]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, raw int, n int")
-    for block in (16, 1024):
+    for block in (16, 1024) if small_length == 100 else (None,):
         got = embed_dedup.near_duplicates(frame, block=block).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute_embeddings(rows))
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
@@ -154,8 +158,8 @@ def test_loser_tree():
 def test_pseudo_likelihood_tells_language_from_noise(spark):
     rng = random.Random(6)
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("lang = 'en'").limit(600).collect()
-    flat = pseudo_lm.train(spark.createDataFrame(rows[:450], "doc_id long, text string"))
-    assert len(flat) == pseudo_lm.SIZE
+    model = pseudo_lm.train(spark.createDataFrame(rows[:450], "doc_id long, text string"))
+    assert len(model.flat) == pseudo_lm.SIZE
     held = [r.text for r in rows[450:] if len(r.text.split()) > 80]
     shuffled = []
     for t in held:
@@ -164,32 +168,70 @@ def test_pseudo_likelihood_tells_language_from_noise(spark):
         shuffled.append(" ".join(w))
     letters = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for t in held]
     frame = spark.createDataFrame(list(enumerate(held + shuffled + letters)), "doc_id long, text string")
-    mean = {r.doc_id: r["mean"] for r in pseudo_lm.score(frame, flat).collect()}
+    mean = {r.doc_id: r.score for r in pseudo_lm.score(frame, model).collect()}
     n = len(held)
-    untrained = {r.doc_id: r["mean"] for r in pseudo_lm.score(frame, np.concatenate([v.ravel() for v in pseudo_lm.parameters().values()])).collect()}
+    untrained = {r.doc_id: r.score for r in pseudo_lm.score(frame, pseudo_lm.Model(model.common, pseudo_lm.started())).collect()}
     assert np.mean([mean[i] - mean[2 * n + i] for i in range(n)]) > 0.5
+    assert np.mean([mean[i] - mean[n + i] for i in range(n)]) > 0.0
     assert np.mean([mean[i] - untrained[i] for i in range(n)]) > 0.5
 
 
+def plain_log_probability(p, ids, k):
+    """One token's log-probability by the definition."""
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+    side = lambda name, at: p[name][ids[at] if 0 <= at < len(ids) else pseudo_lm.OUTSIDE]
+    h = sum(side("left", k - d) + side("right", k + d) for d in (1, 2))
+    x = ids[k]
+    parts = [(0, 0, x >> 10), (1, x >> 10, (x >> 5) & 31), (2, x >> 5, x & 31)]
+    return sum(np.log(soft(h @ p[f"out{n}"] + p[f"bias{n}"][row])[digit]) for n, row, digit in parts)
+
+
 def test_pseudo_likelihood_sums_plain_probabilities(spark):
-    flat = np.random.default_rng(2).normal(size=pseudo_lm.SIZE)
-    p = pseudo_lm.parameters(flat)
+    rng = np.random.default_rng(2)
+    words = "one a b c d e f".split()
+    hashes = [pseudo_lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in words]
+    model = pseudo_lm.Model(np.array(hashes[:4], np.uint64), rng.normal(size=pseudo_lm.SIZE).astype(np.float32))
+    p = pseudo_lm.parameters(model.flat)
     texts = [None, "", "one", "a b  c\nd e f", "x " * 20_000]
-    got = {r.doc_id: r for r in pseudo_lm.score(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, mean int"), flat).collect()}
+    got = {r.doc_id: r for r in pseudo_lm.score(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, mean int"), model).collect()}
+    number = {w: i if i < 4 else pseudo_lm.COMMON + int(h) % pseudo_lm.RARE for i, (w, h) in enumerate(zip(words, hashes))}
     for i, t in enumerate(texts[:4]):
-        ids = [int(pseudo_lm.token_ids(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in (t or "").split()]
-        total = 0.0
-        for k, x in enumerate(ids):
-            h = sum(p["left"][ids[k - d] if k >= d else pseudo_lm.IDS] + p["right"][ids[k + d] if k + d < len(ids) else pseudo_lm.IDS] for d in (1, 2))
-            soft = lambda z: np.exp(z) / np.exp(z).sum()
-            g, q = divmod(x, pseudo_lm.GROUPS)
-            total += np.log(soft(h @ p["group"] + p["group_bias"])[g]) + np.log(soft(h @ p["place"] + p["place_bias"][g])[q])
+        ids = [number[w] for w in (t or "").split()]
         assert got[i].n_tokens == len(ids)
-        assert got[i].log_likelihood == pytest.approx(total, rel=1e-3, abs=1e-6)
-    assert got[0]["mean"] is None and got[4].n_tokens == 20_000
+        assert got[i].log_likelihood == pytest.approx(sum(plain_log_probability(p, ids, k) for k in range(len(ids))), rel=1e-3, abs=1e-6)
+    assert got[0].score is None and got[4].n_tokens == 20_000
     assert pseudo_lm.pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(3)
+    flat = rng.normal(0, 0.5, pseudo_lm.SIZE)
+    ids = rng.choice([5, 40, 1029, 65_000], 30)
+    rows = np.array([0, 12, 12, 30])
+    loss = lambda: -pseudo_lm.log_probabilities(pseudo_lm.parameters(flat), ids, rows).mean()
+    p, got = pseudo_lm.parameters(flat), pseudo_lm.gradients(pseudo_lm.parameters(flat), ids, pseudo_lm.contexts(ids, rows))
+    for k, (at, grad) in got.items():
+        dense = np.zeros(pseudo_lm.SHAPES[k])
+        dense[at] = grad
+        for _ in range(6):
+            r, c = rng.choice(np.arange(len(dense))[at]), rng.integers(dense.shape[1])
+            kept = p[k][r, c]
+            p[k][r, c] = kept + 1e-5
+            up = loss()
+            p[k][r, c] = kept - 1e-5
+            assert dense[r, c] == pytest.approx((up - loss()) / 2e-5, abs=1e-6)
+            p[k][r, c] = kept
+
+
+def test_training_doesnt_depend_on_partitions(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()] + [(None, None), (None, "a b c"), (None, "a b c")]
+    frame = lambda rows, n: spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+    one, other = (pseudo_lm.train(f) for f in (frame(rows, 2), frame(rows[::-1], 7)))
+    assert (one.common == other.common).all()
+    assert np.abs(one.flat - other.flat).max() < 1e-3
+    assert np.abs(one.flat - pseudo_lm.started()).max() > 0.1
+
+
 def test_compact_windows_stand_for_each_passage_once():
     rng = np.random.default_rng(3)
     for n in (0, 3, 10, 40):
@@ -349,28 +391,18 @@ def test_passage_is_the_longest_similar_stretch():
 
 
 def test_pseudo_likelihood_is_of_words_not_of_their_ids(spark):
-    def id_of(w):
-        return int(pseudo_lm.token_ids(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
-
-    common = "common"
-    rare = next(w for w in (f"rare{i}" for i in range(100_000)) if id_of(w) == id_of(common))
-    texts = ["one two common three four"] * 60 + [f"one two {rare} three four", None, ""]
+    rest = lambda w: int(pseudo_lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) % pseudo_lm.RARE
+    often = "often"
+    seldom = next(w for w in (f"seldom{i}" for i in range(100_000)) if rest(w) == rest(often))
+    # so many more frequent words that these two have no ids of their own
+    filler = [" ".join(f"w{i}" for i in range(pseudo_lm.COMMON + 10))] * 8
+    texts = [f"w1 w2 {often} w3 w4"] * 4 + [f"w1 w2 {seldom} w3 w4", None, "", *filler]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in pseudo_lm.pseudo_likelihood(frame).collect()}
     assert len(got) == len(texts)
-    assert got[0].log_likelihood - got[60].log_likelihood == pytest.approx(np.log(60), abs=1e-3)
-    assert got[60]["mean"] == pytest.approx(got[60].log_likelihood / 5)
-    assert [(got[i].n_tokens, got[i].log_likelihood, got[i]["mean"]) for i in (61, 62)] == [(0, 0, None)] * 2
-
-
-def test_pseudo_likelihood_keeps_what_one_partition_learnt_of_a_word(spark):
-    one, other = [("alpha beta gamma " * 400,)], [("delta epsilon zeta " * 4000,)]
-    frame = lambda rows, n: spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "text string")
-    both, alone = (pseudo_lm.parameters(pseudo_lm.train(f)) for f in (frame(one + other, 2), frame(one, 1)))
-    at = int(pseudo_lm.token_ids(np.frombuffer(b"beta", np.uint8), np.array([0, 4]))[0][0])
-    start = pseudo_lm.parameters()["left"][at]
-    assert np.abs(alone["left"][at] - start).max() > 0.01
-    assert both["left"][at] == pytest.approx(alone["left"][at], abs=1e-5)
+    assert got[0].log_likelihood - got[4].log_likelihood == pytest.approx(np.log(4), abs=1e-3)
+    assert got[4].score == pytest.approx(got[4].log_likelihood / 5)
+    assert [(got[i].n_tokens, got[i].log_likelihood, got[i].score) for i in (5, 6)] == [(0, 0, None)] * 2
 
 
 def test_chat_records_that_look_like_a_layout(spark):
@@ -441,3 +473,37 @@ def test_repetitive_texts_cost_no_more_than_others():
         values, bounds = substring_dedup.shingles(data, np.array([0, len(data)]))
         h = substring_dedup.N.mixed(values)
         assert len(substring_dedup.compact_windows(h)) <= len(h)
+
+
+def test_ego_join_finds_each_pair_once_and_skips_distant_leaves():
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(300, 64)))
+    x = unit(np.concatenate([centres, centres[:200] + rng.normal(size=(200, 64)) * 0.04, np.repeat(centres[:1], 150, 0) + rng.normal(size=(150, 64)) * 0.02]))
+    y = unit(np.concatenate([rng.normal(size=(90, 64)), centres[:50] + rng.normal(size=(50, 64)) * 0.05]))
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9)) if i < j}
+    got = [p for i, j in embed_dedup.ego_pairs(x, x, x, x, 0.9, True) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want
+    got = [p for i, j in embed_dedup.ego_pairs(x, y, x, y, 0.9, False) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(x @ y.T >= 0.9))))
+    shares = []
+    for n in (4_000, 16_000):
+        z, compared = unit(rng.normal(size=(n, 64))), []
+        list(embed_dedup.ego_pairs(z, z, z, z, 0.9, True, compared))
+        shares.append(sum(compared) / len(embed_dedup.dimension_groups(64)) / (n * n / 2))
+    assert shares[1] < shares[0] < 1
+
+
+def test_warc_of_large_payloads_and_of_no_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (1000, 100_000))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200_000)
+    rng = random.Random(5)
+    pages = {i: "".join(rng.choices("abcdefgh <>", k=n)) for i, n in enumerate([3, 10, 900, 50_000, 60_000, 70_000, 80_000, 300_000, 3_000_000, 0])}
+    frame = spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in pages.items()], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.deduplicated(frame), str(tmp_path / "w"))
+    sizes = [sum(len(b) for _, b in warc.parse_archive(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert sum(s > 250_000 for s in sizes) == 2 and len(sizes) >= 5
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_captures(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()) for i, t in pages.items()}
+    frame.limit(0).write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    assert queries.op9_warc(spark, str(tmp_path / "sf")).count() == 0

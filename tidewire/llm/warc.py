@@ -1,8 +1,9 @@
 """WARC archives: writing with revisit records, reading back, and a globally ordered index of the captures.
 
-An archive is written by Spark's own text writer: each row is a record up to its block's end, the line separator is
-the blank line that closes a record. Archives are gzipped as a whole and hold a bounded number of records, so that a
-reader never holds more than one archive. The index is an external merge: each archive yields one locally sorted run
+An archive is written by Spark's own text writer, which reaches any store: each row is a record up to its block's end,
+the line separator is the blank line that closes a record. That writer gzips a file as a whole (one member, not one a
+record) and gives no file a record of its own at the start, so archives have no warcinfo. Payloads are written by classes
+of size, so that an archive holds at most about ``ARCHIVE_BYTES`` before compression. The index is an external merge: each archive yields one locally sorted run
 of captures; runs are dealt by ranges of URL key, timestamp and page, and each range merges its parts of all runs with
 a loser tree. The ranges in order form the global capture history.
 """
@@ -25,7 +26,10 @@ from tidewire.llm.common import saved
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORDS_PER_FILE = 1000
+#: Payload bytes of an archive, about; one record may be larger.
+ARCHIVE_BYTES = 64 << 20
+#: Payloads up to so many bytes share archives of ARCHIVE_BYTES // bytes records; larger ones have archives of their own.
+CLASSES = (64 << 10, 1 << 20, 16 << 20)
 #: Captures that one range of the merged index holds, about.
 RANGE_ROWS = 200_000
 CAPTURES = "page_id long, url string, url_key string, captured string, record_type string, payload_digest string, payload_bytes long, refers_to long, run string, seq long"
@@ -39,8 +43,9 @@ def base32_sha1(data: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
 
-def record_id(page: Column, url: Column) -> Column:
-    h = F.sha1(F.concat_ws(" ", page.cast("string"), url).cast("binary"))
+def record_id(page: Column, digest: Column) -> Column:
+    """Rows that repeat page and payload describe one capture and share its id."""
+    h = F.sha1(F.concat_ws(" ", page.cast("string"), digest).cast("binary"))
     cut = [F.substr(h, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), cut[0], F.lit("-"), cut[1], F.lit("-5"), cut[2], F.lit("-8"), cut[3], F.lit("-"), cut[4], F.lit(">"))
 
@@ -66,7 +71,8 @@ def write_archives(records: DataFrame, path: str, captured: Column | None = None
     """Write the rows of ``deduplicated`` as WARC 1.1 records into gzipped archives below ``path``.
 
     ``captured`` is the time of each capture as text; by default one second per page_id from the start of 2024. A
-    revisit holds the response's HTTP head but no payload. Line breaks inside URLs are percent-encoded.
+    revisit holds the response's HTTP head but no payload. Line breaks inside URLs are percent-encoded. Null pages
+    have no X-Page-ID, repeated rows are records each, and no rows leave an empty folder.
     """
     if captured is None:
         captured = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -78,18 +84,25 @@ def write_archives(records: DataFrame, path: str, captured: Column | None = None
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"))),
+        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))),
         line("WARC-Date", captured),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(F.col("page_id").isNotNull(), line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(F.lit("")),
-        F.when(is_revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
+        F.when(is_revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"), F.col("payload_digest"))), line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         F.lit("Content-Length: "),
         F.octet_length(block).cast("string"),
     )
-    writer = records.select(F.concat(head, F.lit(END), block)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.mode("overwrite").text(path)
+    size, low = F.col("payload_bytes"), -1
+    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    for high in (*CLASSES, None):
+        part = records.where(size > low) if high is None else records.where((size > low) & (size <= high))
+        writer = part.select(F.concat(head, F.lit(END), block)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_BYTES // high if high else 1)
+        writer.mode("overwrite" if low < 0 else "append").text(path)
+        if high is None or largest <= high:
+            return
+        low = high
 
 
 def url_key(url: str) -> str:
@@ -105,28 +118,50 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + tail.lower()
 
 
+def _inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The archive's bytes in parts of about ``step``, whether it is gzipped (in one or more members) or plain."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = member.decompress(data, step)
+            data = member.unconsumed_tail
+            if not part and not data and not member.eof:
+                raise ValueError("the archive ends inside a gzip member")
+            yield part
+        data = member.unused_data
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of one archive, gzipped (in one or more members) or plain."""
-    if data[:2] == b"\x1f\x8b":
-        whole = []
-        while data:
-            member = zlib.decompressobj(31)
-            whole.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(whole)
-    at, end = 0, END.encode()
-    while at < len(data):
-        stop = data.index(end, at)
-        version, *lines = data[at:stop].decode().split("\r\n")
+    """(headers, block) of each record of one archive; of the inflated bytes no more than a record is held at a time."""
+    parts, held, end = _inflated(data), bytearray(), END.encode()
+
+    def filled(size: int) -> bool:
+        while len(held) < size:
+            part = next(parts, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    while filled(1):
+        stop = held.find(end)
+        while stop < 0:
+            if not filled(len(held) + 1):
+                raise ValueError("a record has no end of its headers")
+            stop = held.find(end)
+        version, *lines = held[:stop].decode().split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError("no record where one should begin")
         headers = dict(line.split(": ", 1) for line in lines)
         lo = stop + len(end)
         hi = lo + int(headers["Content-Length"])
-        if data[hi : hi + len(end)] != end:
-            raise ValueError(f"record at byte {at} doesn't end where it says")
-        yield headers, data[lo:hi]
-        at = hi + len(end)
+        if not filled(hi + len(end)) or held[hi : hi + len(end)] != end:
+            raise ValueError("a record doesn't end where it says")
+        yield headers, bytes(held[lo:hi])
+        del held[: hi + len(end)]
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -209,16 +244,17 @@ def merged_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     """The captures in global order of URL key, timestamp and page, over all partitions in turn.
 
     A range holds about ``range_rows`` captures whatever the inputs' number; the page in the key splits a URL that
-    has very many captures.
+    has very many captures. Spark brings each range's part of every run, in the run's order; the loser tree merges
+    them. Null pages come first, repeated captures all stay, and no captures give an empty index.
     """
     ranges = max(1, -(-captures.count() // range_rows))
-    dealt = captures.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_first())
+    dealt = captures.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_first()).sortWithinPartitions("run", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
-        whole = pa.Table.from_batches(tables).sort_by([("run", "ascending"), ("seq", "ascending")]).combine_chunks()
+        whole = pa.Table.from_batches(tables).combine_chunks()
         keys = list(zip(*(whole.column(c).to_pylist() for c in ("page_id", "url", "url_key", "captured"))))
         name = whole.column("run").to_pylist()
         starts = [i for i in range(len(name)) if i == 0 or name[i] != name[i - 1]]
