@@ -114,7 +114,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.warc import deduplicated, merged_index, read_captures, write_archives
 
     at = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(deduplicated(table(spark, sf_dir, "pages")), at)
+    pages = table(spark, sf_dir, "pages")
+    write_archives(deduplicated(pages), at, largest=pages.agg(F.max(F.octet_length("html"))).first()[0] or 0)
     index = merged_index(saved(read_captures(spark, at)))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

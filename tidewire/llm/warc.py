@@ -67,12 +67,13 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return both.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str, captured: Column | None = None) -> None:
+def write_archives(records: DataFrame, path: str, captured: Column | None = None, largest: int | None = None) -> None:
     """Write the rows of ``deduplicated`` as WARC 1.1 records into gzipped archives below ``path``.
 
     ``captured`` is the time of each capture as text; by default one second per page_id from the start of 2024. A
     revisit holds the response's HTTP head but no payload. Line breaks inside URLs are percent-encoded. Null pages
-    have no X-Page-ID, repeated rows are records each, and no rows leave an empty folder.
+    have no X-Page-ID, repeated rows are records each, and no rows leave an empty folder. ``largest``, the bytes of the
+    largest payload, is looked up if it isn't given.
     """
     if captured is None:
         captured = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -95,7 +96,8 @@ def write_archives(records: DataFrame, path: str, captured: Column | None = None
         F.octet_length(block).cast("string"),
     )
     size, low = F.col("payload_bytes"), -1
-    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    if largest is None:
+        largest = records.agg(F.max("payload_bytes")).first()[0] or 0
     for high in (*CLASSES, None):
         part = records.where(size > low) if high is None else records.where((size > low) & (size <= high))
         writer = part.select(F.concat(head, F.lit(END), block)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_BYTES // high if high else 1)
