@@ -94,6 +94,12 @@ def staleness(age_hours: Column) -> Column:
     return F.when(age_hours < 2, "fresh").when(age_hours < 6, "warn").otherwise("bad")
 
 
+def year_of_date(month: Column, day: Column, today: Column) -> Column:
+    """Like ``year_of``, and this year for what is no date."""
+    this = F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(today), month, day), "yyyy-MM-dd")
+    return F.when(this > F.date_add(today, 2), F.year(today) - 1).otherwise(F.year(today))
+
+
 def year_of(month: Column, day: Column, today: Column) -> Column:
     """The year a month and day without year mean: this one, or the last if the date lies over two days ahead."""
     this = F.make_date(F.year(today), month, day)

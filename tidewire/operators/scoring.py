@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import has_word, matched
+from tidewire.functions.times import bound
+from tidewire.functions.urls import host
 from tidewire.plans.dims import KEEP_AT
 
 
@@ -87,6 +89,12 @@ def is_tutorial(title: Column, rules: Rules) -> Column:
     return opens | any_of(title, rules.tutorial_inside)
 
 
+def tutorial_signals(title: Column, rules: Rules) -> Column:
+    """The phrases that make a lower-cased title a tutorial's, sorted."""
+    opens = F.nullif(F.regexp_extract(F.trim(title), r"^(" + "|".join(rules.tutorial) + r")\b", 1), F.lit("")) if rules.tutorial else F.lit(None).cast("string")
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(opens)), matched(title, rules.tutorial_inside))))
+
+
 def has_signal(text: Column, rules: Rules) -> Column:
     """Whether a lower-cased text holds a term of the subject other than a broad one."""
     narrow = any_of(text, [t for t in rules.signal if t not in rules.broad])
@@ -98,27 +106,39 @@ def has_broad(text: Column, rules: Rules) -> Column:
     return any_of(text, rules.broad) | has_word(text, words) if words else any_of(text, rules.broad)
 
 
-def verdict(score: Column, name: Column | str, related: Column | bool) -> Column:
-    name, related = (F.lit(x) if isinstance(x, str | bool) else x for x in (name, related))
-    return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), name.alias("label"), related.alias("related"))
+def verdict(score: Column, name: Column | str, related: Column | bool, reason: Column | str = "") -> Column:
+    """struct(score clamped to 0..1 and rounded to 2 digits, label, related, reason)."""
+    name, related, reason = (F.lit(x) if isinstance(x, str | bool) else x for x in (name, related, reason))
+    return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"), name.alias("label"), related.alias("related"), reason.alias("reason"))
 
 
 def relevance(text: Column, prior: Column, rules: Rules = NEWS, title: Column | None = None) -> Column:
-    """struct(score double, label string, related boolean) of a lower-cased text: the first rule that holds decides."""
+    """struct(score double, label string, related boolean, reason string) of a lower-cased text: the first rule that
+    holds decides."""
+    said = F.struct(text.alias("text"), prior.alias("prior"), (text if title is None else title).alias("title"))
+    return bound(said, lambda s: _general(s["text"], s["prior"], rules, s["title"]))
+
+
+def _general(text: Column, prior: Column, rules: Rules, title: Column) -> Column:
     signals, tech = F.size(matched(text, rules.signal)), F.size(matched(text, rules.tech))
     noise = F.size(matched(text, rules.noise + rules.commerce))
     narrow, broad = has_signal(text, rules), has_broad(text, rules)
     keep = F.greatest(F.lit(KEEP_AT), prior + F.when(narrow, 0.52).otherwise(0.34) + F.least(F.lit(0.18), signals * 0.04) + F.least(F.lit(0.12), tech * 0.03) - F.least(F.lit(0.18), noise * 0.04))
+    found = F.when(narrow, "matched_ai_signal").otherwise("matched_broad_ai_plus_tech_signal")
     return (
-        F.when(is_unsafe(text, rules), verdict(F.lit(0.0), "unsafe_content", False))
-        .when(is_tutorial(text if title is None else title, rules), verdict(F.lit(0.15), "tutorial_excluded", False))
-        .when(~narrow & ~(broad & (tech > 0)), verdict(prior + F.when(broad, 0.32).otherwise(0.0) + F.when(tech > 0, 0.08).otherwise(0.0), "not_ai", False))
-        .when(any_of(text, rules.commerce) & ~narrow, verdict(prior + 0.25, "commerce_noise", False))
-        .when((noise > 0) & ~narrow, verdict(prior + 0.25, "noise", False))
-        .otherwise(verdict(keep, label(text, rules, tech > 0), True))
+        F.when(is_unsafe(text, rules), verdict(F.lit(0.0), "unsafe_content", False, UNSAFE))
+        .when(is_tutorial(title, rules), verdict(F.lit(0.15), "tutorial_excluded", False, TUTORIAL))
+        .when(~narrow & ~(broad & (tech > 0)), verdict(prior + F.when(broad, 0.32).otherwise(0.0) + F.when(tech > 0, 0.08).otherwise(0.0), "not_ai", False, "missing_meaningful_ai_signal"))
+        .when(any_of(text, rules.commerce) & ~narrow, verdict(prior + 0.25, "commerce_noise", False, "commerce_noise_without_strong_ai_signal"))
+        .when((noise > 0) & ~narrow, verdict(prior + 0.25, "noise", False, "noise_without_strong_ai_signal"))
+        .otherwise(verdict(keep, label(text, rules, tech > 0), True, found))
     )
 
 
+# Reasons that also decide which signals and noise an item shows.
+UNSAFE, TUTORIAL, HOT, BOARD, MEDIA, TRUSTED = "unsafe_promotional_content", "tutorial_title_pattern", "zeli_24h_hot_allowlist", "tophub_blocked_channel", "curated_media_source_filter", "trusted_ai_source_default_keep"
+
+
 @dataclass(frozen=True)
 class Scope:
     """What single sites' feeds have to meet before or instead of the cascade's general rules."""
@@ -166,61 +186,89 @@ def media_relevance(source: Column, title: Column, text: Column, prior: Column,
     score = F.when(lab, F.least(whole, F.lit(0.76))).otherwise(whole) - F.when((noise > 0) & ~in_title, F.least(F.lit(0.16), noise * 0.04)).otherwise(0.0)
     name = F.when(lab | paper, "research_paper").when(any_of(title, scope.business), "industry_business").otherwise(label(text, rules, tech > 0))
     return (
-        F.when(lab & ~in_title & ~paper, verdict(F.lit(0.22), "source_scope_drop", False))
-        .when(~trusted & ~lab & ~in_title & ~(broad & (tech > 0)), verdict(prior + F.when(broad, 0.28).otherwise(0.0), "source_scope_drop", False))
-        .otherwise(verdict(score, name, score >= KEEP_AT))
+        F.when(lab & ~in_title & ~paper, verdict(F.lit(0.22), "source_scope_drop", False, "curated_research_source_requires_research_or_ai_title_signal"))
+        .when(~trusted & ~lab & ~in_title & ~(broad & (tech > 0)), verdict(prior + F.when(broad, 0.28).otherwise(0.0), "source_scope_drop", False, "curated_media_requires_ai_title_or_trusted_ai_feed"))
+        .otherwise(verdict(score, name, score >= KEEP_AT, MEDIA))
     )
 
 
 def site_relevance(site: Column, source: Column, title: Column, site_name: Column, host: Column, prior: Column, rules: Rules = NEWS, scope: Scope = NEWS_SCOPE) -> Column:
-    """The whole cascade over an item: safety, tutorials, the rules of its site, then ``relevance``. Null columns count
-    as empty; of the URL only the host is read, as paths hold terms by chance."""
+    """The whole cascade over an item: safety, tutorials, the rules of its site, then ``relevance``; with the signals and
+    the noise that explain it. Null columns count as empty; of the URL only the host is read, as paths hold terms by
+    chance."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    site, source, title, host = F.coalesce(site, F.lit("")), low(source), low(title), low(host)
-    text = F.concat_ws(" ", title, source, low(site_name), host)
+    text = F.concat_ws(" ", low(title), low(source), low(site_name), low(host))
+    said = F.struct(F.coalesce(site, F.lit("")).alias("site"), low(source).alias("source"), low(title).alias("title"), low(host).alias("host"), text.alias("text"), prior.alias("prior"))
+    return bound(said, lambda s: bound(_cascade(s, rules, scope), lambda got: _explained(s, got, rules, scope)))
+
+
+def _cascade(s: Column, rules: Rules, scope: Scope) -> Column:
+    site, source, title, host, text, prior = (s[c] for c in ("site", "source", "title", "host", "text", "prior"))
     tech = F.size(matched(text, rules.tech)) > 0
-    drop = lambda score, name="source_scope_drop": verdict(F.lit(score), name, False)
+    drop = lambda score, reason, name="source_scope_drop": verdict(F.lit(score), name, False, reason)
     board, domain = site == scope.board_site, F.lit(False)
     for d in scope.domains:
         domain = domain | (host == d) | host.endswith(f".{d}")
     return (
-        F.when(is_unsafe(text, rules), drop(0.0, "unsafe_content"))
-        .when(is_tutorial(title, rules), drop(0.15, "tutorial_excluded"))
-        .when(any_of(source, scope.forwarded) | domain, drop(0.1))
-        .when((site == scope.hot_site) & F.contains(source, F.lit(scope.hot_source)), verdict(F.greatest(F.lit(KEEP_AT), prior + 0.62), "curated_hotlist", True))
-        .when(site == scope.hot_site, drop(0.2))
-        .when(board & any_of(source, scope.board_block), drop(0.05, "noise"))
-        .when(board & ~any_of(source, scope.board_allow), drop(0.12))
+        F.when(is_unsafe(text, rules), drop(0.0, UNSAFE, "unsafe_content"))
+        .when(is_tutorial(title, rules), drop(0.15, TUTORIAL, "tutorial_excluded"))
+        .when(any_of(source, scope.forwarded), drop(0.1, "hn_forwarded_source_excluded"))
+        .when(domain, drop(0.1, "aggregator_backdoor_domain_excluded"))
+        .when((site == scope.hot_site) & F.contains(source, F.lit(scope.hot_source)), verdict(F.greatest(F.lit(KEEP_AT), prior + 0.62), "curated_hotlist", True, HOT))
+        .when(site == scope.hot_site, drop(0.2, "zeli_only_keeps_24h_hot_source"))
+        .when(board & any_of(source, scope.board_block), drop(0.05, BOARD, "noise"))
+        .when(board & ~any_of(source, scope.board_allow), drop(0.12, "tophub_channel_not_in_allowlist"))
         .when(site == scope.media_site, media_relevance(source, title, text, prior, rules, scope))
-        .when(site.isin(scope.trusted_sites), verdict(F.greatest(F.lit(KEEP_AT), prior + 0.72), label(text, rules, tech), True))
-        .otherwise(relevance(text, prior, rules, title))
+        .when(site.isin(scope.trusted_sites), verdict(F.greatest(F.lit(KEEP_AT), prior + 0.72), label(text, rules, tech), True, TRUSTED))
+        .otherwise(_general(text, prior, rules, title))
     )
 
 
-def event_tags(text: Column, categories: list[tuple[str, list[str]]], short: int = 3) -> Column:
-    """Categories with a term in the text, in table order; short terms need word boundaries."""
+def _explained(s: Column, got: Column, rules: Rules, scope: Scope) -> Column:
+    site, source, title, text = (s[c] for c in ("site", "source", "title", "text"))
+    why, own, none = got["reason"], matched(text, rules.signal), F.array().cast("array<string>")
+    all_ = F.concat(own, matched(text, rules.tech))
+    disturbing = F.concat(matched(text, rules.noise), matched(text, rules.commerce))
+    or_else = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
+    signals = (
+        F.when(why == UNSAFE, none)
+        .when(why == HOT, F.array(F.lit("zeli_24h_hot")))
+        .when((why == MEDIA) & any_of(source, scope.media_trusted), or_else(all_, F.array(source)))
+        .when(why == TRUSTED, or_else(own, F.array(site)))
+        .otherwise(all_)
+    )
+    noise = F.when(why == UNSAFE, F.array(F.lit(UNSAFE))).when(why == TUTORIAL, tutorial_signals(title, rules)).when(why == BOARD, or_else(disturbing, matched(source, scope.board_block))).otherwise(disturbing)
+    return F.struct(got["score"].alias("score"), got["label"].alias("label"), got["related"].alias("related"), why.alias("reason"), signals.alias("signals"), noise.alias("noise"))
 
-    def hit(terms: list[str]) -> Column:
-        words, parts = [t for t in terms if len(t) <= short], [t for t in terms if len(t) > short]
-        return any_of(text, parts) | (has_word(text, words) if words else F.lit(False))
 
-    return F.array_compact(F.array(*[F.when(hit(terms), F.lit(name)) for name, terms in categories]))
+def with_relevance(items: DataFrame, prior: Column, rules: Rules = NEWS, scope: Scope = NEWS_SCOPE) -> DataFrame:
+    """``items`` (site_id, source, title, site_name, url) with ai_is_related, ai_score, ai_label, ai_relevance_reason,
+    ai_signals and ai_noise."""
+    r = site_relevance(F.col("site_id"), F.col("source"), F.col("title"), F.col("site_name"), host(F.coalesce("url", F.lit(""))), prior, rules, scope)
+    names = {"related": "ai_is_related", "score": "ai_score", "label": "ai_label", "reason": "ai_relevance_reason", "signals": "ai_signals", "noise": "ai_noise"}
+    return items.select("*", r.alias("_r")).select(*[F.col(c) for c in items.columns if c not in names.values()], *[F.col("_r")[k].alias(v) for k, v in names.items()])
 
 
-def cooccurs(text: Column, *groups: list[str]) -> Column:
-    """Whether one sentence holds a term of each group."""
-    inside = lambda s: F.reduce(F.array(*[any_of(s, g) for g in groups]), F.lit(True), lambda a, b: a & b)
-    return F.exists(F.split(text, r"[.!?。！？;；\n]+"), inside)
+def relevance_score(*scores: Column, related: Column) -> Column:
+    """The first given score as a number in 0..1; one that doesn't read as a number, or none: 1 for related items, else 0."""
+    read = F.coalesce(*[s.cast("string") for s in scores]).try_cast("double")
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), read)), F.when(related, 1.0).otherwise(0.0))
 
 
 def freshness(age_hours: Column, half_life: float = 48.0) -> Column:
     return F.when(age_hours.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_hours) / half_life)))
 
 
-def editorial(external: Column, related: Column, relevance_score: Column) -> Column:
-    outside = F.when(external > 1, external / 100).otherwise(external)
+# Editorial strength of sites that choose what they publish.
+EDITORIAL_SITES = {"official_ai": 0.9, "aihot": 0.78}
+
+
+def editorial(external: Column, related: Column, relevance_score: Column, site: Column | None = None) -> Column:
+    """An outside score (percent or share), else the site's own strength, else one from the relevance."""
+    outside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(external > 1, external / 100).otherwise(external)))
     own = F.when(related, F.greatest(F.lit(0.45), relevance_score * 0.72)).otherwise(relevance_score * 0.6)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(outside, own)))
+    of_site = F.lit(None).cast("double") if site is None else F.create_map(*[F.lit(x) for pair in EDITORIAL_SITES.items() for x in pair])[site]
+    return F.coalesce(outside, of_site, own)
 
 
 def importance(editorial_: Column, tier: Column, relevance_: Column, fresh: Column, duplicates: Column) -> Column:
@@ -228,8 +276,19 @@ def importance(editorial_: Column, tier: Column, relevance_: Column, fresh: Colu
     return editorial_ * 0.30 + tier * 0.22 + relevance_ * 0.20 + fresh * 0.18 + heat * 0.10
 
 
-def creator_heat(likes: Column, comments: Column, collects: Column, shares: Column, factor: float = 22) -> Column:
-    return F.least(F.lit(100.0), F.log10(1 + likes + comments * 2 + collects * 1.5 + shares * 2) * factor)
+# The scale of a creator site's engagement; hours and points of the bonus for what is fresh.
+CREATOR_SCALES, CREATOR_SCALE, BONUS_HOURS, BONUS_POINTS = {"tikhub_xiaohongshu": 22.0}, 20.0, 24, 15.0
+
+
+def creator_ranking(site: Column, likes: Column, comments: Column, collects: Column, shares: Column, age_hours: Column) -> Column:
+    """struct(engagement, heat, bonus, hot) of a creator's post, each rounded to 1 digit; a null age has no bonus."""
+    count = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    total = count(likes) + count(comments) * 2.0 + count(collects) * 1.5 + count(shares) * 2.0
+    scale = F.coalesce(F.create_map(*[F.lit(x) for pair in CREATOR_SCALES.items() for x in pair])[site], F.lit(CREATOR_SCALE))
+    heat = F.least(F.lit(100.0), scale * F.log10(1.0 + total))
+    bonus = F.when((age_hours >= 0) & (age_hours <= BONUS_HOURS), BONUS_POINTS).otherwise(0.0)
+    hot = F.least(F.lit(100.0), heat * 0.85 + bonus)
+    return F.struct(*[F.round(c, 1).alias(n) for n, c in (("engagement", total), ("heat", heat), ("bonus", bonus), ("hot", hot))])
 
 
 def hotness(sources: Column, age_hours: Column) -> Column:

@@ -1,109 +1,129 @@
-"""Title similarity, near-duplicate suppression and leader clustering of items into stories.
+"""Near-duplicate suppression and leader clustering of items into stories.
 
-Both clusterings are greedy in time order, so rows are grouped before a small kernel replays the order: suppression by
-site and run of close times, clustering by a bucket column (items of different buckets never share a story).
+Both are greedy in time order. Similar pairs of titles come from ``similar``; what depends on the order is then settled
+over bands of time, so that no site, title or story is gathered into one task.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import title_tokens, vendors
+from tidewire.functions import text as X
+from tidewire.functions.items import is_mergeable
+from tidewire.operators.graph import components, settled
+from tidewire.operators.similar import band_of, similar_titles, story_similarity
 
 
-def similarity(a: str, b: str, ta: set[str], tb: set[str]) -> float:
-    """max(s, 0.6 s + 0.4 j): s from the standard library's matcher, j the tokens' Jaccard similarity."""
-    if not ta or not tb:
-        return 0.0
-    j = len(ta & tb) / len(ta | tb)
-    matcher = SequenceMatcher(None, a.lower(), b.lower())
-    s = matcher.ratio()
-    return round(max(s, s * 0.6 + j * 0.4), 4)
+def _ordered(items: DataFrame) -> Column:
+    rank = F.col("tier_rank") if "tier_rank" in items.columns else F.lit(0)
+    return F.struct("event_time", rank.cast("int").alias("tier_rank"), "title", "id")
 
 
-def may_merge(va: set[str], vb: set[str]) -> bool:
-    return not (va and vb and va.isdisjoint(vb))
+def story_clusters(items: DataFrame, hours: float = 6.0, threshold: float = 0.86) -> DataFrame:
+    """(id, leader, reason, similarity): each item's story, named by its leader's id, over the items of all sites.
 
+    Columns: id, title (normalised for stories), url (canonical), event_time; with tier_rank, it orders items of one
+    time. An item whose URL an earlier one has joins that one's story (canonical_url, 1.0); else the first story whose
+    leader is at most ``hours`` older and has a similar title of no other vendor or model (title_similarity); else it
+    leads a story of its own (null reason). Titles of fewer than 4 tokens or 18 characters lead stories but join none by
+    title; items without a time meet others by URL only.
 
-def _prepared(items: DataFrame) -> DataFrame:
-    return items.withColumn("tokens_", title_tokens(F.col("title"))).withColumn("vendors_", vendors(F.col("title")))
+    An item leads if no earlier similar item within the window leads. That is settled in rounds: the first open item of
+    each title and band leads if no similar title has an earlier open one, and all that are then similar to a new leader
+    follow it. The rounds grow with the leaders that follow each other closely, not with the items.
+    """
+    seconds = F.col("event_time").cast("double")
+    rows = settled(items.select("id", "title", F.coalesce("url", F.lit("")).alias("url"), seconds.alias("ts"), band_of(seconds, hours).alias("band"), _ordered(items).alias("o")))
+    firsts = rows.where("url != ''").groupBy("url").agg(F.min("o").alias("o"))
+    heads = settled(rows.where("url = ''").unionByName(rows.join(firsts, ["url", "o"], "left_semi")).withColumn("open", F.coalesce(is_mergeable(F.col("title")) & F.col("ts").isNotNull(), F.lit(False))))
+    pairs = similar_titles(heads.select(F.lit("").alias("scope"), "band", "title"), threshold).select("a", "b", "similarity")
+    own = heads.where("open").select(F.col("title").alias("a"), F.col("title").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    pairs = settled(pairs.join(own.select("a"), "a", "left_semi").unionByName(own))
+    late = hours * 3600
+    leaders, waiting = heads.where("not open").select("id", "title", "ts", "band", "o"), heads.where("open").select("id", "title", "ts", "band", "o")
+    followed = None
+    fresh = settled(leaders)
+    while True:
+        # What new leaders reach: titles similar to theirs, in their band and the next.
+        reach = pairs.join(fresh.where("ts is not null").select(F.col("title").alias("b"), F.col("id").alias("leader"), F.col("ts").alias("l_ts"), F.col("o").alias("l_o"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")), "b")
+        reach = settled(reach.select(F.col("a").alias("title"), "band", "leader", "l_ts", "l_o", "similarity"))
+        followed = reach if followed is None else followed.unionByName(reach)
+        in_reach = (F.col("l_o") < F.col("o")) & (F.col("ts") - F.col("l_ts") <= late)
+        taken = waiting.join(reach, ["title", "band"]).where(in_reach).select("id").distinct()
+        waiting = settled(waiting.join(taken, "id", "left_anti"))
+        if waiting.isEmpty():
+            break
+        cells = settled(waiting.groupBy("title", "band").agg(F.min("o").alias("o"), F.min_by("ts", "o").alias("ts"), F.max("ts").alias("last")))
+        near = cells.select(F.col("title").alias("b"), F.col("o").alias("b_o"), F.col("last").alias("b_last"), F.col("band").alias("b_band"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+        before = (F.col("b_o") < F.col("o")) & (F.col("b_last") >= F.col("ts") - late)
+        held = cells.join(pairs.select(F.col("a").alias("title"), "b"), "title").join(near, ["b", "band"]).where(before).select("o").distinct()
+        fresh = settled(waiting.join(cells.join(held, "o", "left_anti").select("o"), "o", "left_semi").select("id", "title", "ts", "band", "o"))
+        leaders = leaders.unionByName(fresh)
+        waiting = waiting.join(fresh.select("id"), "id", "left_anti")
+    leaders = settled(leaders)
+    members = heads.where("open").join(leaders.select("id"), "id", "left_anti").join(followed, ["title", "band"]).where(in_reach)
+    joined = members.groupBy("id").agg(F.min_by(F.struct("leader", "similarity"), "l_o").alias("m")).select("id", "m.leader", F.lit("title_similarity").alias("reason"), "m.similarity")
+    led = leaders.select("id", F.col("id").alias("leader"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("similarity"))
+    settled_heads = settled(joined.unionByName(led))
+    stories = heads.where("url != ''").join(settled_heads, "id").select("url", "leader")
+    same = rows.where("url != ''").join(heads.select("id"), "id", "left_anti").join(stories, "url").select("id", "leader", F.lit("canonical_url").alias("reason"), F.lit(1.0).alias("similarity"))
+    return settled_heads.unionByName(same)
 
 
 def suppress_near_duplicates(items: DataFrame, hours: float = 6.0, threshold: float = 0.9, history: int = 60) -> DataFrame:
-    """The ids that stay. Columns: id, site_id, title, event_time, tier_rank, score.
+    """The ids that stay, with their site. Columns: id, site_id, title (normalised), event_time, tier_rank, score.
 
-    In time order within a site, a row meets the last ``history`` kept rows, newest first, up to ``hours`` older; the
-    first that is similar enough is its copy, and of the two the better one (tier, score, time) stays.
-    """
+    In time order within a site, a row meets the rows kept before it, newest first, up to ``hours`` older; the first of
+    at least half the same tokens and a similar title of no other vendor or model is its copy, and of the two the better
+    one (tier, score, time) stays in its place. A row whose title has fewer than 4 tokens or 18
+    characters is no one's copy, though a later row may replace it; rows without a time always stay.
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["event_time", "tier_rank", "title", "id"])
+    Rows without any similar one need no order. The others are replayed chain by chain: a chain is one site's similar
+    titles in neighbouring bands, and ``history`` counts its kept rows.
+    """
+    seconds = F.col("event_time").cast("double")
+    rows = settled(items.select("id", "site_id", "title", F.col("tier_rank").cast("int").alias("tier_rank"), F.col("score").cast("double").alias("score"), seconds.alias("ts"), band_of(seconds, hours).alias("band"), is_mergeable(F.col("title")).alias("mergeable")))
+    scope = F.coalesce("site_id", F.lit(""))
+    cell = lambda title, band: F.xxhash64("scope", title, band)
+    held = settled(rows.where("ts is not null").groupBy(scope.alias("scope"), "title", "band").agg(F.count("*").alias("n")))
+    pairs = similar_titles(held.select("scope", "band", "title"), threshold, 0.5).select("scope", "a", "b").where("a < b")
+    own = held.select("scope", F.col("title").alias("a"), F.col("title").alias("b")).distinct()
+    step = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("other")
+    met = pairs.unionByName(own).join(held.select("scope", F.col("title").alias("a"), "band", step), ["scope", "a"])
+    met = met.join(held.select("scope", F.col("title").alias("b"), F.col("band").alias("other")), ["scope", "b", "other"])
+    chains = components(met.select(cell("a", "band").alias("src"), cell("b", "other").alias("dst")))
+    keyed = rows.withColumn("scope", scope).withColumn("node", cell("title", "band"))
+    # A cell of its own with several rows is a chain as well.
+    crowded = held.where("n > 1").select(cell("title", "band").alias("node"))
+    roots = settled(chains.unionByName(crowded.join(chains, "node", "left_anti").select("node", F.col("node").alias("root"))))
+    placed = keyed.where("ts is not null").join(roots, "node", "left").select("id", "site_id", "title", "tier_rank", "score", "ts", "mergeable", "root")
+    alone = placed.where("root is null").select("id", "site_id").unionByName(keyed.where("ts is null").select("id", "site_id"))
+
+    def replay(part: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
-        for r in rows.itertuples():
-            tokens, names = set(r.tokens_), set(r.vendors_)
-            for at in range(len(kept) - 1, max(-1, len(kept) - 1 - history), -1):
-                other, o_tokens, o_names = kept[at]
-                if abs((r.event_time - other.event_time).total_seconds()) > hours * 3600 or not tokens or not o_tokens:
+        for r in part.sort_values(["ts", "tier_rank", "title", "id"]).itertuples():
+            tokens = set(r.tokens)
+            for at in range(len(kept) - 1, max(-1, len(kept) - 1 - history), -1) if r.mergeable else ():
+                other, o_tokens = kept[at]
+                if r.ts - other.ts > hours * 3600 or len(tokens & o_tokens) < 0.5 * len(tokens | o_tokens):
                     continue
-                if len(tokens & o_tokens) / len(tokens | o_tokens) < 0.5 or not may_merge(names, o_names):
+                if _parted(r.vendors, other.vendors) or _parted(r.models, other.models):
                     continue
-                if similarity(r.title, other.title, tokens, o_tokens) >= threshold:
-                    if (-r.tier_rank, r.score, -r.event_time.timestamp()) > (-other.tier_rank, other.score, -other.event_time.timestamp()):
-                        kept[at] = (r, tokens, names)
+                if story_similarity(r.title, other.title, tokens, o_tokens, threshold) >= threshold:
+                    if (-r.tier_rank, r.score, -r.ts) > (-other.tier_rank, other.score, -other.ts):
+                        kept[at] = (r, tokens)
                     break
             else:
-                kept.append((r, tokens, names))
-        return pd.DataFrame({"id": [k.id for k, _, _ in kept], "site_id": [k.site_id for k, _, _ in kept]})
-
-    # a run ends where the next row is more than the window later, so a site's history splits into many groups
-    day = Window.partitionBy("site_id").orderBy("event_time", "id")
-    gap = F.col("event_time").cast("double") - F.lag(F.col("event_time").cast("double")).over(day) > hours * 3600
-    runs = _prepared(items).withColumn("_run", F.sum(F.when(gap, 1).otherwise(0)).over(day))
-    names = [("id", "long"), ("title", "string"), ("event_time", "timestamp"), ("tier_rank", "int"), ("score", "double")]
-    own = runs.select("site_id", "_run", "tokens_", "vendors_", *[F.col(n).cast(t).alias(n) for n, t in names])
-    return own.groupBy("site_id", "_run").applyInPandas(lambda rows: kernel(rows), "id long, site_id string").select("id", "site_id")
+                kept.append((r, tokens))
+        return pd.DataFrame({"id": [k.id for k, _ in kept], "site_id": [k.site_id for k, _ in kept]})
 
+    title = F.col("title")
+    chained = placed.where("root is not null").select("root", "id", "site_id", "title", F.coalesce("tier_rank", F.lit(99)).alias("tier_rank"), F.coalesce("score", F.lit(0.0)).alias("score"), "ts", F.coalesce("mergeable", F.lit(False)).alias("mergeable"), X.title_tokens(title).alias("tokens"), X.vendors(title).alias("vendors"), X.models(title).alias("models"))
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in ("id", "site_id"))
+    return chained.groupBy("root").applyInPandas(replay, kinds).unionByName(alone)
 
-def story_clusters(items: DataFrame, hours: float = 6.0, threshold: float = 0.86, bucket: str = "site_id") -> DataFrame:
-    """(id, leader, reason, similarity): each item's story, named by its leader's id, in each ``bucket``.
-
-    A canonical URL seen before joins its story (canonical_url, 1.0); else the first story whose leader is within
-    ``hours`` and similar enough (title_similarity); else the item leads a story of its own (null reason). Titles of
-    fewer than 4 tokens or 18 characters lead stories but join none by title.
-    """
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["event_time", "title", "id"])
-        leaders, by_url, out = [], {}, []
-        for r in rows.itertuples():
-            tokens, names = set(r.tokens_), set(r.vendors_)
-            if r.url and r.url in by_url:
-                out.append((r.id, by_url[r.url], "canonical_url", 1.0))
-                continue
-            found = None
-            if len(tokens) >= 4 and len(r.title.strip()) >= 18:
-                for leader, l_tokens, l_names in leaders:
-                    if abs((r.event_time - leader.event_time).total_seconds()) > hours * 3600 or not may_merge(names, l_names):
-                        continue
-                    # an upper bound first: the matcher needs s of at least 0.7665 to reach the threshold
-                    if 2 * min(len(r.title), len(leader.title)) < 0.7665 * (len(r.title) + len(leader.title)):
-                        continue
-                    alike = similarity(r.title, leader.title, tokens, l_tokens)
-                    if alike >= threshold:
-                        found = (leader.id, alike)
-                        break
-            if found is None:
-                leaders.append((r, tokens, names))
-                out.append((r.id, r.id, None, None))
-            else:
-                out.append((r.id, found[0], "title_similarity", found[1]))
-            if r.url:
-                by_url[r.url] = out[-1][1]
-        return pd.DataFrame(out, columns=["id", "leader", "reason", "similarity"])
 
-    own = _prepared(items).select(bucket, F.col("id").cast("long").alias("id"), "title", "url", F.col("event_time").cast("timestamp").alias("event_time"), "tokens_", "vendors_")
-    return own.groupBy(bucket).applyInPandas(kernel, "id long, leader long, reason string, similarity double")
+def _parted(a, b) -> bool:
+    return len(a) > 0 and len(b) > 0 and not set(a) & set(b)

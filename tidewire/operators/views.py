@@ -6,13 +6,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.rank import votes
+from tidewire.operators.rank import first_by, votes
 
 
 def story_records(items: DataFrame) -> DataFrame:
-    """One row a story of items (story_id, id, name, tier_rank, ts, title, eco_group): its primary item (tier, then the
-    newest, then title), numbers of items and of distinct votes, names, first and last time. Partial aggregation only."""
-    order = F.struct("tier_rank", (-F.col("ts")).alias("t"), "title", "id")
+    """One row a story of items (story_id, id, name, tier_rank, ts, title, eco_group): its primary item (tier, then
+    importance, where items have it, then the newest, then title), numbers of items and of distinct votes, names, first and last time. Partial aggregation only."""
+    weight = F.col("importance") if "importance" in items.columns else F.lit(0.0)
+    order = F.struct("tier_rank", (-weight).alias("w"), (-F.col("ts")).alias("t"), "title", "id")
     return items.groupBy("story_id").agg(F.min_by("id", order).alias("primary_id"), F.count("*").alias("item_count"), votes(F.col("eco_group"), F.col("id")).alias("duplicate_count"), F.array_sort(F.collect_set("name")).alias("names"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
 
 
@@ -52,27 +53,29 @@ def unseen(stories: DataFrame, shown: DataFrame, keys: str = "identity_keys") ->
     return stories.join(hit, "story_id", "left_anti")
 
 
-def featured(rows: DataFrame, seats: int = 5, per_source: int = 2, pool: int = 20) -> DataFrame:
-    """(id, seat): the first ``pool`` rows (id, site_id, badge, hot, place) with a cap on a source's first seats.
+def featured(rows: DataFrame, seats: int = 5, per_source: int = 2) -> DataFrame:
+    """(id, seat): every row (id, site_id, badge, hot, place) with its seat, or a null seat for what follows behind the
+    seats in its old order.
 
-    A source that holds ``per_source`` seats gives way to the next row of another source if both have the same badge
-    and heat; what gave way follows behind in its old order. The pool is this feature's own size, cut before the kernel.
+    In order of place, a row whose source holds ``per_source`` seats gives way if the next row of another source has the
+    same badge and heat. Only a source's first ``seats`` rows can be seated, and the seats are filled before more than
+    ``seats`` sources are met, so a set of that size is cut before the kernel.
     """
 
     def seated(part: pd.DataFrame) -> pd.DataFrame:
-        waiting, first, held = part.sort_values(["place", "id"]).to_dict("records"), [], {}
-        deferred: list = []
-        while waiting and len(first) < seats:
-            row = waiting.pop(0)
+        ordered, first, held = part.sort_values(["place", "id"]).to_dict("records"), [], {}
+        for at, row in enumerate(ordered):
+            if len(first) == seats:
+                break
             if held.get(row["site_id"], 0) >= per_source:
-                other = next((r for r in waiting if r["site_id"] != row["site_id"]), None)
+                other = next((r for r in ordered[at + 1 :] if r["site_id"] != row["site_id"]), None)
                 if other is not None and (other["badge"], other["hot"]) == (row["badge"], row["hot"]):
-                    deferred.append(row)
                     continue
             first.append(row)
             held[row["site_id"]] = held.get(row["site_id"], 0) + 1
-        ids = [r["id"] for r in first + deferred + waiting]
-        return pd.DataFrame({"id": ids, "seat": range(1, len(ids) + 1)})
+        return pd.DataFrame({"id": [r["id"] for r in first], "seat": range(1, len(first) + 1)})
 
-    few = rows.orderBy("place", "id").limit(pool)
-    return few.groupBy(F.lit(0).alias("all")).applyInPandas(seated, "id long, seat int")
+    named = rows.withColumn("site_id", F.coalesce("site_id", F.lit("")))
+    few = first_by(named, ["site_id"], [F.col("place"), F.col("id")], seats).orderBy("place", "id").limit(seats * (seats + 1))
+    chosen = few.groupBy(F.lit(0).alias("all")).applyInPandas(seated, "id long, seat int")
+    return rows.select("id").join(F.broadcast(chosen), "id", "left")  # at most ``seats`` rows

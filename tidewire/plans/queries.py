@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.functions import times, urls
-from tidewire.operators import archive, evaluate, rank, scoring, stories
-from tidewire.plans import dims
+from tidewire.operators import archive, evaluate, events, rank, scoring, stories
+from tidewire.plans import dims, sqltext
 from tidewire.sources import feeds
 from tidewire.streaming import archive_stream
 
@@ -23,7 +23,15 @@ SQL: dict[str, str] = {}
 
 PROSE = scoring.Rules(signal=["the", "der", "para"], broad=["para"], tech=["ing", "tion", "ment"], noise=["ou", "sch"], commerce=["ñ"], unsafe=["worthless"], tutorial=["stupid"], labels=[("alpha", ["thing", "enst"]), ("beta", ["onen", "ation"]), ("gamma", ["ed "])])
 OTHER = scoring.Rules(signal=["and", "der"], broad=["und"], tech=["ing", "ent"], noise=["ou", "ch"], commerce=["ñ"], unsafe=["worthless"], tutorial=["stupid"], labels=[("alpha", ["thing"]), ("gamma", ["ed "])])
-TAGS = [("market", ["thest", "enre"]), ("security", ["oned", "chst"]), ("funding", ["or", "un"])]
+EVENTS = events.Events(
+    terms={"market": ["thest", "enre"], "security": ["oned", "chst"], "funding": ["or", "un"], "benchmark": ["eval", "ding", "he"]},
+    words=["or", "un", "he"],
+    exclude={"security": ["stu"]},
+    together={"market": (["thing", "enst"], ["and", "der"])},
+    unless={"benchmark": (["he"], ["the", "en"])},
+    titled={"model_release": (["the", "der"], ["and", "en"])},
+    no_sites=("src7",),
+)
 #: Tiers that stand for the tables' sources.
 SITES = [(f"src{i}", *dims.TIERS[i][1:]) for i in range(0, 18)]
 
@@ -43,12 +51,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as items: the first line's head is the title, the id gives an hour in 2024."""
+    """Documents as items: the first line is the title, the id gives a half hour in 2024."""
     title = X.first_line_title(F.col("text"))
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("site_id"), title.alias("title"), F.col("text").alias("body"), F.concat(F.lit("https://"), "source", F.lit(".example/a?id="), F.pmod("doc_id", F.lit(500)).cast("string"), F.lit("&utm_source=x")).alias("url"), F.timestamp_seconds(F.lit(1704067200) + F.pmod("doc_id", F.lit(2000)) * 1800).alias("event_time"), "lang")
 
 
-ITEMS = """items AS (SELECT doc_id AS id, source AS site_id, substr(string_split(text, chr(10))[1], 1, 80) AS title, text AS body,
+def story_title():
+    return X.story_title(F.lit(None).cast("string"), F.col("title"), F.lit(None).cast("string"))
+
+
+ITEMS = """items AS (SELECT doc_id AS id, source AS site_id, string_split(text, chr(10))[1] AS title, text AS body,
   'https://' || source || '.example/a?id=' || (doc_id % 500)::VARCHAR || '&utm_source=x' AS url,
   to_timestamp(1704067200 + (doc_id % 2000) * 1800) AS event_time, lang FROM documents)"""
 
@@ -64,22 +76,7 @@ def _lits(terms: list[str]) -> str:
     return "[" + ", ".join(f"'{t}'" for t in sorted(set(terms))) + "]"
 
 
-def _any(terms: list[str], of: str = "low") -> str:
-    return "(" + " OR ".join(f"contains({of}, '{t}')" for t in terms) + ")"
-
-
-def _relevance_sql(r: scoring.Rules, prior: str = "0.1") -> str:
-    count = lambda terms: "(" + " + ".join(f"contains(low, '{t}')::INT" for t in sorted(set(terms))) + ")"
-    narrow, broad = _any([t for t in r.signal if t not in r.broad]), _any(r.broad)
-    tech, noise = count(r.tech), count(r.noise + r.commerce)
-    label = "CASE " + " ".join(f"WHEN {_any(t)} THEN '{n}'" for n, t in r.labels) + f" WHEN {tech} > 0 THEN 'ai_tech' ELSE 'ai_general' END"
-    keep = f"greatest(0.65, {prior} + CASE WHEN {narrow} THEN 0.52 ELSE 0.34 END + least(0.18, {count(r.signal)} * 0.04) + least(0.12, {tech} * 0.03) - least(0.18, {noise} * 0.04))"
-    rules = [(f"regexp_matches(low, '{'|'.join(r.unsafe)}')", "0.0", "'unsafe_content'", "false"), (f"regexp_matches(trim(low), '^({'|'.join(r.tutorial)})\\b')", "0.15", "'tutorial_excluded'", "false"), (f"NOT {narrow} AND NOT ({broad} AND {tech} > 0)", f"{prior} + CASE WHEN {broad} THEN 0.32 ELSE 0.0 END + CASE WHEN {tech} > 0 THEN 0.08 ELSE 0.0 END", "'not_ai'", "false"), (f"{_any(r.commerce)} AND NOT {narrow}", f"{prior} + 0.25", "'commerce_noise'", "false"), (f"{noise} > 0 AND NOT {narrow}", f"{prior} + 0.25", "'noise'", "false")]
-    case = lambda i, rest: "CASE " + " ".join(f"WHEN {x[0]} THEN {x[i]}" for x in rules) + f" ELSE {rest} END"
-    return f"greatest(0.0, least(1.0, {case(1, keep)}))::DOUBLE AS score, {case(2, label)} AS label, {case(3, 'true')} AS related"
-
-
-SCORED = f"{ITEMS}, scored AS (SELECT id, site_id, title, event_time, {_relevance_sql(PROSE)} FROM (SELECT *, lower(title) AS low FROM items))"
+SCORED = f"{ITEMS}, scored AS (SELECT id, site_id, title, event_time, {sqltext.relevance(PROSE)} FROM (SELECT *, lower(title) AS low FROM items))"
 
 
 def scored(spark: SparkSession, d: str, rules: scoring.Rules = PROSE) -> DataFrame:
@@ -112,8 +109,8 @@ def item_and_story_ids(spark, d):
     return table(spark, d, "pages").select("page_id", urls.item_id(F.lit("Web"), urls.host(u), F.lit(" Page "), u).alias("item_id"), urls.story_id(u, F.lit(""), F.col("page_id")).alias("story_id"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, o_custkey AS v, o_orderstatus AS site_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS published_at, o_orderdate AS seen FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'),
-b AS (SELECT l_orderkey AS id, max_by(l_suppkey, row(l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS v, max_by(l_linestatus, row(l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS site_id, min_by(l_shipdate, row(l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS published_at FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
+@query("""WITH a AS (SELECT o_orderkey AS id, o_custkey AS v, o_orderstatus AS site_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS published_at, o_orderdate AS seen FROM orders),
+b AS (SELECT l_orderkey AS id, max_by(l_suppkey, row(l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS v, max_by(l_linestatus, row(l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS site_id, min_by(l_shipdate, row(l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS published_at FROM lineitem GROUP BY 1)
 SELECT coalesce(a.id, b.id) AS id, coalesce(b.v, a.v) AS v, coalesce(b.site_id, a.site_id) AS site_id, coalesce(a.published_at, b.published_at) AS published_at,
  coalesce(a.seen, TIMESTAMP '1998-12-31') AS first_seen_at, CASE WHEN b.id IS NOT NULL THEN TIMESTAMP '1998-12-31' ELSE a.seen END AS last_seen_at FROM a FULL JOIN b ON a.id = b.id""")
 def archive_upsert(spark, d):
@@ -122,8 +119,8 @@ def archive_upsert(spark, d):
 
 def _archive(spark, d):
     at = F.col("o_orderdate").cast("timestamp")
-    old = table(spark, d, "orders").where(at < "1996-01-01").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("v"), F.col("o_orderstatus").alias("site_id"), F.when(F.col("o_orderkey") % 3 != 0, at).alias("published_at"), at.alias("first_seen_at"), at.alias("last_seen_at"))
-    run = table(spark, d, "lineitem").where(F.col("l_shipdate") >= "1996-01-01").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("v"), F.col("l_linestatus").alias("site_id"), F.col("l_shipdate").cast("timestamp").alias("published_at"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("ingest_seq"))
+    old = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("v"), F.col("o_orderstatus").alias("site_id"), F.when(F.col("o_orderkey") % 3 != 0, at).alias("published_at"), at.alias("first_seen_at"), at.alias("last_seen_at"))
+    run = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("v"), F.col("l_linestatus").alias("site_id"), F.col("l_shipdate").cast("timestamp").alias("published_at"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("ingest_seq"))
     return archive.upsert(old, run, "id", F.lit("1998-12-31").cast("timestamp")).select("id", "v", "site_id", "published_at", "first_seen_at", "last_seen_at")
 
 
@@ -183,23 +180,14 @@ def boundary_terms(spark, d):
     return items(spark, d).where(X.has_word(F.col("body"), ["ai", "un", "he"])).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-def _tag_sql(of: str = "low") -> str:
-    parts = []
-    for name, terms in TAGS:
-        short, long_ = [t for t in terms if len(t) <= 3], [t for t in terms if len(t) > 3]
-        hits = [f"contains({of}, '{t}')" for t in long_] + ([f"regexp_matches({of}, '(^|[^a-z0-9])({'|'.join(short)})([^a-z0-9]|$)')"] if short else [])
-        parts.append(f"CASE WHEN {' OR '.join(hits)} THEN '{name}' END")
-    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
-
-
-@query(f"WITH {ITEMS} SELECT id, {_tag_sql()} AS tags FROM (SELECT id, lower(body) AS low FROM items)")
+@query(f"WITH {ITEMS} SELECT id, {sqltext.events(EVENTS, summary='body')} AS tags FROM items")
 def event_tags(spark, d):
-    return items(spark, d).select("id", scoring.event_tags(F.lower("body"), TAGS).alias("tags"))
+    return items(spark, d).select("id", events.business_events(F.col("site_id"), F.col("title"), F.col("body"), EVENTS).alias("tags"))
 
 
-@query(f"WITH {ITEMS} SELECT id, len(list_filter(regexp_split_to_array(lower(body), '[.!?。！？;；\\n]+'), lambda s: (contains(s, 'thing') OR contains(s, 'enst')) AND contains(s, 'and'))) > 0 AS together FROM items")
+@query(f"WITH {ITEMS} SELECT id, coalesce(len(list_filter(regexp_split_to_array(lower(body), '[。！？.!?\\n]+'), lambda s: (contains(s, 'thing') OR contains(s, 'enst')) AND contains(s, 'and'))) > 0, false) AS together FROM items")
 def cooccurrence(spark, d):
-    return items(spark, d).select("id", scoring.cooccurs(F.lower("body"), ["thing", "enst"], ["and"]).alias("together"))
+    return items(spark, d).select("id", events.cooccurs(F.coalesce(F.lower("body"), F.lit("")), (["thing", "enst"], ["and"]), []).alias("together"))
 
 
 _AGE = "date_diff('second', ts, now) / 3600.0"
@@ -215,11 +203,17 @@ def importance(spark, d):
     return e.select("event_id", scoring.importance(ed, F.lit(0.58), F.lit(0.6), scoring.freshness(age), F.col("user_id") % 6 + 1).alias("importance"))
 
 
-@query("""SELECT user_id, least(100.0, log10(1 + count(*) FILTER (event_type = 'view') + 2.0 * count(*) FILTER (event_type = 'click') + 1.5 * count(*) FILTER (event_type = 'signup') + 2.0 * count(*) FILTER (event_type = 'purchase')) * 22)::DOUBLE AS heat FROM events GROUP BY 1""")
+@query("""WITH e AS (SELECT *, max(ts) OVER () AS now FROM events), c AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 22.0 ELSE 20.0 END AS k, date_diff('second', max(ts), max(now)) / 3600.0 AS age,
+ (count(*) FILTER (event_type = 'view') + 2.0 * count(*) FILTER (event_type = 'click') + 1.5 * count(*) FILTER (event_type = 'signup') + 2.0 * count(*) FILTER (event_type = 'purchase'))::DOUBLE AS n FROM e GROUP BY 1),
+h AS (SELECT user_id, n, least(100.0, k * log10(1 + n))::DOUBLE AS heat, CASE WHEN age <= 24 THEN 15.0 ELSE 0.0 END::DOUBLE AS bonus FROM c)
+SELECT user_id, round(n, 1) AS engagement, round(heat, 1) AS heat, bonus, round(least(100.0, heat * 0.85 + bonus)::DOUBLE, 1) AS hot FROM h""")
 def creator_heat(spark, d):
     n = lambda t: F.count(F.when(F.col("event_type") == t, 1)).alias(t)
-    c = table(spark, d, "events").groupBy("user_id").agg(*map(n, ("view", "click", "signup", "purchase")))
-    return c.select("user_id", scoring.creator_heat(F.col("view"), F.col("click"), F.col("signup"), F.col("purchase")).alias("heat"))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    c = e.groupBy("user_id").agg(*map(n, ("view", "click", "signup", "purchase")), F.max("ts").alias("latest")).join(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    site = F.when(F.col("user_id") % 2 == 0, "tikhub_xiaohongshu").otherwise("tikhub_douyin")
+    age = (F.unix_timestamp("now") - F.unix_timestamp("latest")) / 3600.0
+    return c.select("user_id", scoring.creator_ranking(site, F.col("view"), F.col("click"), F.col("signup"), F.col("purchase"), age).alias("r")).select("user_id", "r.*")
 
 
 @query("""WITH e AS (SELECT *, max(ts) OVER () AS now FROM events), k AS (SELECT user_id, count(DISTINCT event_type) AS sources, max(ts) AS latest, max(now) AS now FROM e GROUP BY 1)
@@ -286,7 +280,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, titl
 SELECT story_id, source, score - (source_pick - 1) * 0.03 AS adjusted FROM p ORDER BY adjusted DESC, score DESC, title, story_id LIMIT 20""")
 def diverse_top(spark, d):
     s = table(spark, d, "events").select(F.col("event_id").alias("story_id"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("title"), (F.col("value") / 1000).alias("score"))
-    return rank.diverse(s, 20).select("story_id", "source", "adjusted")
+    return rank.penalised(s, 20).select("story_id", "source", "adjusted")
 
 
 _TOKENS = r"list_distinct(list_filter(regexp_extract_all(regexp_replace(lower(coalesce(title, '')), 'https?://\S+', ' ', 'g'), '[a-z0-9]+|[一-鿿]{2,}'), lambda t: length(t) >= 2 AND NOT t IN (" + ", ".join(f"'{t}'" for t in dims.TITLE_STOPWORDS) + ")))"
@@ -297,11 +291,13 @@ def title_token_sets(spark, d):
     return items(spark, d).select("id", F.array_sort(X.title_tokens(F.col("title"))).alias("tokens"))
 
 
-@query(f"""WITH {ITEMS}, t AS (SELECT id, {_TOKENS} AS k FROM items), a AS (SELECT * FROM t WHERE id % 10 < 5 AND len(k) > 0), b AS (SELECT * FROM t WHERE id % 10 >= 5 AND len(k) > 0)
-SELECT a.id, b.id AS other, len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) AS jaccard FROM a JOIN b ON len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) >= 0.5""")
+@query(f"""WITH {ITEMS}, t AS (SELECT id, site_id, {_TOKENS} AS k FROM items), a AS (SELECT * FROM t WHERE site_id = 'src1' AND len(k) > 0), b AS (SELECT * FROM t WHERE site_id IS DISTINCT FROM 'src1' AND len(k) > 0),
+p AS (SELECT a.id, b.id AS other, len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) AS jaccard FROM a JOIN b ON len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) >= 0.5)
+SELECT id, arg_max(other, row(jaccard, -other)) AS other, max(jaccard) AS jaccard FROM p GROUP BY 1""")
 def token_overlap(spark, d):
-    t = items(spark, d).select("id", X.title_tokens(F.col("title")).alias("tokens"))
-    return evaluate.token_overlap(t.where("id % 10 < 5"), t.where("id % 10 >= 5"))
+    t = items(spark, d).select("id", "site_id", X.title_tokens(F.col("title")).alias("tokens"))
+    mine = F.coalesce(F.col("site_id") == "src1", F.lit(False))
+    return evaluate.token_overlap(t.where(mine), t.where(~mine))
 
 
 @query("WITH c AS (SELECT item_id AS id, lower(trim(text)) AS k FROM benchmark), h AS (SELECT DISTINCT lower(trim(line)) AS k FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT count(*) AS items, count(h.k) AS hits, CASE WHEN count(*) < 5 THEN 'watchlist' WHEN count(h.k) / count(*) >= 0.65 THEN 'skip' WHEN count(h.k) / count(*) >= 0.35 THEN 'watchlist' ELSE 'accept' END AS action FROM c LEFT JOIN h USING (k)")
@@ -313,17 +309,17 @@ def overlap_report(spark, d):
     return hit.agg(n.alias("items"), hits.alias("hits"), evaluate.recommendation(n, hits / n).alias("action"))
 
 
-@query(f"WITH {SCORED}, other AS (SELECT id, {_relevance_sql(OTHER)} FROM (SELECT *, lower(title) AS low FROM items)) SELECT a.related AS was, b.related AS now, a.label AS from_label, b.label AS to_label, count(*) AS items FROM scored a JOIN other b USING (id) WHERE a.related != b.related OR a.label != b.label GROUP BY ALL")
+@query(f"WITH {SCORED}, other AS (SELECT id, {sqltext.relevance(OTHER)} FROM (SELECT *, lower(title) AS low FROM items)) SELECT a.related AS was, b.related AS now, a.label AS from_label, b.label AS to_label, count(*) AS items FROM scored a JOIN other b USING (id) WHERE a.related != b.related OR a.label != b.label GROUP BY ALL")
 def scoring_replay(spark, d):
     return evaluate.flips(scored(spark, d), scored(spark, d, OTHER))
 
 
-@query(r"SELECT doc_id, sha1(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[redacted-email]', 'g')) AS redacted, NOT regexp_matches(text, '[一-鿿]') AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= greatest(6, length(text) // 4) AS english FROM documents")
+@query(r"SELECT doc_id, sha1(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[redacted-email]', 'g'), '(?i)\b(sk-[A-Za-z0-9_-]{12,}|(api[_-]?key|secret|token)=([^\s&]{6,}))\b', '[redacted-secret]', 'g')) AS redacted, NOT regexp_matches(text, '[一-鿿]') AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= greatest(6, length(text) // 4) AS english FROM documents")
 def redact_and_language(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha1(X.redact(F.col("text")).cast("binary")).alias("redacted"), X.is_mostly_english(F.col("text")).alias("english"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[redacted-email]', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
+@query(r"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[redacted-email]', 'g'), '(?i)\b(sk-[A-Za-z0-9_-]{12,}|(api[_-]?key|secret|token)=([^\s&]{6,}))\b', '[redacted-secret]', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) > 240 THEN rtrim(substr(t, 1, 239)) || '…' ELSE t END AS snippet FROM f""")
 def snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
@@ -372,12 +368,12 @@ def consumer_filters(spark, d):
 @query()
 def near_duplicate_titles(spark, d):
     s = scored(spark, d).join(F.broadcast(tiers(spark)), "site_id", "left").withColumn("tier_rank", F.coalesce("tier_rank", F.lit(9)))
-    return stories.suppress_near_duplicates(s)
+    return stories.suppress_near_duplicates(s.withColumn("title", story_title()))
 
 
 @query()
 def story_clusters(spark, d):
-    return stories.story_clusters(items(spark, d).withColumn("url", urls.canonical_url(F.col("url"))))
+    return stories.story_clusters(items(spark, d).withColumn("url", urls.canonical_url(F.col("url"))).withColumn("title", story_title()))
 
 
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")

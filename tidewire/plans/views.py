@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import display as D
 from tidewire.functions import items as I
 from tidewire.functions import times, urls
-from tidewire.operators import gates, scoring, views
-from tidewire.plans import dims
-from tidewire.plans.queries import ITEMS, PROSE, SCORED, TIERS, _relevance_sql, items, query, scored, table, tiers
+from tidewire.operators import evaluate, gates, rank, scoring, views
+from tidewire.operators import query as Q
+from tidewire.plans import dims, sqltext
+from tidewire.plans.queries import ITEMS, OTHER, PROSE, SCORED, TIERS, items, query, scored, story_title, table, tiers
 from tidewire.sources import published
 
 _PLAIN = r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), 'https?://\S+', '', 'g'), '[\s　]+', '', 'g'), '" + I.MARKS + "', '', 'g')"
@@ -130,57 +132,111 @@ def featured_seats(spark, d):
     return views.featured(s)
 
 
-@query(f"WITH {ITEMS} SELECT id, list_sort(list_distinct(list_filter([CASE WHEN contains(lower(title), 'thest') THEN 'market' END, CASE WHEN contains(lower(title), 'on') THEN 'models' END], lambda x: x IS NOT NULL))) AS sections FROM items")
+def _sections_sql(label: str) -> str:
+    hits = {"models": f"regexp_matches(content, '{D.MODEL_TERMS}') OR ({label} = 'model_release' AND NOT regexp_matches(whole, '{D.TOOL_TERMS}'))"}
+    for name, pattern in D.SECTION_TERMS.items():
+        labels = ", ".join(f"'{x}'" for x in D.SECTION_LABELS[name]) or "'?'"
+        hits[name] = f"regexp_matches(whole, '{pattern}') OR {label} IN ({labels})"
+    hits["community"] += " OR site_id IN (" + ", ".join(f"'{x}'" for x in D.COMMUNITY_SITES) + ") OR " + " OR ".join(f"contains(src, '{x}')" for x in D.COMMUNITY_SOURCES)
+    found = "list_filter([" + ", ".join(f"CASE WHEN {hits[x]} THEN '{x}' END" for x in D.SECTIONS) + "], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({found}) > 0 THEN {found} ELSE ['industry'] END"
+
+
+#: Scored documents as readers see them: percentages, priority and sections at the time of the newest one.
+SHOWN = f"""{SCORED}, n AS (SELECT max(event_time) AS now FROM items), a AS (SELECT s.*, lower(concat_ws(' ', title, lang, site_id)) AS content, lower(coalesce(lang, '') || ' ') AS src, lang, body FROM scored s JOIN (SELECT id, lang, body FROM items) USING (id)),
+b AS (SELECT a.*, concat_ws(' ', content, label) AS whole, CASE WHEN score <= 0 THEN 0.0 ELSE floor(score * 100 + 0.5) END::DOUBLE AS percent, date_diff('second', event_time, now) / 3600.0 AS age FROM a, n),
+c AS (SELECT *, CASE WHEN percent > 0 THEN greatest(45.0, floor(percent * 0.72 + 0.5)) ELSE 36.0 END AS editorial, floor(100 * pow(0.5, age / 48.0) + 0.5) AS fresh FROM b),
+shown AS (SELECT *, floor(editorial * 0.3 + 38.0 * 0.22 + percent * 0.2 + fresh * 0.18 + 0.5)::DOUBLE AS priority, {_sections_sql('label')} AS sections FROM c)"""
+
+
+def shown(spark, d):
+    s = scored(spark, d).join(items(spark, d).select("id", F.col("lang").alias("source")), "id")
+    rows = s.select("id", "site_id", "title", "source", F.col("label").alias("ai_label"), F.col("score").alias("ai_score"), F.col("related").alias("ai_is_related"), F.col("event_time").alias("published_at"))
+    now = items(spark, d).agg(F.max("event_time")).first()[0]
+    return Q.shown_items(rows, F.lit(now), PROSE)
+
+
+@query(f"WITH {SHOWN} SELECT id, percent, priority, sections FROM shown WHERE NOT regexp_matches(lower(concat_ws(' ', title, lang)), '{'|'.join(PROSE.unsafe)}')")
 def sections(spark, d):
-    low = F.lower("title")
-    return items(spark, d).select("id", F.array_sort(F.array_compact(F.array(F.when(F.contains(low, F.lit("thest")), "market"), F.when(F.contains(low, F.lit("on")), "models")))).alias("sections"))
+    return shown(spark, d).select("id", "percent", "priority", "sections")
+
 
+_KEPT = f"kept AS (SELECT *, percent >= 75 OR priority >= 82 AS high FROM shown WHERE related AND NOT regexp_matches(lower(concat_ws(' ', title, lang)), '{'|'.join(PROSE.unsafe)}'))"
 
-@query(f"WITH {ITEMS} SELECT site_id, id, count(*) OVER (PARTITION BY site_id) AS group_size FROM items WHERE contains(lower(title), 'en') OR contains(lower(body), 'thing')")
+
+@query(f"WITH {SHOWN}, {_KEPT}, g AS (SELECT *, count(*) OVER (PARTITION BY site_id, lang) AS group_size FROM kept) SELECT id, site_id, group_size FROM g ORDER BY group_size DESC, '來源 ' || site_id || ' ' || coalesce(lang, ''), priority DESC, event_time DESC NULLS LAST, id LIMIT 200")
 def source_sort(spark, d):
-    t = items(spark, d).where(F.contains(F.lower("title"), F.lit("en")) | F.contains(F.lower("body"), F.lit("thing"))).select("site_id", "id")
-    sizes = t.groupBy("site_id").agg(F.count("*").alias("group_size"))
-    return t.alias("t").join(sizes.alias("s"), F.col("t.site_id").eqNullSafe(F.col("s.site_id"))).select("t.site_id", "id", "group_size")
+    rows, order = Q.sort_order(Q.mode_items(shown(spark, d), "ai"), "source")
+    return rows.orderBy(*order).limit(200).select("id", "site_id", "group_size")
+
+
+@query(f"""WITH {SHOWN}, {_KEPT}, f AS (SELECT * FROM kept WHERE list_contains(sections, 'models') AND contains(lower(concat_ws(' ', title, '', '', '', coalesce(lang, ''))), 'e')),
+k AS (SELECT *, {EVENT_KEY} AS event_key FROM f) SELECT id, priority FROM k WHERE event_key IN (SELECT event_key FROM k GROUP BY 1 HAVING count(DISTINCT site_id) > 1)""")
+def view_query(spark, d):
+    rows = shown(spark, d).withColumn("signal", F.col("site_id"))
+    return Q.filtered(rows, Q.ViewQuery(section="models", text=" E ", level="multi")).select("id", "priority")
+
+
+@query(f"""WITH {SHOWN}, {_KEPT}, s AS (SELECT section, count(*) AS n, sum(high::INT) AS high, count(DISTINCT coalesce(nullif(lang, ''), site_id)) AS sources FROM (SELECT unnest(['hot'] || sections) AS section, high, lang, site_id FROM kept) GROUP BY 1)
+SELECT x AS section, coalesce(n, 0)::BIGINT AS n, coalesce(high, 0)::BIGINT AS high, coalesce(sources, 0)::BIGINT AS sources FROM (SELECT unnest(['hot', 'models', 'products', 'devtools', 'industry', 'research', 'community']) AS x) LEFT JOIN s ON s.section = x""")
+def section_statistics(spark, d):
+    return Q.section_stats(Q.mode_items(shown(spark, d), "ai"))
+
+
+_DISPLAY = "CASE WHEN " + _PLAIN.format("t") + " != '' THEN 'title:' || " + _PLAIN.format("t") + " ELSE 'url:' || id::VARCHAR END"
+
+
+@query(f"""WITH {SHOWN}, {_KEPT}, t AS (SELECT *, coalesce(nullif(lang, ''), '未分割槽') AS source, trim(string_split(trim(coalesce(nullif(title, ''), '未命名更新')), ' / ')[1]) AS t FROM kept), d AS (SELECT *, {_DISPLAY} AS key FROM t),
+o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY site_id, source, key ORDER BY priority DESC, event_time DESC NULLS LAST, id) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id, source ORDER BY priority DESC) AS r, row_number() OVER (PARTITION BY site_id ORDER BY priority DESC) AS rs FROM o),
+g AS (SELECT site_id, source, count(*) AS n, floor(avg(priority) FILTER (r <= 3) + 0.5)::DOUBLE AS value FROM r GROUP BY 1, 2), w AS (SELECT site_id, source, count(*) AS raw_count FROM d GROUP BY 1, 2),
+s AS (SELECT site_id, count(*) AS n, floor(avg(priority) FILTER (rs <= 3) + 0.5)::DOUBLE AS value FROM r GROUP BY 1)
+SELECT site_id, source, raw_count, n, value FROM g JOIN w USING (site_id, source) UNION ALL SELECT site_id, NULL, (SELECT sum(raw_count) FROM w WHERE w.site_id = s.site_id)::BIGINT, n, value FROM s""")
+def source_groups(spark, d):
+    return Q.source_groups(Q.mode_items(shown(spark, d), "ai"))
+
+
+@query(f"WITH {SCORED} SELECT label, count(*) AS items FROM scored WHERE event_time >= (SELECT max(event_time) FROM items) - INTERVAL 14 DAY GROUP BY 1")
+def relevance_audit(spark, d):
+    s = scored(spark, d)
+    now = F.lit(items(spark, d).agg(F.max("event_time")).first()[0])
+    return evaluate.audit(s.where(F.col("event_time") >= now - F.make_dt_interval(days=F.lit(14))))["labels"]
+
+
+@query(f"""WITH {SCORED}, other AS (SELECT id, {sqltext.relevance(OTHER)} FROM (SELECT *, lower(title) AS low FROM items)),
+b AS (SELECT a.id, a.related AS was, o.related AS now FROM scored a JOIN other o USING (id) WHERE event_time >= (SELECT max(event_time) FROM items) - INTERVAL 14 DAY)
+SELECT count(*) AS items, count(*) FILTER (was) AS kept_before, count(*) FILTER (now) AS kept_after, round(count(*) FILTER (was) / count(*), 4) AS rate_before, round(count(*) FILTER (now) / count(*), 4) AS rate_after, count(*) FILTER (now AND NOT was) AS gained, count(*) FILTER (was AND NOT now) AS lost FROM b""")
+def replay_totals(spark, d):
+    archive = items(spark, d).select("id", F.col("event_time").alias("published_at"), F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(None).cast("timestamp").alias("last_seen_at"))
+    by = lambda rules: lambda rows: scored(spark, d, rules).join(rows.select("id"), "id", "left_semi")
+    now = F.lit(items(spark, d).agg(F.max("event_time")).first()[0])
+    return evaluate.replay(archive, by(PROSE), by(OTHER), now, 14)["totals"]
+
+
+@query()
+def overlap_matches(spark, d):
+    i = items(spark, d).select("id", "title", "url", F.col("event_time").alias("at"), "site_id")
+    mine = F.coalesce(F.col("site_id") == "src1", F.lit(False))
+    return evaluate.best_matches(i.where(mine).drop("site_id"), i.where(~mine))
+
+
+@query()
+def diverse_stories(spark, d):
+    s = scored(spark, d).select(F.col("id").alias("story_id"), F.col("site_id").alias("source"), story_title().alias("title"), "score")
+    return rank.diverse(s, 20)
 
 
 #: Site rules of words that occur in the tables' prose; the sites' names stand for sources of documents.
 SCOPE = scoring.Scope(forwarded=["alpha"], domains=["src9.example"], hot_site="src1", hot_source="24h", board_site="src2", board_allow=["en", "de"], board_block=["de"], media_site="src3", media_trusted=["fr"], media_research=["es"], research=["ch", "ll"], business=["an"], trusted_sites=["src4"])
 
 
-def _site_cascade_sql() -> str:
-    any_ = lambda terms, of: "(" + " OR ".join(f"contains({of}, '{t}')" for t in terms) + ")"
-    count = lambda terms: "(" + " + ".join(f"contains(low, '{t}')::INT" for t in sorted(set(terms))) + ")"
-    narrow, tech, noise = [t for t in PROSE.signal if t not in PROSE.broad], count(PROSE.tech), count(PROSE.noise + PROSE.commerce)
-    label = "CASE " + " ".join(f"WHEN {any_(t, 'low')} THEN '{n}'" for n, t in PROSE.labels) + f" WHEN {tech} > 0 THEN 'ai_tech' ELSE 'ai_general' END"
-    lab, trusted, titled, paper, broad = any_(SCOPE.media_research, "src"), any_(SCOPE.media_trusted, "src"), any_(narrow, "lt"), any_(SCOPE.research, "lt"), any_(PROSE.broad, "lt")
-    media = f"0.1 + CASE WHEN {trusted} THEN 0.58 ELSE 0.5 END + least(0.12, {count(PROSE.signal)} * 0.03) + least(0.08, {tech} * 0.02)"
-    media = f"CASE WHEN {lab} THEN least({media}, 0.76) ELSE {media} END - CASE WHEN {noise} > 0 AND NOT {titled} THEN least(0.16, {noise} * 0.04) ELSE 0.0 END"
-    named = f"CASE WHEN {lab} OR {paper} THEN 'research_paper' WHEN {any_(SCOPE.business, 'lt')} THEN 'industry_business' ELSE {label} END"
-    rules = [
-        (f"regexp_matches(low, '{'|'.join(PROSE.unsafe)}')", "0.0", "'unsafe_content'", "false"),
-        (f"regexp_matches(trim(lt), '^({'|'.join(PROSE.tutorial)})\\b')", "0.15", "'tutorial_excluded'", "false"),
-        (f"{any_(SCOPE.forwarded, 'src')} OR host = 'src9.example'", "0.1", "'source_scope_drop'", "false"),
-        ("site_id = 'src1' AND contains(src, '24h')", "greatest(0.65, 0.72)", "'curated_hotlist'", "true"),
-        ("site_id = 'src1'", "0.2", "'source_scope_drop'", "false"),
-        (f"site_id = 'src2' AND {any_(SCOPE.board_block, 'src')}", "0.05", "'noise'", "false"),
-        (f"site_id = 'src2' AND NOT {any_(SCOPE.board_allow, 'src')}", "0.12", "'source_scope_drop'", "false"),
-        (f"site_id = 'src3' AND {lab} AND NOT {titled} AND NOT {paper}", "0.22", "'source_scope_drop'", "false"),
-        (f"site_id = 'src3' AND NOT {trusted} AND NOT {lab} AND NOT {titled} AND NOT ({broad} AND {tech} > 0)", f"0.1 + CASE WHEN {broad} THEN 0.28 ELSE 0.0 END", "'source_scope_drop'", "false"),
-        ("site_id = 'src3'", media, named, f"{media} >= 0.65"),
-        ("site_id = 'src4'", "0.82", label, "true"),
-    ]
-    case = lambda i, rest: "CASE " + " ".join(f"WHEN {r[0]} THEN {r[i]}" for r in rules) + f" ELSE {rest} END"
-    return f"""WITH {ITEMS}, x AS (SELECT *, lower(title) AS lt, CASE WHEN id % 7 = 0 THEN '24h ' ELSE '' END || lang AS src, site_id || '.example' AS host FROM items),
-y AS (SELECT *, concat_ws(' ', lt, src, 'site', host) AS low FROM x), z AS (SELECT *, {_relevance_sql(PROSE)} FROM y)
-SELECT id, greatest(0.0, least(1.0, {case(1, 'score')}))::DOUBLE AS score, {case(2, 'label')} AS label, {case(3, 'related')} AS related FROM z"""
-
-
-@query(_site_cascade_sql())
+@query(f"""WITH {ITEMS}, x AS (SELECT *, lower(title) AS lt, CASE WHEN id % 7 = 0 THEN '24h ' ELSE '' END || lang AS src, site_id || '.example' AS host FROM items),
+y AS (SELECT *, concat_ws(' ', lt, src, 'site', host) AS low FROM x) SELECT id, {sqltext.site_relevance(PROSE, SCOPE)} FROM y""")
 def site_cascade(spark, d):
     source = F.concat(F.when(F.col("id") % 7 == 0, "24h ").otherwise(""), F.col("lang"))
     i = items(spark, d).withColumn("source", source)
     r = scoring.site_relevance(F.col("site_id"), F.col("source"), F.col("title"), F.lit("Site"), F.concat("site_id", F.lit(".example")), F.lit(0.1), PROSE, SCOPE)
-    return i.select("id", r.alias("r")).select("id", "r.*")
+    return i.select("id", r.alias("r")).select("id", "r.score", "r.label", "r.related", "r.reason")
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS flat FROM documents)

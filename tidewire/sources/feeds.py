@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions import times, urls
+from tidewire.functions.items import keyword_score
+from tidewire.functions.text import fix_mojibake, has_word
+from tidewire.operators.graph import settled
+from tidewire.operators.rank import best_per_key
+
 
-def _texts(xml: str, tag: str, entry: str) -> Column:
-    return F.expr(f"xpath({xml}, '//{entry}/{tag}/text()')")
+def unescaped(text: Column) -> Column:
+    """Text of a feed with its entities read: numbers, the five of XML, and the space; the ampersand last."""
+    decimal = F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), 1)
+    hexa = F.regexp_extract_all(text, F.lit("&#[xX]([0-9a-fA-F]{1,6});"), 1)
+    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    out = F.reduce(F.array_distinct(decimal), text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), point(n.cast("long"))))
+    out = F.reduce(F.array_distinct(hexa), out, lambda t, n: F.replace(F.replace(t, F.concat(F.lit("&#x"), n, F.lit(";")), point(F.conv(n, 16, 10).cast("long"))), F.concat(F.lit("&#X"), n, F.lit(";")), point(F.conv(n, 16, 10).cast("long"))))
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(mark))
+    return out
 
 
 def feed_items(payloads: DataFrame, xml: str = "payload") -> DataFrame:
@@ -18,8 +35,10 @@ def feed_items(payloads: DataFrame, xml: str = "payload") -> DataFrame:
     plain = payloads.withColumn("_xml", F.regexp_replace(xml, r'\sxmlns(:\w+)?="[^"]*"', ""))
     entries = plain.withColumn("_e", F.regexp_extract_all("_xml", F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), 1))
     one = entries.select(*[c for c in payloads.columns if c != xml], F.posexplode("_e").alias("pos", "_one"))
-    value = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("_one", rf"(?s)<{tag}[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1), r"\s+", " "))
-    link = F.coalesce(F.nullif(value("link"), F.lit("")), F.nullif(F.regexp_extract("_one", r'<link[^>]*href="([^"]*)"', 1), F.lit("")))
+    held = lambda tag: F.regexp_extract("_one", rf"(?s)<{tag}(?:\s[^>]*)?>\s*<!\[CDATA\[(.*?)\]\]>\s*</{tag}>", 1)
+    plain_ = lambda tag: F.regexp_extract("_one", rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
+    value = lambda tag: F.trim(F.regexp_replace(F.when(held(tag) != "", held(tag)).otherwise(unescaped(plain_(tag))), r"\s+", " "))
+    link = F.coalesce(F.nullif(value("link"), F.lit("")), F.nullif(unescaped(F.regexp_extract("_one", r'<link[^>]*href="([^"]*)"', 1)), F.lit("")))
     published = F.coalesce(*[F.nullif(value(t), F.lit("")) for t in ("pubDate", "published", "updated")])
     rows = one.select(*[c for c in one.columns if c != "_one"], value("title").alias("title"), link.alias("link"), published.alias("published"))
     keys = [c for c in rows.columns if c not in ("pos", "published")]
@@ -37,11 +56,19 @@ def subscriptions(payloads: DataFrame, xml: str = "payload") -> DataFrame:
 HITS = "struct<hits: array<struct<objectID: string, title: string, url: string, points: int, num_comments: int, created_at_i: long>>>"
 
 
-def search_hits(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Hits of a JSON search API, once by id, with at least 2 comments or 10 points, most discussed first."""
-    hit = payloads.select(F.explode(F.from_json(column, HITS)["hits"]).alias("h")).select("h.*").where("objectID is not null")
-    one = hit.groupBy("objectID").agg(F.max_by(F.struct("title", "url", "points", "num_comments", "created_at_i"), "num_comments").alias("h")).select("objectID", "h.*")
-    return one.where("num_comments >= 2 or points >= 10").orderBy(F.desc("num_comments"), F.desc("points"), F.desc("created_at_i"), "objectID")
+# The words of a search hit's title that count, and how many of them make a full score.
+HIT_TERMS = ["openai", "anthropic", "claude", "claude code", "codex", "cursor", "mcp", "gemini", "deepseek", "qwen", "llm", "gpt", "sora", "copilot", "agent", "ai coding", "benchmark", "eval", "paper", "model", "inference"]
+LEAST_HIT = 0.38
+
+
+def search_hits(payloads: DataFrame, column: str = "payload", terms: list[str] = HIT_TERMS, least: float = LEAST_HIT) -> DataFrame:
+    """Hits of a JSON search API, each id once (the first), with enough of the terms in the title and at least 2 comments
+    or 10 points, most discussed first."""
+    hit = payloads.select(F.monotonically_increasing_id().alias("page"), F.posexplode(F.from_json(column, HITS)["hits"]).alias("pos", "h")).select("page", "pos", "h.*").where("objectID is not null")
+    one = hit.groupBy("objectID").agg(F.min_by(F.struct("title", "url", "points", "num_comments", "created_at_i"), F.struct("page", "pos")).alias("h")).select("objectID", "h.*")
+    said = F.coalesce(keyword_score(F.col("title"), terms), F.lit(0.0))
+    kept = one.where(said >= least).where("num_comments >= 2 or points >= 10")
+    return kept.orderBy(F.desc("num_comments"), F.desc("points"), F.desc("created_at_i"), "objectID")
 
 
 def page_items(pages: DataFrame) -> DataFrame:
@@ -52,3 +79,74 @@ def page_items(pages: DataFrame) -> DataFrame:
 
 def validated(raw: DataFrame) -> DataFrame:
     return raw.where((F.trim("title") != "") & F.col("url").startswith("http"))
+
+
+# Titles that only point elsewhere.
+POINTERS = ["原文链接", "查看详情", "点击查看", "详情"]
+
+
+def is_pointer(title: Column) -> Column:
+    """Whether a title only points elsewhere."""
+    said = F.trim(F.coalesce(title, F.lit("")))
+    return (said == "") | F.contains(said, F.lit("详情见官方介绍")) | said.isin(POINTERS)
+
+
+def is_generic(title: Column) -> Column:
+    """Whether a title doesn't tell its item from others of the page."""
+    return is_pointer(title) | F.trim(F.coalesce(title, F.lit(""))).rlike(r"\(AI资讯\)\s*$")
+
+
+CATALOGUE = "feed string, site_id string, site_name string, source string, keywords array<string>, strict boolean, max_days int, first int, dated boolean, least_title int, prefix string"
+
+
+def catalogue_items(payloads: DataFrame, catalogue: DataFrame, now: Column) -> DataFrame:
+    """Items (feed, pos, site_id, site_name, source, title, url, published) of stored feeds by their catalogue rows.
+
+    ``payloads``: (feed, payload); ``catalogue``: ``CATALOGUE``, one row a feed, few enough to broadcast. An entry needs a
+    title of ``least_title`` characters that is more than a pointer and an http link; a date where ``dated``, and if it
+    has one, of the last ``max_days``; one of the keywords (in the title alone if ``strict``; 'ai' only as a word), if
+    any are named. Of one address the first entry counts, of a feed the ``first`` ones in its order. ``prefix`` stands
+    before every title.
+    """
+    rules = F.broadcast(catalogue)
+    rows = feed_items(payloads.select("feed", "payload")).join(rules, "feed")
+    title = fix_mojibake(F.col("title"))
+    made = rows.select("feed", "pos", "site_id", "site_name", "source", "keywords", "strict", "max_days", "first", "dated", F.coalesce("least_title", F.lit(1)).alias("least_title"), "prefix", title.alias("title"), F.col("link").alias("url"), urls.normalize_url(F.col("link")).alias("key"), times.parse_any(F.col("published"), now).alias("published"))
+    text = F.lower(F.when(F.col("strict"), F.col("title")).otherwise(F.concat_ws(" ", "title", "url", "source")))
+    named = F.exists("keywords", lambda k: F.when(k == "ai", has_word(text, ["ai"])).otherwise(F.contains(text, F.lower(k))))
+    allowed = F.when(F.size(F.coalesce("keywords", F.array().cast("array<string>"))) > 0, named).otherwise(F.lit(True))
+    recent = F.col("published").isNull() | F.col("max_days").isNull() | (F.col("published") >= now - F.make_dt_interval(days=F.col("max_days")))
+    kept = made.where((F.length("title") >= F.col("least_title")) & ~is_pointer(F.col("title")) & F.col("url").startswith("http") & (~F.coalesce("dated", F.lit(True)) | F.col("published").isNotNull()) & recent & allowed)
+    once = best_per_key(kept, ["feed", "key"], F.struct("pos"))
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy("pos"))).where(F.col("first").isNull() | (F.col("n") <= F.col("first")))
+    shown = F.when(F.col("prefix").isNotNull() & ~F.contains("prefix", F.col("title")), F.concat_ws(" ", "prefix", "title")).when(F.col("prefix").isNotNull(), F.col("prefix")).otherwise(F.col("title"))
+    return ranked.select("feed", "pos", "site_id", "site_name", "source", shown.alias("title"), "url", "published")
+
+
+ITEM = ["site_id", "site_name", "source", "title", "url", "published"]
+
+
+def collected(connectors: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, list[dict]]:
+    """(items of all connectors with ``ingest_seq``, one status row for each): a connector that fails, or gives no
+    items, doesn't stop the others.
+
+    Each connector's items are written to the checkpoint folder; a status has site_id, ok, item_count, duration_ms and
+    error. ``ingest_seq`` follows the connectors' order, then their own rows'.
+    """
+    parts, statuses = [], []
+    for number, (name, make) in enumerate(connectors.items()):
+        began, error, count = time.time(), None, 0
+        try:
+            rows = make()
+            lacking = [F.lit(None).cast("string").alias(c) for c in ITEM if c not in rows.columns]
+            rows = settled(rows.select("*", *lacking).withColumn("ingest_seq", (F.lit(number).cast("long") * (1 << 53)) + F.monotonically_increasing_id() % (1 << 53)))
+            count = rows.count()
+            parts.append(rows)
+            error = None if count else "no items parsed"
+        except Exception as failed:  # noqa: BLE001 (a broken source is a status, not a failure of the run)
+            error = type(failed).__name__
+        statuses.append({"site_id": name, "ok": error is None, "item_count": count, "duration_ms": int((time.time() - began) * 1000), "error": error})
+    out = None
+    for rows in parts:
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out, statuses
