@@ -112,6 +112,10 @@ def test_index_finds_all_pairs_in_crowded_groups(spark):
         assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12, 10**15)] == [4, 4, 4, 5, 6, 6]
+
+
 def brute_tokens(encoding, text):
     import regex
 

@@ -1,37 +1,12 @@
-"""Connected components of a link table by repeated contraction, all in DataFrame operations."""
+"""Connected components of a link table, and their short form inside one task."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewire.llm.common import saved
+from tidewire.operators.graph import components
 
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (src, dst of one type); nodes of one component share a root.
-
-    In each round every node adopts the neighbour (or itself) that comes first in hash order, and the links are
-    contracted onto the adopted nodes. Hash order makes a constant share of the nodes vanish in each round also on
-    long chains, so the rounds grow with the logarithm of the largest component. Nothing but a row count reaches the
-    driver. Links that hold null are ignored; an empty table gives an empty result.
-    """
-    edges = saved(links.select("src", "dst").where("src is not null and dst is not null and src != dst").distinct())
-    labels = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-        parents = saved(both.groupBy(F.col("src").alias("node")).agg(F.min(rank("dst")).alias("m")).select("node", F.least(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v")), "m")["v"].alias("parent")))
-        if labels is None:
-            labels = parents.select("node", F.col("parent").alias("root"))
-        else:
-            step = parents.select(F.col("node").alias("root"), "parent")
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
-        to = lambda c, name: parents.select(F.col("node").alias(c), F.col("parent").alias(name))
-        edges = saved(edges.join(to("src", "a"), "src").join(to("dst", "b"), "dst").where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-        if edges.isEmpty():
-            return labels
+__all__ = ["components", "stars"]
 
 
 def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

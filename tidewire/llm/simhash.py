@@ -154,6 +154,18 @@ def _masks(blocks: int, k: int) -> list[int]:
     return [sum(part[b] for b in chosen) for chosen in combinations(range(blocks), blocks - k)]
 
 
+#: Different fingerprints that a top node may be expected to hold before the index takes more blocks.
+NODE = 4096
+
+
+def blocks_for(n: int, k: int = 3) -> int:
+    """The fewest blocks with which ``n`` fingerprints leave about ``NODE`` in a top node: 4 up to some 10^8, then 5."""
+    blocks = k + 1
+    while blocks < 2 * k and n > NODE << (BITS * (blocks - k) // blocks):
+        blocks += 1
+    return blocks
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -186,7 +198,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     component's smallest non-null key (null if there is none). Repeated keys and other columns do no harm.
     """
     found = saved(fingerprints(df, key, text))
-    rooted = _rooted(found.groupBy("fp").agg(F.min(key).alias("first")), k)
+    rooted = _rooted(saved(found.groupBy("fp").agg(F.min(key).alias("first"))), k)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     byfp = rooted.join(least, "root").select("fp", "component_id")
     return found.join(byfp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -194,7 +206,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 def _rooted(firsts: DataFrame, k: int) -> DataFrame:
     """The rows of ``firsts`` (fp and first, a row for each fingerprint) with their component's root."""
-    roots = components(fingerprint_links(firsts.select("fp"), k))
+    roots = components(fingerprint_links(firsts.select("fp"), k, blocks_for(firsts.count(), k)))
     return saved(firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
