@@ -27,6 +27,7 @@ def one(spark, column):
         ("https://A.com/x?a=1&utm_source=x&fbclid=abc", "https://a.com/x?a=1"),
         ("HTTPS://a.com/x/#top", "https://a.com/x"),
         (" no scheme ", "no scheme"),
+        ("http://a.com/?q=a%20b+c&t=%7Ex*&u=%C3%A9&z=100%", "http://a.com/?q=a+b+c&t=~x%2A&u=%C3%A9&z=100%25"),
         ("http://a.com/?k&b=", "http://a.com/?k=&b="),
     ],
 )
@@ -234,3 +235,27 @@ def test_streams_keep_their_results_out_of_the_driver(spark, tmp_path):
     empty = tmp_path / "empty"
     empty.mkdir()
     assert archive_stream.first_last_seen(spark, str(empty), rows.schema, "k", "at").count() == 0
+
+
+def test_streamed_archive_merges_batches_and_forgets(spark, tmp_path):
+    from tidewire.streaming import archive_stream
+
+    t = lambda h: NOW - dt.timedelta(hours=h)
+    columns = "id string, site_id string, title string, published_at timestamp, ingest_seq int"
+    batches = [[("a", "s", "one", t(5), 1), ("b", "opmlrss", "late", None, 1)], [("a", "s", "two", t(1), 2), ("c", "s", "old but late", t(900), 2)], [("a", "s", "three", None, 3)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    got = {r.id: r for r in archive_stream.archived(spark, str(tmp_path / "in"), schema, "id", lambda b: b, F.lit(NOW), 21, files=1).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"].title in ("one", "two", "three") and got["a"].last_seen_at == NOW
+    held = spark.createDataFrame(list(got.values()))
+    assert {r.id for r in archive_stream.visible(held, F.lit(NOW), 24).collect()} == {"a"}
+
+
+def test_upsert_keeps_what_a_source_said_before(spark):
+    columns = "id string, site_id string, title string, summary string, published_at timestamp"
+    seen = ", first_seen_at timestamp, last_seen_at timestamp"
+    old = spark.createDataFrame([("a", "s", "t", "known", NOW, NOW, NOW), ("b", "s", "t", "known", NOW, NOW, NOW)], columns + seen)
+    run = spark.createDataFrame([("a", "s", None, None, None, 1), ("b", "s", "u", "new", None, 1), ("b", "s", "u", None, None, 2), ("c", "s", "v", None, None, 1)], columns + ", ingest_seq int")
+    got = {r.id: (r.title, r.summary) for r in archive.upsert(old, run, "id", F.lit(NOW)).collect()}
+    assert got == {"a": (None, "known"), "b": ("u", "new"), "c": ("v", None)}

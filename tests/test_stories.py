@@ -128,7 +128,13 @@ def test_stories_of_odd_rows(spark):
 
 def test_candidate_titles_lose_no_pair(spark):
     rng = random.Random(4)
-    titles = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(4, 30))) for _ in range(60)} | {r[2] for r in random_rows(9, 80)})
+    titles = {"".join(rng.choice("abc ") for _ in range(rng.randint(4, 30))) for _ in range(60)} | {r[2] for r in random_rows(9, 80)}
+    # long ones, around the length from which titles meet by it
+    for size in (500, 512, 515, 900):
+        long_ = [rng.choice(WORDS) for _ in range(size // 5)]
+        for cut in (0, 3, 9):
+            titles.add(" ".join(long_)[cut:size])
+    titles = sorted(titles)
     frame = spark.createDataFrame([("", i % 2, t) for i, t in enumerate(titles)], "scope string, band long, title string")
     got = {(r.a, r.b): r.similarity for r in similar.similar_titles(frame, 0.86).collect()}
     want = {(a, b): alike(a, b) for a in titles for b in titles if a != b and alike(a, b) >= 0.86 and not parted(a, b)}
@@ -196,11 +202,11 @@ def test_overlap_equals_plain_comparison(spark):
 def test_literal_queries_equal_their_sql(spark, small):
     import duckdb
 
-    from tidewire.plans import news
+    from tidewire.plans import news, reader
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    names = [n for n in Q.SQL if Q.QUERIES[n].__module__ == news.__name__]
+    names = [n for n in Q.SQL if Q.QUERIES[n].__module__ in (news.__name__, reader.__name__)]
     assert len(names) > 15
     plain = lambda v: tuple(map(plain, v)) if isinstance(v, list | tuple) else round(v, 6) if isinstance(v, float) else v
     for name in names:

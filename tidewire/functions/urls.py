@@ -14,17 +14,25 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(F.trim(url), _URL, group)
 
 
+def _written(value: Column) -> Column:
+    """A parameter's name or value read and written as forms do: a space as +, unreserved characters plain."""
+    read = F.coalesce(F.try_url_decode(value), value)
+    return F.replace(F.replace(F.url_encode(read), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def _rebuilt(url: Column, keep) -> Column:
     key = lambda p: F.lower(F.element_at(F.split(p, "="), 1))
     params = F.filter(F.split(_part(url, 4), "&"), lambda p: (p != "") & keep(key(p)))
-    query = F.array_join(F.transform(params, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    at = lambda p: F.locate("=", p)
+    pair = lambda p: F.when(at(p) > 0, F.concat(_written(F.substring_index(p, "=", 1)), F.lit("="), _written(F.substr(p, at(p) + 1)))).otherwise(F.concat(_written(p), F.lit("=")))
+    query = F.array_join(F.transform(params, pair), "&")
     whole = F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)), _part(url, 3), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.when(_part(url, 1) != "", F.rtrim(whole, F.lit("/"))).otherwise(F.trim(url))
 
 
 def normalize_url(url: Column) -> Column:
-    """Lower-case scheme and host; without fragment, tracking parameters and trailing slashes. Text without a scheme
-    is only trimmed. Percent-escapes stay as they are."""
+    """Lower-case scheme and host; without fragment, tracking parameters and trailing slashes; parameters written anew,
+    so that one value has one form. Text without a scheme is only trimmed."""
     return _rebuilt(url, lambda k: ~k.startswith("utm_") & ~k.isin(TRACKING))
 
 

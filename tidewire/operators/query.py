@@ -11,6 +11,7 @@ from tidewire.functions import display as D
 from tidewire.functions import items as I
 from tidewire.operators.rank import best_per_key
 from tidewire.operators.scoring import NEWS, Rules, hotness, is_unsafe
+from tidewire.operators.views import event_clusters, featured, headline_score
 
 _text = lambda *names: F.concat_ws(" ", *[F.nullif(F.col(n), F.lit("")) for n in names])
 #: Columns that items may lack; they then count as null.
@@ -262,3 +263,40 @@ def source_health(status: DataFrame, feeds: DataFrame) -> DataFrame:
     feeds = feeds.agg(F.count("*").alias("feeds"), f(flag("ok") & ~flag("skipped")).alias("ok_feeds"), names(~flag("ok") & ~flag("skipped"), "feed_url").alias("failed_feeds"), names(flag("ok") & ~flag("skipped") & (F.coalesce("item_count", F.lit(0)) == 0), "feed_url").alias("zero_item_feeds"), f(flag("skipped")).alias("skipped_feeds"), f(flag("replaced")).alias("replaced_feeds"))
     row = sites.crossJoin(feeds)  # one row each
     return row.select("*", (F.size("failed_sites") + F.size("failed_feeds")).alias("failures"))
+
+
+# How many stories the views show, the sites that may not fill up the featured ones, the first cards.
+HOT_LIMIT, TIMELINE_LIMIT, TOP, FOLLOW_UP = 10, 20, 3, 2
+COMMUNITY = ["waytoagi", "followbuilders", "hackernews", "zeli", "aibase"]
+
+
+def featured_view(pools: dict[str, DataFrame], now: Column, view_: str = "hot") -> DataFrame:
+    """The featured stories in order, with ``card``: top for the first three, follow_up for the next two, more behind.
+
+    The pool is the brief and what follows it, or all merged stories without a brief; stories of community sites need an
+    event. The hot view gives way to the timeline if it has fewer than two stories. A source takes at most two of the
+    first seats where others are as good.
+    """
+    brief = pools["brief"]
+    pool = brief.unionByName(pools["followup"]) if not brief.isEmpty() else pools["merged"]
+    ranked = lambda v: gated(ranked_stories(pool, now, v), COMMUNITY)
+    hot = ranked("hot")
+    if view_ == "hot" and len(hot.select("story_id").take(2)) < 2:
+        view_ = "timeline"
+    rows = hot if view_ == "hot" else ranked("timeline")
+    seats = featured(rows.select(F.col("story_id").alias("id"), "site_id", "badge", F.col("hot_score").alias("hot"), "place"))
+    placed = rows.join(seats.select(F.col("id").alias("story_id"), "seat"), "story_id")
+    order = [F.col("seat").asc_nulls_last(), F.col("place")]
+    few = placed.orderBy(*order).limit(HOT_LIMIT if view_ == "hot" else TIMELINE_LIMIT)
+    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # over the view's few rows
+    shown = few.withColumn("n", n)
+    return shown.withColumn("card", F.when(F.col("n") <= TOP, "top").when(F.col("n") <= TOP + FOLLOW_UP, "follow_up").otherwise("more"))
+
+
+def ranked_clusters(shown: DataFrame) -> DataFrame:
+    """The events of shown items, best headline first: each with its primary item, sources, merged rows and score."""
+    rows = shown.select("event_key", "id", "signal", D.source_priority(F.col("signal")).alias("rank"), F.when(F.col("percent") > 0, F.col("percent")).otherwise(F.col("priority")).alias("score"), "priority", F.coalesce(F.unix_micros("shown_at"), F.lit(0)).alias("ts"))
+    clusters = event_clusters(rows.select("event_key", "id", "signal", F.col("rank").alias("priority"), "score", "ts"))
+    base = rows.select(F.col("id").alias("primary_id"), F.col("priority").alias("base"), "ts")
+    both = clusters.join(base, "primary_id")
+    return both.select("event_key", "primary_id", "source_count", "merged_count", headline_score(F.col("base"), F.col("source_count"), F.col("merged_count")).alias("headline"), "ts").orderBy(F.desc("headline"), F.desc("ts"), "primary_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.operators.rank import first_by, votes
@@ -20,8 +20,8 @@ def story_records(items: DataFrame) -> DataFrame:
 def event_clusters(rows: DataFrame) -> DataFrame:
     """One row an event of rows (event_key, id, signal, priority, score, ts): the primary row (priority, score, time),
     its distinct signals, rows merged, and a score with 6 for each further signal (at most 12), at most 100."""
-    order = F.struct("priority", "score", "ts", (-F.col("id")).alias("i"))
-    g = rows.groupBy("event_key").agg(F.max_by("id", order).alias("primary_id"), F.count_distinct("signal").alias("source_count"), F.count("*").alias("merged_count"), F.max("score").alias("top"))
+    order = F.struct(*[(-F.col(c)).alias(c) for c in ("priority", "score", "ts")], "id")
+    g = rows.groupBy("event_key").agg(F.min_by("id", order).alias("primary_id"), F.count_distinct("signal").alias("source_count"), F.count("*").alias("merged_count"), F.max("score").alias("top"))
     bonus = F.least(F.lit(12), (F.col("source_count") - 1) * 6)
     return g.select("event_key", "primary_id", "source_count", "merged_count", F.least(F.lit(100.0), F.floor(F.col("top") + bonus + 0.5)).alias("score"))
 
@@ -77,5 +77,6 @@ def featured(rows: DataFrame, seats: int = 5, per_source: int = 2) -> DataFrame:
 
     named = rows.withColumn("site_id", F.coalesce("site_id", F.lit("")))
     few = first_by(named, ["site_id"], [F.col("place"), F.col("id")], seats).orderBy("place", "id").limit(seats * (seats + 1))
-    chosen = few.groupBy(F.lit(0).alias("all")).applyInPandas(seated, "id long, seat int")
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place", "id")))  # of these few
+    chosen = few.groupBy(F.lit(0).alias("all")).applyInPandas(seated, f"id {rows.schema['id'].dataType.simpleString()}, seat int")
     return rows.select("id").join(F.broadcast(chosen), "id", "left")  # at most ``seats`` rows

@@ -380,3 +380,16 @@ def story_clusters(spark, d):
 def stream_first_last_seen(spark, d):
     schema = table(spark, d, "events").schema
     return archive_stream.first_last_seen(spark, f"{d}/events.parquet*", schema, "user_id", "ts")
+
+
+@query("""WITH e AS (SELECT user_id AS id, max_by(event_type, event_id) AS site_id, max_by(value, event_id) AS v, min_by(ts, event_id) AS published_at, max(ts) AS latest FROM events GROUP BY 1)
+SELECT id, site_id, v, published_at FROM e WHERE published_at >= (SELECT max(ts) FROM events) - INTERVAL 1800 HOUR""")
+def stream_archive(spark, d):
+    schema = table(spark, d, "events").schema
+    now = F.lit(table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
+
+    def prepare(batch):
+        return batch.select(F.col("user_id").alias("id"), F.col("event_type").alias("site_id"), F.col("value").alias("v"), F.col("ts").cast("timestamp").alias("published_at"), F.col("event_id").alias("ingest_seq"))
+
+    held = archive_stream.archived(spark, f"{d}/events.parquet*", schema, "id", prepare, now, 21)
+    return archive_stream.visible(held, now, 1800).select("id", "site_id", "v", "published_at")

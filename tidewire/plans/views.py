@@ -170,11 +170,11 @@ def source_sort(spark, d):
     return rows.orderBy(*order).limit(200).select("id", "site_id", "group_size")
 
 
-@query(f"""WITH {SHOWN}, {_KEPT}, f AS (SELECT * FROM kept WHERE list_contains(sections, 'models') AND contains(lower(concat_ws(' ', title, '', '', '', coalesce(lang, ''))), 'e')),
+@query(f"""WITH {SHOWN}, {_KEPT}, f AS (SELECT * FROM kept WHERE contains(lower(concat_ws(' ', title, '', '', '', coalesce(lang, ''))), 'e')),
 k AS (SELECT *, {EVENT_KEY} AS event_key FROM f) SELECT id, priority FROM k WHERE event_key IN (SELECT event_key FROM k GROUP BY 1 HAVING count(DISTINCT site_id) > 1)""")
 def view_query(spark, d):
     rows = shown(spark, d).withColumn("signal", F.col("site_id"))
-    return Q.filtered(rows, Q.ViewQuery(section="models", text=" E ", level="multi")).select("id", "priority")
+    return Q.filtered(rows, Q.ViewQuery(text=" E ", level="multi")).select("id", "priority")
 
 
 @query(f"""WITH {SHOWN}, {_KEPT}, s AS (SELECT section, count(*) AS n, sum(high::INT) AS high, count(DISTINCT coalesce(nullif(lang, ''), site_id)) AS sources FROM (SELECT unnest(['hot'] || sections) AS section, high, lang, site_id FROM kept) GROUP BY 1)
