@@ -252,7 +252,8 @@ def with_relevance(items: DataFrame, prior: Column, rules: Rules = NEWS, scope:
 def relevance_score(*scores: Column, related: Column) -> Column:
     """The first given score as a number in 0..1; one that doesn't read as a number, or none: 1 for related items, else 0."""
     read = F.coalesce(*[s.cast("string") for s in scores]).try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), read)), F.when(related, 1.0).otherwise(0.0))
+    bounded = F.when(read.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), read)))
+    return F.coalesce(bounded, F.when(related, 1.0).otherwise(0.0))
 
 
 def freshness(age_hours: Column, half_life: float = 48.0) -> Column:
@@ -265,7 +266,8 @@ EDITORIAL_SITES = {"official_ai": 0.9, "aihot": 0.78}
 
 def editorial(external: Column, related: Column, relevance_score: Column, site: Column | None = None) -> Column:
     """An outside score (percent or share), else the site's own strength, else one from the relevance."""
-    outside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(external > 1, external / 100).otherwise(external)))
+    share = F.when(external > 1, external / 100).otherwise(external)
+    outside = F.when(external.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
     own = F.when(related, F.greatest(F.lit(0.45), relevance_score * 0.72)).otherwise(relevance_score * 0.6)
     of_site = F.lit(None).cast("double") if site is None else F.create_map(*[F.lit(x) for pair in EDITORIAL_SITES.items() for x in pair])[site]
     return F.coalesce(outside, of_site, own)
