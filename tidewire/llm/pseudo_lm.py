@@ -77,17 +77,26 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Ids:
-    """Token ids of word hashes."""
-
-    def __init__(self, common: np.ndarray):
-        self.place = np.argsort(common)
+    """Token ids of word hashes: a table by the hashes' low bits, and a sorted list of the words that found no place."""
+
+    def __init__(self, common: np.ndarray, bits: int = 20):
+        self.mask, numbers = np.uint64((1 << bits) - 1), np.arange(len(common))
+        self.words, self.places = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        slots = (common & self.mask).astype(np.int64)
+        self.words[slots], self.places[slots] = common, numbers
+        left = np.flatnonzero(self.places[slots] != numbers)
+        self.place = left[np.argsort(common[left])]
         self.known = common[self.place]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        ids = COMMON + (hashes % np.uint64(RARE)).astype(np.int64)
+        slots = (hashes & self.mask).astype(np.int64)
+        places = self.places[slots]
+        ids = np.where((self.words[slots] == hashes) & (places >= 0), places, COMMON + (hashes % np.uint64(RARE)).astype(np.int64))
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            ids = np.where(self.known[at] == hashes, self.place[at], ids)
+            rest = np.flatnonzero(ids >= COMMON)
+            at = np.minimum(np.searchsorted(self.known, hashes[rest]), len(self.known) - 1)
+            hit = self.known[at] == hashes[rest]
+            ids[rest[hit]] = self.place[at[hit]]
         return ids
 
 
@@ -103,19 +112,24 @@ def contexts(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
-
-
 def _digits(ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The three digits of each id, and the rows of their biases: the digits before."""
     return [ids >> 10, (ids >> 5) & 31, ids & 31], [np.zeros(len(ids), np.int64), ids >> 10, ids >> 5]
 
 
+#: No output is taken for more than this, whose exponential is still a number.
+MOST = 80
+
+
 def _forward(p: dict, rows: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sums of the embeddings around, and the outputs of each digit before the softmax."""
     h = sum(p["left" if c < REACH else "right"][around[:, c]] for c in range(2 * REACH))
-    return h, [_softmax(h @ p[f"out{k}"] + p[f"bias{k}"][rows[k]]) for k in range(3)]
+    outputs = []
+    for k in range(3):
+        z = h @ p[f"out{k}"]
+        z += p["bias0"] if k == 0 else p[f"bias{k}"][rows[k]]
+        outputs.append(np.minimum(z, MOST, out=z))
+    return h, outputs
 
 
 def log_probabilities(p: dict, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -124,8 +138,10 @@ def log_probabilities(p: dict, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     for lo in range(0, len(ids), BATCH):
         part = ids[lo : lo + BATCH]
         at, (digits, biases) = np.arange(len(part)), _digits(part)
-        _, soft = _forward(p, biases, around[lo : lo + BATCH])
-        out[lo : lo + BATCH] = sum(np.log(np.maximum(s[at, q], 1e-30).astype(float)) for s, q in zip(soft, digits))
+        _, outputs = _forward(p, biases, around[lo : lo + BATCH])
+        for z, q in zip(outputs, digits):
+            said = z[at, q].astype(float)
+            out[lo : lo + BATCH] += said - np.log(np.maximum(np.exp(z, out=z).sum(1), 1e-30).astype(float))
     return out
 
 
@@ -141,11 +157,12 @@ def gradients(p: dict, ids: np.ndarray, around: np.ndarray) -> dict[str, tuple]:
     """For each table the rows (a slice for all) in which the batch's mean loss has a gradient, and that gradient."""
     n, at = len(ids), np.arange(len(ids))
     digits, biases = _digits(ids)
-    h, soft = _forward(p, biases, around)
+    h, outputs = _forward(p, biases, around)
     out, dh = {}, np.zeros_like(h)
-    for k, (s, q) in enumerate(zip(soft, digits)):
-        s[at, q] -= 1
-        s /= n
+    for k, (s, q) in enumerate(zip(outputs, digits)):
+        np.exp(s, out=s)
+        s *= 1 / (n * np.maximum(s.sum(1, keepdims=True), 1e-30))
+        s[at, q] -= s.dtype.type(1 / n)
         dh += s @ p[f"out{k}"].T
         out[f"out{k}"] = (slice(None), h.T @ s)
         out[f"bias{k}"] = (slice(None), s.sum(0, keepdims=True)) if k == 0 else _summed(biases[k].astype(np.uint16), s)
