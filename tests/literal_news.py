@@ -1,6 +1,6 @@
-"""Registered queries over small literal tables of news: inputs as sources give them, beside the rows they must become.
+"""Cases over small literal tables of news: inputs as sources give them, beside the rows they must become.
 
-The driver's tables hold no news, so the real rule tables and the parsers run here on items written for them. Where the
+The given tables hold no news, so the real rule tables and the parsers run here on items written for them. Where the
 rules are tables, the SQL states their meaning; for parsers it states the rows that must come out.
 """
 
@@ -15,10 +15,18 @@ from tidewire.functions import text as X
 from tidewire.functions import times
 from tidewire.operators import events, gates, payloads, query, scoring
 from tidewire.plans import dims, sqltext
-from tidewire.plans.queries import query as registered
 from tidewire.sources import feeds, pages, services
 
 NOW = dt.datetime(2026, 7, 24, 18)
+QUERIES, SQL = {}, {}
+
+
+def registered(sql):
+    def add(f):
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
 
 
 def now():

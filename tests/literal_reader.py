@@ -1,4 +1,4 @@
-"""Registered queries of the reader's view over literal stories, items and statuses, beside the rows that must come out."""
+"""Cases of the reader's view over literal stories, items and statuses, beside the rows that must come out."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidewire.functions import display as D
 from tidewire.functions import text as X
 from tidewire.operators import query
-from tidewire.plans.news import literal, now, values
-from tidewire.plans.queries import query as registered
+
+from literal_news import literal, now, registered, values
 
 _STORY = "story_id VARCHAR, site_id VARCHAR, title VARCHAR, url VARCHAR, score DOUBLE, duplicate_count BIGINT, item_count BIGINT, hours DOUBLE, business_events VARCHAR[]"
 STORIES = [

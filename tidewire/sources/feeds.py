@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import times, urls
@@ -27,28 +27,56 @@ def unescaped(text: Column) -> Column:
     return out
 
 
+_RSS_ITEM = "struct<title: string, link: array<string>, pubDate: string, published: string, updated: string, date: string>"
+_ATOM_ENTRY = "struct<title: string, link: array<struct<_href: string, _rel: string>>, published: string, updated: string>"
+#: RSS has its items in the channel, RDF beside it, Atom has entries.
+FEED = f"struct<channel: struct<item: array<{_RSS_ITEM}>>, item: array<{_RSS_ITEM}>, entry: array<{_ATOM_ENTRY}>, _bad: string>"
+_XML = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_bad"}
+
+
+def read_feeds(payloads: DataFrame, xml: str = "payload") -> DataFrame:
+    """The payload columns without ``xml``, ``entries`` (array of title, link, published) and ``error``.
+
+    A payload that is no well-formed XML is read again with entities of HTML and bare ampersands mended; what is still
+    broken has a null list and the error "unreadable", and one without any entry the error "no entries". Null payloads
+    have the error "missing".
+    """
+    mended = F.regexp_replace(F.replace(F.col(xml), F.lit("&nbsp;"), F.lit("&#160;")), r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});)", "&amp;")
+    once = payloads.withColumn("_f", F.from_xml(xml, FEED, _XML))
+    bad = F.col("_f._bad").isNotNull()
+    again = once.withColumn("_g", F.when(bad, F.from_xml(F.when(bad, mended), FEED, _XML)).otherwise(F.col("_f")))
+    plain = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    none = F.array().cast("array<struct<title: string, link: string, published: string>>")
+
+    def item(x: Column) -> Column:
+        return F.struct(F.coalesce(plain(x["title"]), F.lit("")).alias("title"), plain(F.get(x["link"], F.lit(0))).alias("link"), F.coalesce(*[plain(x[c]) for c in ("pubDate", "published", "updated", "date")]).alias("published"))
+
+    def entry(x: Column) -> Column:
+        main = F.filter(x["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+        link = F.coalesce(F.get(main, F.lit(0))["_href"], F.get(x["link"], F.lit(0))["_href"])
+        return F.struct(F.coalesce(plain(x["title"]), F.lit("")).alias("title"), plain(link).alias("link"), F.coalesce(plain(x["published"]), plain(x["updated"])).alias("published"))
+
+    found = F.concat(F.coalesce(F.transform("_g.channel.item", item), none), F.coalesce(F.transform("_g.item", item), none), F.coalesce(F.transform("_g.entry", entry), none))
+    error = F.when(F.col(xml).isNull(), "missing").when(F.col("_g._bad").isNotNull(), "unreadable").when(F.size("entries") == 0, "no entries")
+    kept = [c for c in payloads.columns if c != xml]
+    return again.withColumn("entries", F.when(F.col("_g._bad").isNull(), found)).select(*kept, "entries", error.alias("error"))
+
+
 def feed_items(payloads: DataFrame, xml: str = "payload") -> DataFrame:
-    """(feed columns, pos, title, link, published) of RSS items and Atom entries; equal (title, link) of one payload once.
+    """(payload columns, pos, title, link, published) of RSS, RDF and Atom entries; equal (title, link) of one payload once.
 
-    Default namespaces are cut from the text first, so that one path serves both kinds.
+    Payloads that can't be read give no rows; ``read_feeds`` names them.
     """
-    plain = payloads.withColumn("_xml", F.regexp_replace(xml, r'\sxmlns(:\w+)?="[^"]*"', ""))
-    entries = plain.withColumn("_e", F.regexp_extract_all("_xml", F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), 1))
-    one = entries.select(*[c for c in payloads.columns if c != xml], F.posexplode("_e").alias("pos", "_one"))
-    held = lambda tag: F.regexp_extract("_one", rf"(?s)<{tag}(?:\s[^>]*)?>\s*<!\[CDATA\[(.*?)\]\]>\s*</{tag}>", 1)
-    plain_ = lambda tag: F.regexp_extract("_one", rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-    value = lambda tag: F.trim(F.regexp_replace(F.when(held(tag) != "", held(tag)).otherwise(unescaped(plain_(tag))), r"\s+", " "))
-    link = F.coalesce(F.nullif(value("link"), F.lit("")), F.nullif(unescaped(F.regexp_extract("_one", r'<link[^>]*href="([^"]*)"', 1)), F.lit("")))
-    published = F.coalesce(*[F.nullif(value(t), F.lit("")) for t in ("pubDate", "published", "updated")])
-    rows = one.select(*[c for c in one.columns if c != "_one"], value("title").alias("title"), link.alias("link"), published.alias("published"))
+    numbered = payloads.withColumn("_n", F.monotonically_increasing_id())
+    rows = read_feeds(numbered, xml).select(*[c for c in numbered.columns if c != xml], F.posexplode("entries").alias("pos", "e")).select("*", "e.*").drop("e")
     keys = [c for c in rows.columns if c not in ("pos", "published")]
-    return rows.groupBy(*keys).agg(F.min("pos").alias("pos"), F.min_by("published", "pos").alias("published"))
+    return rows.groupBy(*keys).agg(F.min("pos").alias("pos"), F.min_by("published", "pos").alias("published")).drop("_n")
 
 
 def subscriptions(payloads: DataFrame, xml: str = "payload") -> DataFrame:
     """(title, xml_url, html_url) of a subscription list's outlines, each feed URL once."""
     one = payloads.select(F.posexplode(F.regexp_extract_all(xml, F.lit(r"(<outline\s[^>]*>)"), 1)).alias("pos", "o"))
-    attr = lambda n: F.nullif(F.regexp_extract("o", rf'\s{n}="([^"]*)"', 1), F.lit(""))
+    attr = lambda n: F.nullif(unescaped(F.regexp_extract("o", rf'\s{n}="([^"]*)"', 1)), F.lit(""))
     rows = one.select("pos", F.coalesce(attr("title"), attr("text"), attr("xmlUrl")).alias("title"), attr("xmlUrl").alias("xml_url"), attr("htmlUrl").alias("html_url")).where("xml_url is not null")
     return rows.groupBy("xml_url").agg(F.min_by("title", "pos").alias("title"), F.min_by("html_url", "pos").alias("html_url"))
 
@@ -128,12 +156,12 @@ ITEM = ["site_id", "site_name", "source", "title", "url", "published"]
 
 def collected(connectors: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, list[dict]]:
     """(items of all connectors with ``ingest_seq``, one status row for each): a connector that fails, or gives no
-    items, doesn't stop the others.
+    items, doesn't stop the others; if all fail the items are an empty table.
 
     Each connector's items are written to the checkpoint folder; a status has site_id, ok, item_count, duration_ms and
     error. ``ingest_seq`` follows the connectors' order, then their own rows'.
     """
-    parts, statuses = [], []
+    spark, parts, statuses = SparkSession.active(), [], []
     for number, (name, make) in enumerate(connectors.items()):
         began, error, count = time.time(), None, 0
         try:
@@ -144,9 +172,11 @@ def collected(connectors: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame
             parts.append(rows)
             error = None if count else "no items parsed"
         except Exception as failed:  # noqa: BLE001 (a broken source is a status, not a failure of the run)
+            if SparkSession.getActiveSession() is None or spark.sparkContext._jsc.sc().isStopped():
+                raise  # the cluster is gone, not the source
             error = type(failed).__name__
         statuses.append({"site_id": name, "ok": error is None, "item_count": count, "duration_ms": int((time.time() - began) * 1000), "error": error})
-    out = None
+    out = spark.createDataFrame([], ", ".join(f"{c} {'timestamp' if c == 'published' else 'string'}" for c in ITEM) + ", ingest_seq long")
     for rows in parts:
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        out = out.unionByName(rows, allowMissingColumns=True)
     return out, statuses
