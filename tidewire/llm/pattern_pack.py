@@ -13,6 +13,7 @@ Nothing but the histogram and the plan passes the driver: a plan has at most one
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ from tidewire.llm.common import byte_slices, stored
 
 #: A tokenizer file beyond this size is refused instead of broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
-#: Encoded words that a Python worker remembers; beyond it forgets them all and starts anew.
-REMEMBERED = 400_000
+#: Encoded words of a generation that a Python worker remembers; it keeps two, so words in use stay.
+REMEMBERED = 250_000
 #: Length classes of the histogram at most; larger sequences round lengths up to a common step.
 CLASSES = 1024
 #: Steps of the fit.
@@ -38,32 +39,47 @@ STEPS = 400
 ROUNDINGS = [(share, up) for share in (1, 0.9, 0.75, 0.5) for up in (0, 0.5, 0.999999)]
 
 
-class WordEncoder:
-    """Encodes texts with the ``tokenizers`` library, each match of the byte-level pre-split once.
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    shows = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shows]
+    return {b: chr(b) for b in shows} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
-    The library splits a text by ``pattern`` and encodes each match by itself, so encoding matches singly gives the same
-    ids. A text that holds the string of an added token goes through the library as a whole.
+
+class WordEncoder(dict):
+    """Ids of words, as bytes: encoded by the ``tokenizers`` library when they are first asked for.
+
+    The library splits a text by ``pattern`` and hands each match to its model by itself, so asking the model match by
+    match gives the same ids. That holds for plain byte-level tokenizers; texts of others, and texts that hold the string
+    of an added token, go through the library as a whole.
     """
 
     def __init__(self, tokenizer: str, pattern: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pattern = Tokenizer.from_str(tokenizer), regex.compile(pattern)
+        said = json.loads(tokenizer)
+        before = said.get("pre_tokenizer") or {}
+        self.plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and said.get("normalizer") is None
+        self.tokenizer, self.pattern, self.alphabet = Tokenizer.from_str(tokenizer), regex.compile(pattern), byte_alphabet()
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = [None if any(a in t for a in self.added) else self.pattern.findall(t) for t in texts]
-        fresh = list(set().union(*(w for w in words if w)).difference(self.known))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(set().union(*(w for w in words if w)))
-        self.known.update(zip(fresh, map(self._ids, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
-        return [self._ids(self.tokenizer.encode(t, add_special_tokens=False)) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words)]
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            said = word.encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array([token.id for token in self.model.tokenize(said)], "<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
-    @staticmethod
-    def _ids(encoded) -> bytes:
-        return np.asarray(encoded.ids, "<u4").tobytes()
+    def text(self, text: str) -> bytes:
+        if not self.plain or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -91,8 +107,8 @@ def token_pieces(df: DataFrame, tokenizer_file: str, pattern: str, end: int, siz
         for batch in batches:
             for part in byte_slices(batch, text):
                 rows, piece, start, ids = [], [], [], []
-                for row, got in enumerate(encode([t or "" for t in part.column(text).to_pylist()])):
-                    got += last
+                for row, said in enumerate(part.column(text).to_pylist()):
+                    got = encode.text(said or "") + last
                     n = len(got) // 4
                     cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
                     rows += [row] * (len(cuts) - 1)
