@@ -98,3 +98,12 @@ def test_stages_keep_the_columns_of_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns, name
+
+
+def test_results_of_other_queries_survive_a_pipeline(spark, small):
+    from tidewire.llm import queries
+
+    lines = queries.op4_line_dedup(spark, small)
+    before = lines.count()
+    corpus_pipeline.run(spark, small).count()
+    assert lines.count() == before and lines.select("text_sha256").distinct().count() > 1

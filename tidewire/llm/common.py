@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -63,16 +65,21 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Ite
         lo = hi
 
 
-#: Folders that ``stored`` wrote and ``release`` has not deleted yet.
-_written: list[str] = []
+#: Folders that ``stored`` wrote inside the innermost ``temporary`` of this thread.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``saved``, as compressed Parquet below the shared checkpoint folder: for larger tables."""
+    """Like ``saved``, as compressed Parquet below the shared checkpoint folder: for larger tables.
+
+    The folder stays as long as results may read from it, unless a ``temporary`` around the call deletes it.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,10 +89,17 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all that ``stored`` wrote so far: call it once the results that read from it are written themselves."""
-    while _written:
-        delete_folder(spark, _written.pop())
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``stored`` wrote inside: write the results that read from it before that."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        written = _written.get()
+        _written.reset(token)
+        for path in written:
+            delete_folder(spark, path)
 
 
 #: Bit maps of ``may_match``: so many of 4 KB each, whatever the number of rows.
