@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import delete_folder, ensure_checkpoint_dir, release, table
+from tidewire.llm.common import delete_folder, ensure_checkpoint_dir, table, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -87,8 +87,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, read = table(spark, sf_dir, "documents"), None
     at = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        release(spark)
+        with temporary(spark):  # other queries' tables stay
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         if read:
             delete_folder(spark, read)
         read = f"{at}/{name}"
