@@ -136,6 +136,15 @@ def test_warc_reader_takes_members_and_finds_damage():
         list(warc.parse_archive(one.replace(b": 3", b": 2")))
 
 
+def test_merged_index_splits_captures_that_agree(spark):
+    rows = [(None, "http://a/", "com,a)/", "2026", "response", f"D{i % 3}", 1, None, f"run{i % 7}", i) for i in range(8000)]
+    merged = warc.merged_index(spark.createDataFrame(rows, warc.CAPTURES), range_rows=200)
+    parts = merged.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in parts) == 8000 and max(r.n for r in parts) < 1000
+    got = [(r.payload_digest, r.run, r.seq) for r in merged.collect()]
+    assert got == sorted(got)
+
+
 def test_merged_index_is_in_global_order(spark):
     rng = random.Random(9)
     rows = []
@@ -143,7 +152,7 @@ def test_merged_index_is_in_global_order(spark):
         captures = [(rng.choice([None, *range(90)]), "u", rng.choice(["com,a)/", "com,a)/hot", "org,b)/"]), f"2024-01-{rng.randint(1, 28):02}", "response", "d", 1, None) for _ in range(rng.randint(1, 60))]
         rows += [(*c, f"run{run}", i) for i, c in enumerate(sorted(captures, key=warc.capture_order))]
     frame = spark.createDataFrame(rows, warc.CAPTURES)
-    merged = [tuple(r)[:4] for r in warc.merged_index(frame, range_rows=50).collect()]
+    merged = [tuple(r)[:6] for r in warc.merged_index(frame, range_rows=50).collect()]
     assert len(merged) == len(rows)
     assert [warc.capture_order(r) for r in merged] == sorted(warc.capture_order(r) for r in rows)
 

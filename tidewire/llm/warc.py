@@ -197,8 +197,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def capture_order(row: tuple) -> tuple:
-    """By URL key, time and page (null first)."""
-    return (row[2], row[3], row[0] is not None, row[0] or 0)
+    """By URL key, time, page (null first) and payload digest."""
+    return (row[2], row[3], row[0] is not None, row[0] or 0, row[5])
 
 
 class LoserTree:
@@ -243,25 +243,26 @@ class LoserTree:
 
 
 def merged_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The captures in global order of URL key, timestamp and page, over all partitions in turn.
+    """The captures in global order of URL key, timestamp, page, digest, run and place there, over all partitions in turn.
 
-    A range holds about ``range_rows`` captures whatever the inputs' number; the page in the key splits a URL that
-    has very many captures. Spark brings each range's part of every run, in the run's order; the loser tree merges
-    them. Null pages come first, repeated captures all stay, and no captures give an empty index.
+    A range holds about ``range_rows`` captures whatever the inputs' number: page, digest, run and place in the key split
+    a URL that has very many captures, also ones that repeat. Spark brings each range's part of every run, in the run's
+    order; the loser tree merges them. Null pages come first, repeated captures all stay, and no captures give an empty
+    index.
     """
     ranges = max(1, -(-captures.count() // range_rows))
-    dealt = captures.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_first()).sortWithinPartitions("run", "seq")
+    dealt = captures.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_first(), "payload_digest", "run", "seq").sortWithinPartitions("run", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
         whole = pa.Table.from_batches(tables).combine_chunks()
-        keys = list(zip(*(whole.column(c).to_pylist() for c in ("page_id", "url", "url_key", "captured"))))
+        keys = list(zip(*(whole.column(c).to_pylist() for c in ("page_id", "url", "url_key", "captured", "run", "payload_digest"))))
         name = whole.column("run").to_pylist()
         starts = [i for i in range(len(name)) if i == 0 or name[i] != name[i - 1]]
         slices = [((*keys[i], i) for i in range(a, b)) for a, b in zip(starts, [*starts[1:], len(name)])]
-        order = [row[4] for row in LoserTree(slices, capture_order)]
+        order = [row[6] for row in LoserTree(slices, capture_order)]
         yield from whole.take(pa.array(order)).to_batches(max_chunksize=10_000)
 
     return dealt.mapInArrow(run, CAPTURES)
