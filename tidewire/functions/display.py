@@ -129,11 +129,6 @@ def label_tone(site: Column, label: Column, sections_: Column) -> Column:
     return F.when(site == "official_ai", "official").when(site == "aihot", "hot").otherwise(F.coalesce(_of(LABEL_TONES, label), F.when(F.array_contains(sections_, "community"), "community"), F.lit("default")))
 
 
-def importance_tone(label: Column) -> Column:
-    label = _empty(label)
-    return F.when(F.contains(label, F.lit("重大")), "hot").when(F.contains(label, F.lit("官方")), "official").when(F.contains(label, F.lit("多源")), "strong").otherwise("watch")
-
-
 def tags(section: str, sections_: Column, site: Column, verified: Column, size: int = 3) -> Column:
     """At most ``size`` tags of an item shown on a section's page."""
     echo = F.lit(None).cast("string") if section == "hot" else F.when(F.lit(section == "models") & F.array_contains(sections_, "models"), F.lit(None)).otherwise(F.lit(SECTION_BADGES[section]))

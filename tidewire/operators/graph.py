@@ -52,3 +52,27 @@ def components(links: DataFrame) -> DataFrame:
         edges = settled(edges.join(to("src", "a"), "src").join(to("dst", "b"), "dst").where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         if edges.isEmpty():
             return labels
+
+
+def nearest_marked(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """(id, nearest, up): the nearest marked node above each node of a forest, and how many levels above it stands.
+
+    ``nodes``: (id, parent), each id once; ``marked``: (id). Pointers double: a round joins every open node with the node
+    that its pointer has reached, so the rounds grow with the logarithm of the depth. Nodes without a marked one above,
+    also those on a cycle without marks, are left out; a parent that is no node counts if it is marked.
+    """
+    marks = marked.select(F.col("id").alias("parent"), F.lit(True).alias("_m")).where("parent is not null").distinct()
+    hit = F.coalesce("_m", F.lit(False))
+    # What lies up to ``span`` levels above: the nearest marked node, else the last node looked at.
+    state = settled(nodes.where("id is not null and parent is not null").join(marks, "parent", "left").select("id", F.when(hit, F.col("parent")).alias("nearest"), F.col("parent").alias("at"), F.lit(1).cast("long").alias("span")))
+    found = state.where("nearest is not null").select("id", "nearest", F.col("span").alias("up"))
+    rounds, open_ = max(1, state.count()).bit_length() + 1, state.where("nearest is null")
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        above = state.select(F.col("id").alias("at"), F.col("nearest").alias("n"), F.col("at").alias("a"), F.col("span").alias("s"))
+        moved = open_.select("id", "at", "span").join(above, "at").select("id", F.col("n").alias("nearest"), F.col("a").alias("at"), (F.col("span") + F.col("s")).alias("span"))
+        state = settled(moved.unionByName(state.where("nearest is not null").select("id", "nearest", "at", "span")))
+        open_ = state.where("nearest is null")
+        found = state.where("nearest is not null").select("id", "nearest", F.col("span").alias("up"))
+    return found

@@ -9,7 +9,9 @@ from tidewire.functions import display as D
 from tidewire.functions import items as I
 from tidewire.functions import text as X
 from tidewire.functions import times, urls
+from tidewire.functions.scan import embedded_values
 from tidewire.operators import events, scoring, stories
+from tidewire.operators.graph import nearest_marked
 from tidewire.operators.rank import best_per_key, diverse, votes
 from tidewire.plans import dims
 
@@ -210,16 +212,9 @@ def block_updates(blocks: DataFrame, today: Column, hops: int = 20) -> DataFrame
     beside = days.join(logs.withColumn("named", F.lit(True)), "log", "left").join(F.broadcast(some)).where("named or not some")
     month, day = F.col("md.month"), F.col("md.day")
     dated = beside.select("head", F.try_to_date(F.format_string("%04d-%02d-%02d", I.year_of_date(month, day, today), month, day), "yyyy-MM-dd").alias("date")).where("date is not null")
-    parents = stories.settled(blocks.select("id", "parent_id").where("trim(parent_id) != ''"))
-    open_ = blocks.where(F.col("type").isin("bullet", "text", "todo", "ordered")).join(parents.select("id", F.col("parent_id").alias("at")), "id").select("id", "text", "at")
-    found = None
-    for _ in range(hops):
-        met = open_.join(dated, open_["at"] == dated["head"], "left")
-        hit = met.where("date is not null").select("date", "text")
-        found = hit if found is None else found.unionByName(hit)
-        open_ = stories.settled(met.where("date is null").select(open_["id"], "text", "at").join(parents.select(F.col("id").alias("at"), F.col("parent_id").alias("up")), "at").select("id", "text", F.col("up").alias("at")))
-        if open_.isEmpty():
-            break
+    above = nearest_marked(blocks.select("id", F.nullif(F.trim("parent_id"), F.lit("")).alias("parent")), dated.select(F.col("head").alias("id")))
+    texts = blocks.where(F.col("type").isin("bullet", "text", "todo", "ordered")).select("id", "text")
+    found = texts.join(above.where(F.col("up") <= hops).select("id", F.col("nearest").alias("head")), "id").join(dated, "head")
     title = F.trim(F.regexp_replace(F.regexp_replace("text", "《 ?》", ""), r"\s+", " "))
     return found.select("date", title.alias("title")).where("title != ''").distinct()
 
@@ -234,7 +229,8 @@ def recent_updates(pages: list[DataFrame], today: Column, days: int = 7) -> Data
 
 
 def wiki_history(pages: DataFrame, column: str = "payload") -> DataFrame:
-    """(history_url, client_vars) of wiki pages: the link to the log of changes and the JSON that the page carries."""
+    """The other columns of wiki pages with history_url and client_vars: the link to the log of changes and the JSON that
+    the page's script assigns; null where there is none."""
     link = F.regexp_extract(column, r'(https?://[^"\s<>]+/wiki/[A-Za-z0-9]+)[^<>]{0,200}?(?:更新日志|历史更新)', 1)
-    held = F.regexp_extract(column, r'(?s)clientVars\s*[:=]\s*(?:Object\()?(\{.*?\})\)?\s*(?:;|</script>)', 1)
-    return pages.select(F.nullif(link, F.lit("")).alias("history_url"), F.nullif(held, F.lit("")).alias("client_vars"))
+    held = F.get(embedded_values(F.col(column), r"clientVars\s*[:=]\s*(?:Object\()?"), F.lit(0))
+    return pages.select(*[c for c in pages.columns if c != column], F.nullif(link, F.lit("")).alias("history_url"), held.alias("client_vars"))

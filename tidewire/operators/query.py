@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import display as D
 from tidewire.functions import items as I
+from tidewire.operators.graph import settled
 from tidewire.operators.rank import best_per_key
 from tidewire.operators.scoring import NEWS, Rules, hotness, is_unsafe
 from tidewire.operators.views import event_clusters, featured, headline_score
@@ -132,8 +133,10 @@ def source_groups(shown: DataFrame, sort: str = "priority") -> DataFrame:
     rows, order = sort_order(shown.withColumn("source", F.coalesce(F.nullif("source", F.lit("")), F.lit("未分割槽"))), sort)
     place = F.struct(*[(-F.col(c)).alias(c) for c in ("priority", "percent")], (-F.unix_micros(F.coalesce("shown_at", F.lit(0).cast("timestamp")))).alias("t"), "id")
     by_sort = {"latest": F.struct(place["t"], place["priority"], place["id"]), "ai": F.struct(place["percent"], place["priority"], place["t"], place["id"])}.get(sort, F.struct(place["priority"], place["t"], place["id"]))
-    keyed = rows.select("site_id", "source", display_key(rows).alias("key"), "id", "priority", "percent", F.unix_micros("shown_at").alias("t"), by_sort.alias("by"))
+    # Written once: the list is derived by rules and joins, and six aggregates below read it.
+    keyed = settled(rows.select("site_id", "source", display_key(rows).alias("key"), "id", "priority", "percent", F.unix_micros("shown_at").alias("t"), by_sort.alias("by")))
     once = best_per_key(keyed.select("site_id", "source", "key", "id", "priority", "percent", "t", "by"), ["site_id", "source", "key"], F.col("by"))
+    once = settled(once)
     raw = keyed.groupBy("site_id", "source").agg(F.count("*").alias("raw_count"))
 
     def rated(df: DataFrame, *keys: str) -> DataFrame:

@@ -72,6 +72,32 @@ def story_clusters(items: DataFrame, hours: float = 6.0, threshold: float = 0.86
     return settled_heads.unionByName(same)
 
 
+STORY = ["id", "title", "url", "event_time", "tier_rank", "leader", "reason", "similarity"]
+
+
+def extended_clusters(standing: DataFrame | None, items: DataFrame, hours: float = 6.0, threshold: float = 0.86) -> DataFrame:
+    """``items`` (id, title, url, event_time, tier_rank) with leader, reason and similarity (``STORY``), placed beside the
+    stories of ``standing`` (``STORY``, of all earlier batches; None for the first).
+
+    Batches that follow each other in time get what one run over all of them gives (see ``story_clusters``): an earlier
+    item with the same URL settles an item's story, and else only the standing leaders of the last ``hours`` before the
+    batch can be met, so just these and the batch are searched. An item older than standing ones is placed as if it had
+    come with its batch: it may lead, but what stands stays.
+    """
+    names = STORY[:5]
+    if standing is None:
+        return items.select(*names).join(settled(story_clusters(items, hours, threshold)), "id").select(*STORY)
+    at = lambda df: F.struct(df["event_time"], df["tier_rank"].cast("int").alias("tier_rank"), df["title"], df["id"])
+    pages = standing.where("url != ''").groupBy("url").agg(F.min_by("leader", at(standing)).alias("leader"))
+    fresh = items.select(*names)
+    known = settled(fresh.where("url != ''").join(pages, "url").select(*names, "leader", F.lit("canonical_url").alias("reason"), F.lit(1.0).alias("similarity")))
+    rest = settled(fresh.join(known.select("id"), "id", "left_anti"))
+    first = rest.agg((F.min("event_time") - F.make_dt_interval(secs=F.lit(hours * 3600))).alias("_lo"))  # one row
+    leaders = standing.where("id = leader").join(F.broadcast(first)).where("event_time >= _lo").select(*names)
+    placed = settled(story_clusters(rest.unionByName(leaders), hours, threshold))
+    return known.unionByName(rest.join(placed, "id").select(*STORY))
+
+
 def suppress_near_duplicates(items: DataFrame, hours: float = 6.0, threshold: float = 0.9, history: int = 60) -> DataFrame:
     """The ids that stay, with their site. Columns: id, site_id, title (normalised), event_time, tier_rank, score.
 

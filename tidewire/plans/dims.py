@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Source tiers (site, tier, rank) and the weight of each tier.
 TIERS = [
     ("official_ai", "official", 0), ("curated_media", "ai_media", 2), ("aibreakfast", "ai_vertical", 1), ("aihubtoday", "ai_vertical", 1),
@@ -22,7 +20,3 @@ TRACKING = ["ref", "spm", "fbclid", "gclid", "igshid", "mkt_tok", "mc_cid", "mc_
 OTHER_RANK = 9
 # Thresholds.
 KEEP_AT, BRIEF_AT, RETENTION_DAYS, WINDOW_HOURS = 0.65, 0.72, 21, 24
-
-
-def tier_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, t, r, TIER_WEIGHTS[t], PRIORS.get(s, 0.0)) for s, t, r in TIERS], "site_id string, tier string, tier_rank int, tier_weight double, prior double")

@@ -720,3 +720,178 @@ def consumer_routes(spark, d):
 @registered(f"WITH {SHOWN} SELECT event_key, count(DISTINCT signal) AS source_count, count(*) AS merged_count FROM (SELECT *, {EVENT_KEY} AS event_key FROM shown) GROUP BY 1")
 def headline_clusters(spark, d):
     return query.ranked_clusters(reader_items_of(spark, d)).select("event_key", "source_count", "merged_count")
+
+
+# Streams that restart
+
+
+@registered("""WITH e AS (SELECT *, event_id % 300 AS id, lag(ts) OVER (PARTITION BY event_id % 300 ORDER BY ts, event_id) AS before FROM events),
+g AS (SELECT *, count(*) FILTER (before IS NULL OR ts > before + INTERVAL 1 DAY) OVER (PARTITION BY id ORDER BY ts, event_id) AS life FROM e),
+l AS (SELECT id, life, arg_max(event_type, row(ts, event_id)) AS site_id, arg_max(value, row(ts, event_id)) AS v, min(ts) AS f, max(ts) AS l FROM g GROUP BY 1, 2 QUALIFY life = max(life) OVER (PARTITION BY id))
+SELECT id, site_id, v, f AS published_at, f AS first_seen_at, l AS last_seen_at FROM l WHERE l >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_restarted_archive(spark, d):
+    """An archive over two runs: the second reads the files that came since, and what wasn't seen for a day is gone."""
+    import uuid
+
+    from tidewire.operators.graph import checkpoint_dir
+    from tidewire.streaming import keyed_archive
+
+    at, e = f"{checkpoint_dir(spark)}/restarted-{uuid.uuid4().hex}", table(spark, d, "events")
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        ts = F.col("ts").cast("timestamp")
+        return batch.select(F.pmod("event_id", F.lit(300)).alias("id"), ts.alias("seen_at"), F.col("event_id").alias("ingest_seq"), F.col("event_type").alias("site_id"), ts.alias("published_at"), F.col("value").alias("v"))
+
+    held, half = None, F.lit("2024-01-16").cast("timestamp")
+    for part in (e.where(F.col("ts") < half), e.where(F.col("ts") >= half)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        held = keyed_archive.keep(spark, f"{at}/in", e.schema, prepare, f"{at}/archive", 1)
+    return held.select("id", "site_id", "v", "published_at", "first_seen_at", "last_seen_at")
+
+
+# Payloads stored as files
+
+
+def store_feeds(spark, d) -> str:
+    """Rendered feeds as files, one for each payload, by source and day; some are broken. Returns their folder."""
+    import uuid
+
+    from tidewire.operators.graph import checkpoint_dir
+
+    at = f"{checkpoint_dir(spark)}/payloads-{uuid.uuid4().hex}"
+    part = F.col("bucket") % 8
+    cut = F.when(part == 1, F.expr("left(payload, length(payload) - 9)")).when(part == 2, F.lit("")).otherwise(F.col("payload"))
+    day = F.date_add(F.lit("2024-02-01").cast("date"), (F.col("bucket") % 5).cast("int"))
+    rows = feed_payloads(spark, d).select(F.col("feed").alias("source"), day.alias("day"), "bucket", cut.alias("payload"))
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        from tidewire.sources.payload_source import opened
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, root = opened(at)
+                folder = f"{root}/source={r['source']}/day={r['day']}"
+                system.create_dir(folder, recursive=True)
+                # Written aside and moved, so that a repeated task leaves whole files.
+                aside = f"{folder}/.{r['bucket']}-{os.getpid()}"
+                with system.open_output_stream(aside) as f:
+                    f.write(r["payload"].encode())
+                assert isinstance(system, fs.FileSystem)
+                system.move(aside, f"{folder}/{r['bucket']}.xml")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return at
+
+
+_STORED = f"{ITEMS}, p AS (SELECT site_id AS source, id // {ROWS} AS bucket, count(*) + count(*) FILTER (id % 11 = 0) AS n FROM items WHERE site_id IS NOT NULL GROUP BY 1, 2)"
+
+
+@registered(f"WITH {_STORED} SELECT source, count(*) AS payloads, count(*) FILTER (bucket % 8 IN (1, 2)) AS failed, list_sort(list_distinct(list(CASE bucket % 8 WHEN 1 THEN 'unreadable' WHEN 2 THEN 'empty' END) FILTER (bucket % 8 IN (1, 2)))) AS errors, coalesce(sum(n) FILTER (bucket % 8 NOT IN (1, 2)), 0)::BIGINT AS items FROM p WHERE bucket % 5 >= 1 GROUP BY 1")
+def stored_feed_statuses(spark, d):
+    """The state of each source over its payload files from a day on; the filter chooses the folders that are read."""
+    from tidewire.sources import payload_source as P
+
+    held = P.stored_payloads(spark, store_feeds(spark, d)).where(F.col("day") >= F.lit("2024-02-02").cast("date"))
+    read = feeds.read_feeds(held.select("source", "day", "file", F.col("error").alias("own"), "payload"))
+    told = read.select("source", F.coalesce("own", "error").alias("error"))
+    return P.source_statuses(told, read.select("source", F.explode("entries").alias("e"))).withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")))
+
+
+# Values inside scripts, trees and nested payloads
+
+
+@registered("SELECT page_id, url, md5(substr(html, 1, 200)) AS head, 'https://w.example/wiki/P' || page_id AS history_url FROM pages WHERE html IS NOT NULL")
+def scanned_scripts(spark, d):
+    """Each page with an object that a script assigns: its strings hold braces, quotes and the end of a statement."""
+    pages_ = table(spark, d, "pages").where("html is not null")
+    held = F.to_json(F.struct("page_id", F.lit('};</script> "}{').alias("s"), F.array(F.struct(F.lit("a\\").alias("t"), "url")).alias("list"), F.substring("html", 1, 200).alias("head")))
+    html = F.concat("html", F.lit("<p>https://w.example/wiki/P"), F.col("page_id").cast("string"), F.lit(" 更新日志</p><script>window.clientVars = Object("), held, F.lit('); var b = {"c": "}"};</script>'))
+    found = payloads.wiki_history(pages_.select(html.alias("payload")))
+    part = lambda p: F.get_json_object("client_vars", p)
+    return found.select(part("$.page_id").cast("long").alias("page_id"), part("$.list[0].url").alias("url"), F.md5(part("$.head").cast("binary")).alias("head"), F.regexp_extract("history_url", "^(.*)$", 1).alias("history_url"))
+
+
+@registered(f"WITH {ITEMS}, b AS (SELECT id // {ROWS} AS bundle, count(*) AS n FROM items WHERE id IS NOT NULL GROUP BY 1) SELECT bundle, 0 AS pos, CASE WHEN bundle % 4 = 3 THEN 'hackernews' ELSE 'v2ex' END AS source_id FROM b UNION ALL SELECT bundle, 1, CASE WHEN bundle % 4 = 3 THEN 'producthunt' ELSE 's' || bundle END FROM b UNION ALL SELECT bundle, 2, CASE WHEN bundle % 4 = 3 THEN 'github' ELSE 'last' END FROM b UNION ALL SELECT bundle, 3 + i, ['sspai', 'juejin', '36kr'][1 + i] FROM b, range(3) r(i) WHERE bundle % 4 = 3")
+def bundled_source_ids(spark, d):
+    """The source tables of script bundles; some are cut, so that the known sources stand in."""
+    rows = items(spark, d).where("id is not null").groupBy(F.floor(F.col("id") / ROWS).alias("bundle")).agg(F.max_by("title", "id").alias("title"))
+    whole = _c("var a={b:1};x={v2ex:vL,\"s", F.col("bundle").cast("string"), '":{name:', F.to_json(F.struct(F.concat(F.lit("}{ x:"), F.coalesce("title", F.lit(""))).alias("t"))).substr(6, 1 << 20), ",last:{color:\"red\",home:'h'}};var z={c:2}")
+    cut = F.when(F.col("bundle") % 4 == 3, F.expr("'x={v2ex:vL,cut:{name:1'")).otherwise(whole)
+    return pages.bundled_sources(rows.select("bundle", cut.alias("payload"))).select("bundle", "pos", "source_id")
+
+
+@registered("""WITH c AS (SELECT event_id, event_type, user_id, row_number() OVER w AS n, max(CASE WHEN event_type = 'error' THEN row END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT c.event_id AS id, o.event_id AS nearest, c.n - c.m AS up FROM c JOIN c o ON o.user_id = c.user_id AND o.n = c.m""")
+def nearest_marked_event(spark, d):
+    """Chains as deep as a user has events: each event's nearest error above it."""
+    from pyspark.sql import Window
+
+    from tidewire.operators.graph import nearest_marked
+
+    e = table(spark, d, "events")
+    chain = e.select(F.col("event_id").alias("id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("parent"))
+    return nearest_marked(chain, e.where("event_type = 'error'").select(F.col("event_id").alias("id")))
+
+
+_NESTED = "'{\"id\": ' || event_id || ', \"list\": [{\"k\": 1}, [2, {\"deep\": {\"x\": [{\"y\": ' || user_id || '}]}}]], \"props\": ' || coalesce(props, 'null') || '}'"
+
+
+@registered(f"WITH p AS (SELECT event_id, {_NESTED} AS payload FROM events) SELECT event_id, replace(replace(t.fullkey, '\"', ''), '$', '$') AS path, len(json_keys(t.value))::INT AS n_keys FROM p, json_tree(p.payload) t WHERE t.type = 'OBJECT'")
+def nested_objects(spark, d):
+    """Every object inside nested payloads, with its path and the number of its keys."""
+    rows = table(spark, d, "events").select("event_id", F.expr(_NESTED).alias("payload"))
+    return services.values_inside(rows, "payload", 8).where("n_keys is not null").select("event_id", "path", "n_keys")
+
+
+@registered(f"WITH p AS (SELECT event_id, {_NESTED} AS payload FROM events), t AS (SELECT event_id, t.type, len(regexp_replace(replace(t.fullkey, '\"', ''), '[^.\\[]', '', 'g')) + 1 AS level FROM p, json_tree(p.payload) t) SELECT event_id, count(*) FILTER (type = 'OBJECT') AS objects, count(*) FILTER (type = 'ARRAY') AS lists, (max(level) FILTER (type IN ('OBJECT', 'ARRAY')))::INT AS depth FROM t GROUP BY 1")
+def payload_shapes(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.expr(_NESTED).alias("payload"))
+    return services.payload_shapes(rows, ["event_id"], depth=8)
+
+
+@registered("SELECT s_suppkey // 40 AS page, 'Supplier ' || s_suppkey AS name, 'https://f.example/' || s_suppkey AS url FROM supplier")
+def listed_feeds(spark, d):
+    """The feeds that page scripts list, forty suppliers a page."""
+    entry = _c("{ name: 'Supplier ", F.col("id").cast("string"), "', url: 'https://f.example/", F.col("id").cast("string"), "' },\n")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 40).alias("page"), entry.alias("body"))
+    held = joined(rows, ["page"], "body").select("page", _c("<script>const feeds = [", F.col("body"), "];</script>").alias("payload"))
+    return pages.listed_feeds(held)
+
+
+@registered(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 180 THEN trim(substr(t, 1, 179)) || '…' ELSE t END AS summary FROM f""")
+def shown_summaries(spark, d):
+    from tidewire.functions import display as D
+
+    return table(spark, d, "documents").select("doc_id", D.summary_text(F.col("text")).alias("summary"))
+
+
+@registered("""WITH t AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus FROM orders), a AS (SELECT * FROM t WHERE o_orderstatus = 'F')
+SELECT (SELECT count(*) FROM a) AS total_items, (SELECT count(*) FROM t) AS total_items_all_mode, '2026-06-01T10:00:00Z' AS generated_at, 24::INT AS window_hours""")
+def published_headers(spark, d):
+    o = table(spark, d, "orders")
+    made = payloads.latest_views(o.where("o_orderstatus = 'F'"), o, F.lit("2026-06-01 10:00:00").cast("timestamp"))
+    return made["latest_header"].select("total_items", "generated_at", "window_hours").join(F.broadcast(made["all_header"].select("total_items_all_mode")))
+
+
+@registered()
+def stories_in_batches(spark, d):
+    """Stories of the documents as three batches bring them; a test holds them against one run."""
+    from tidewire.functions import urls
+    from tidewire.operators import stories as S
+    from tidewire.plans.queries import story_title
+
+    rows = S.settled(items(spark, d).withColumn("url", urls.canonical_url(F.col("url"))).withColumn("title", story_title()).withColumn("tier_rank", F.lit(0)))
+    standing = None
+    for lo, hi in ((0, 14), (14, 28), (28, 99)):
+        from_ = F.lit("2024-01-01").cast("timestamp")
+        day = F.datediff("event_time", from_)
+        new = S.settled(S.extended_clusters(standing, rows.where((day >= lo) & (day < hi))))
+        standing = new if standing is None else standing.unionByName(new)
+    return standing.select("id", "leader", "reason", "similarity")

@@ -34,7 +34,7 @@ STATE = "struct<last_run_at: timestamp, last_ok: boolean, last_item_count: long,
 
 def read_run_state(spark: SparkSession, path: str) -> DataFrame:
     """The run state of metered sources from its document {sources: {name: entry}}; a broken one gives no rows."""
-    doc = F.from_json(spark.read.text(path, wholetext=True)["value"], f"struct<sources: map<string, {STATE}>>")
+    doc = F.from_json("value", f"struct<sources: map<string, {STATE}>>")
     return spark.read.text(path, wholetext=True).select(F.explode(doc["sources"]).alias("source", "e")).select("source", "e.*")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import times
+from tidewire.functions.scan import embedded_values
 from tidewire.functions.text import compact_title, fix_mojibake
 from tidewire.operators.rank import best_per_key
 from tidewire.sources.dom import Node, parsed
@@ -110,11 +111,12 @@ def embedded_posts(payloads: DataFrame, source: Column, now: Column, column: str
 
 
 def listed_feeds(pages: DataFrame, column: str = "payload") -> DataFrame:
-    """(name, url) of the feeds that a page's script lists."""
+    """The other columns of pages with (name, url) of each feed that their scripts list."""
     section = F.regexp_extract(column, r"(?s)const\s+feeds\s*=\s*\[(.*?)\]\s*;", 1)
     entry = r"(?s)(\{\s*name:\s*'[^']+'\s*,\s*url:\s*'[^']+'\s*\})"
     part = lambda n: F.regexp_extract("e", rf"{n}:\s*'([^']+)'", 1)
-    return pages.select(F.explode(F.regexp_extract_all(section, F.lit(entry), 1)).alias("e")).select(part("name").alias("name"), part("url").alias("url"))
+    others = [c for c in pages.columns if c != column]
+    return pages.select(*others, F.explode(F.regexp_extract_all(section, F.lit(entry), 1)).alias("e")).select(*others, part("name").alias("name"), part("url").alias("url"))
 
 
 # Keys of a bundle's source table that are no sources, and the sources when there is no table.
@@ -123,45 +125,12 @@ FALLBACK_SOURCES = ["hackernews", "producthunt", "github", "sspai", "juejin", "3
 
 
 def bundled_sources(bundles: DataFrame, column: str = "payload") -> DataFrame:
-    """(pos, source_id): the keys of the source table in a script bundle, else the known ones."""
-
-    def ids(js: str) -> list[str]:
-        import re
-
-        start = js.find("{v2ex:vL")
-        if start < 0:
-            return FALLBACK_SOURCES
-        # Braces inside strings don't count.
-        depth, end = 0, None
-        for m in re.finditer(r'"(?:\\.|[^"\\])*"|[{}]', js[start:]):
-            depth += {"{": 1, "}": -1}.get(m[0], 0)
-            if m[0] == "}" and depth == 0:
-                end = start + m.end()
-                break
-        if end is None:
-            return FALLBACK_SOURCES
-        keys = [m[2] for m in re.finditer(r"""(["']?)([a-zA-Z0-9_-]+)\1\s*:""", js[start:end])]
-        return list(dict.fromkeys(k for k in keys if k not in NO_SOURCES))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(i, k) for js in part["js"] for i, k in enumerate(ids(js or ""))], columns=["pos", "source_id"])
-
-    return bundles.select(F.col(column).alias("js")).mapInPandas(run, "pos int, source_id string")
-
-
-def known_text(data: Column) -> Column:
-    """Bytes of a page as text: UTF-8, or GB18030 where that leaves fewer characters unread."""
-
-    @F.pandas_udf("string")
-    def read(raw: pd.Series) -> pd.Series:
-        def one(b: bytes | None) -> str | None:
-            if b is None:
-                return None
-            texts = [bytes(b).decode(e, errors="replace") for e in ("utf-8", "gb18030")]
-            return min(texts, key=lambda t: t.count("�"))
-
-        return raw.map(one)
-
-    return read(data)
-
+    """The other columns of script bundles with (pos, source_id): the keys of a bundle's source table, else the known
+    sources."""
+    held = F.get(embedded_values(F.col(column), r"(?=\{v2ex:vL)"), F.lit(0))
+    # Keys lose their quotes first, so that what is still quoted is a value and doesn't count.
+    bare = F.regexp_replace(F.regexp_replace("_t", r'"([a-zA-Z0-9_-]+)"\s*:', "$1:"), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')
+    keys = F.regexp_extract_all(bare, F.lit(r"""(["']?)([a-zA-Z0-9_-]+)\1\s*:"""), 2)
+    known = F.filter(F.array_distinct(keys), lambda k: ~k.isin(NO_SOURCES))
+    ids = F.when(F.col("_t").isNotNull(), known).otherwise(F.array(*map(F.lit, FALLBACK_SOURCES)))
+    return bundles.withColumn("_t", held).select(*[c for c in bundles.columns if c != column], F.posexplode(ids).alias("pos", "source_id"))

@@ -138,20 +138,30 @@ def nested_objects(value) -> Iterator[dict]:
             open_ += reversed(at)
 
 
-def payload_shape(payload: str | None) -> dict[str, int]:
-    """A JSON payload in numbers: objects, lists and the deepest level; a broken one has none."""
-    try:
-        value = json.loads(payload or "")
-    except ValueError:
-        return {"objects": 0, "lists": 0, "depth": 0}
-    objects = lists = depth = 0
-    open_ = [(value, 1)]
-    while open_:
-        at, level = open_.pop()
-        if isinstance(at, dict | list):
-            objects, lists, depth = objects + isinstance(at, dict), lists + isinstance(at, list), max(depth, level)
-            open_ += [(v, level + 1) for v in (at.values() if isinstance(at, dict) else at)]
-    return {"objects": objects, "lists": lists, "depth": depth}
+def values_inside(payloads: DataFrame, column: str = "payload", depth: int = 20) -> DataFrame:
+    """Every JSON object and list inside the payloads, up to ``depth`` levels: the other columns, level (from 1), path,
+    value (variant) and n_keys (null for lists).
+
+    Spark takes one level after the other apart; the rows of a level are the objects and lists there. A payload that is
+    null or no JSON has none.
+    """
+    spark, others = payloads.sparkSession, [c for c in payloads.columns if c != column]
+    level, out = payloads.select(*others, F.lit("$").alias("path"), F.try_parse_json(column).alias("value")), None
+    for n in range(1, depth + 1):
+        level = level.where("value is not null").withColumn("_kind", F.schema_of_variant("value"))
+        level = level.where(F.col("_kind").startswith("OBJECT") | F.col("_kind").startswith("ARRAY"))
+        keys = F.when(F.col("_kind").startswith("OBJECT"), F.size(F.json_object_keys(F.to_json("value"))))
+        found = level.select(*others, F.lit(n).alias("level"), "path", "value", keys.alias("n_keys"))
+        out = found if out is None else out.unionByName(found)
+        parts = level.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "part"))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = parts.select(*others, F.concat("path", step).alias("path"), F.col("part").alias("value"))
+    return out
+
+
+def payload_shapes(payloads: DataFrame, by: list[str], column: str = "payload", depth: int = 20) -> DataFrame:
+    """(by, objects, lists, depth): payloads in numbers; those that are no JSON are left out."""
+    return values_inside(payloads.select(*by, column), column, depth).groupBy(*by).agg(F.count("n_keys").alias("objects"), F.count(F.when(F.col("n_keys").isNull(), 1)).alias("lists"), F.max("level").alias("depth"))
 
 
 def creator_posts(payloads: DataFrame, site: str, now: Column, column: str = "payload") -> DataFrame:
