@@ -117,6 +117,17 @@ def test_packed_pieces_hold_every_token_once(spark):
     assert pattern_pack.place(pattern_pack.token_pieces(frame.limit(0), file, pattern, 2)).count() == 0
 
 
+def test_words_of_every_character_get_the_librarys_ids():
+    file, pattern, library = tokenizer()
+    assert pattern == pattern_pack.PRE_SPLIT
+    with open(file, encoding="utf-8") as f:
+        encode = pattern_pack.WordEncoder(f.read(), pattern)
+    texts = [f"a{c}b {c}{c}{c}x{c} 'll{c}1{c}\n{c}" for c in map(chr, [*range(0x3000), *range(0x3000, 0xD800, 37), *range(0xE000, 0x20000, 41)])]
+    whole = library.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, whole) if np.frombuffer(encode.text(t), "<u4").tolist() != w.ids]
+    assert not wrong, wrong[:5]
+
+
 def test_plans_use_every_piece_and_beat_plain_best_fit():
     rng = np.random.default_rng(6)
     shapes = [np.bincount(rng.integers(1, 1025, 5000), minlength=1025), np.bincount(rng.integers(340, 520, 5000), minlength=1025), np.bincount(np.minimum(1024, 1 + rng.exponential(250, 50000).astype(int)), minlength=1025), np.bincount([1] * 3000, minlength=1025), np.zeros(1025, int)]

@@ -14,6 +14,8 @@ Nothing but the histogram and the plan passes the driver: a plan has at most one
 from __future__ import annotations
 
 import json
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +41,14 @@ STEPS = 400
 ROUNDINGS = [(share, up) for share in (1, 0.9, 0.75, 0.5) for up in (0, 0.5, 0.999999)]
 
 
+# Fixed value: the pre-split of byte-level tokenizers.
+PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: The same for texts of ASCII and Latin letters alone, where classes are ranges and the standard library is faster.
+LATIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+BEYOND_LATIN = re.compile(rf"[^\t\n\x0b\x0c\r -~{_LETTERS}]")
+
+
 def byte_alphabet() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
     shows = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,6 +71,7 @@ class WordEncoder(dict):
         before = said.get("pre_tokenizer") or {}
         self.plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and said.get("normalizer") is None
         self.tokenizer, self.pattern, self.alphabet = Tokenizer.from_str(tokenizer), regex.compile(pattern), byte_alphabet()
+        self.latin = LATIN_SPLIT if pattern == PRE_SPLIT else self.pattern
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[str, bytes] = {}
@@ -69,7 +80,8 @@ class WordEncoder(dict):
         ids = self.older.get(word)
         if ids is None:
             said = word.encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array([token.id for token in self.model.tokenize(said)], "<u4").tobytes()
+            found = self.model.tokenize(said)
+            ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -79,7 +91,8 @@ class WordEncoder(dict):
     def text(self, text: str) -> bytes:
         if not self.plain or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+        split = self.pattern if BEYOND_LATIN.search(text) else self.latin
+        return b"".join(map(self.__getitem__, split.findall(text)))
 
 
 @lru_cache(maxsize=2)
