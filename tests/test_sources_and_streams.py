@@ -178,3 +178,31 @@ def test_published_documents_and_run_state(spark, tmp_path):
 def test_documents_in_batches_keep_every_item(spark, small):
     got = Q.QUERIES["stories_in_batches"](spark, small).collect()
     assert len({r.id for r in got}) == len(got) == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_masked_texts_are_restored_and_converted_around_names(spark):
+    from tidewire.functions import masking
+
+    rng = random.Random(14)
+    letters = ["a", "b", "GPT", "GPT-5", "⟦", "⟧", "0", "p", "⟦0⟧", "⟦p", "\n", "é", "🙂", "$1", "\\", " "]
+    texts = ["", None, "GPT-5", "⟦0⟧ GPT", *("".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(300)), "GPT" * 20_000]
+    names, phrases = ["GPT", "GPT-5", "é"], {"a": "b", "ab": "X", "b": "$1\\", "0": "zero", "🙂": ""}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    m = masking.mask(F.col("t"), names)
+    got = rows.select("id", "t", m.alias("m"), masking.converted(F.col("t"), phrases, names).alias("c")).select("*", masking.restore(F.col("m.masked"), F.col("m.held")).alias("r")).collect()
+
+    def plainly(text):
+        out, table = "", phrases | {n: n for n in names}
+        while text:
+            found = max((k for k in table if text.startswith(k)), key=len, default=None)
+            out, text = out + (table[found] if found else text[0]), text[len(found or " ") :]
+        return out
+
+    for r in got:
+        assert r.r == r.t
+        assert r.c == (None if r.t is None else plainly(r.t) if len(r.t) < 1000 else r.t)
+        assert r.t is None or not any(n in r.m.masked for n in names)
+    moved = spark.createDataFrame([("⟦1⟧ and ⟦0⟧ ⟦7⟧", ["x", "y"])], "m string, h array<string>")
+    assert moved.select(masking.restore(F.col("m"), F.col("h")).alias("r")).first().r == "y and x ⟦7⟧"
+    plain = rows.where("t not like '%⟦%' and t not like '%0%'").select(masking.converted_around_names(F.col("t"), {"a": "b", "b": "c"}, names).alias("x"), masking.converted(F.col("t"), {"a": "b", "b": "c"}, names).alias("y"))
+    assert all(r.x == r.y for r in plain.collect())

@@ -895,3 +895,19 @@ def stories_in_batches(spark, d):
         new = S.settled(S.extended_clusters(standing, rows.where((day >= lo) & (day < hi))))
         standing = new if standing is None else standing.unionByName(new)
     return standing.select("id", "leader", "reason", "similarity")
+
+
+# Conversion by phrases around names
+
+PHRASES = {"un": "UN", "the": "THE", "er": "ER", "ere": "Ere", "ch": "CH", "a": "A"}
+NAMES = ["ther", "unde", "ache", "para", "ation"]
+
+
+@registered(f"""WITH {ITEMS}, p AS (SELECT id, title, regexp_extract_all(title, '(?s)({'|'.join(sorted([*PHRASES, *NAMES], key=lambda t: (-len(t), t)))}|.)', 1) AS ps FROM items)
+SELECT id, array_to_string(list_transform(ps, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PHRASES.items())} ELSE x END), '') AS converted, len(regexp_extract_all(title, '({'|'.join(sorted(NAMES, key=lambda t: (-len(t), t)))})', 1))::INT AS names, md5(title) AS restored FROM p""")
+def converted_titles(spark, d):
+    """Titles converted by a table of phrases around names, and restored from their masks."""
+    from tidewire.functions import masking as M
+
+    both = items(spark, d).select("id", "title", M.mask(F.col("title"), NAMES).alias("m"))
+    return both.select("id", M.converted(F.col("title"), PHRASES, NAMES).alias("converted"), F.size("m.held").alias("names"), F.md5(M.restore(F.col("m.masked"), F.col("m.held")).cast("binary")).alias("restored"))
