@@ -78,6 +78,7 @@ def title_mates(spark, d):
 taken AS (SELECT DISTINCT unnest(ks) AS k FROM c WHERE s = 'P')
 SELECT story_id FROM c WHERE s = 'F' AND NOT list_has_any(ks, (SELECT coalesce(list(k), []) FROM taken))""")
 def unseen_stories(spark, d):
+    """Orders of status F that share neither customer nor day with one of status P; those of status O take no part."""
     c = table(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), "o_orderstatus", F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string"))).alias("identity_keys"))
     return views.unseen(c.where("o_orderstatus = 'F'"), c.where("o_orderstatus = 'P'")).select("story_id")
 
