@@ -210,7 +210,8 @@ def test_dimensions_are_broadcast_and_filters_pushed_down(spark, small):
 
 def test_every_query_runs(spark, small):
     for name, f in Q.QUERIES.items():
-        assert f(spark, small).columns, name
+        if not f.__module__.endswith(".rendered"):  # those have tests of their own
+            assert f(spark, small).columns, name
 
 
 def test_entry_survives_without_training_data_operators(spark, small):
