@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions import terms
+from tidewire.functions.times import bound
+
 # The sections with the labels, the patterns (on all text, or on all but the label) and the sites that
 # put an item there.
 SECTIONS = ["models", "products", "devtools", "industry", "research", "community"]
@@ -90,12 +93,18 @@ def sections(content: Column, label: Column, site: Column, source: Column) -> Co
     """The sections of an item, in table order; industry if there is none. ``content``: its lower-cased text without the
     label; source: source and site name, lower-cased."""
     label = _empty(label)
-    text = F.concat_ws(" ", content, label)
-    models = content.rlike(MODEL_TERMS) | ((label == "model_release") & ~text.rlike(TOOL_TERMS))
-    hits = {"models": models}
-    for name, pattern in SECTION_TERMS.items():
-        hits[name] = text.rlike(pattern) | label.isin(SECTION_LABELS[name] or ["?"])
-    from_community = F.coalesce(site.isin(COMMUNITY_SITES), F.lit(False)) | F.exists(F.array(*map(F.lit, COMMUNITY_SOURCES)), lambda s: F.contains(_empty(source), s))
+    known = {name: terms.spelled_out(pattern) for name, pattern in {"models": MODEL_TERMS, "tools": TOOL_TERMS, **SECTION_TERMS}.items()}
+    in_content = terms.hits(content, known["models"])["terms"]
+    in_text = terms.hits(F.concat_ws(" ", content, label), (t for name, of in known.items() if name != "models" for t in of))["terms"]
+    said = F.struct(in_content.alias("content"), in_text.alias("text"), label.alias("label"), _empty(source).alias("source"), site.alias("site"))
+    return bound(said, lambda s: _sections(s["content"], s["text"], s["label"], s["site"], s["source"], known))
+
+
+def _sections(content: Column, text: Column, label: Column, site: Column, source: Column, known: dict[str, list[str]]) -> Column:
+    hits = {"models": terms.some_of(content, known["models"]) | ((label == "model_release") & ~terms.some_of(text, known["tools"]))}
+    for name in SECTION_TERMS:
+        hits[name] = terms.some_of(text, known[name]) | label.isin(SECTION_LABELS[name] or ["?"])
+    from_community = F.coalesce(site.isin(COMMUNITY_SITES), F.lit(False)) | F.exists(F.array(*map(F.lit, COMMUNITY_SOURCES)), lambda s: F.contains(source, s))
     hits["community"] = hits["community"] | from_community
     found = F.array_compact(F.array(*[F.when(hits[s], F.lit(s)) for s in SECTIONS]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("industry")))

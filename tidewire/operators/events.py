@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions import terms
 from tidewire.functions.times import bound
 
 
@@ -54,52 +56,53 @@ NEWS_EVENTS = Events(
 SIMPLIFIED = "财报营测务业绩获净润亏损价东会余话议场额购并垄断独产监调争资统泄骇击时恶软体险补狱涨订阅费优计评胜准试对决竞结驱马游戏权红学开发释参数态仅义伟达谱亚逊维机"
 TRADITIONAL = "財報營測務業績獲淨潤虧損價東會餘話議場額購併壟斷獨產監調爭資統洩駭擊時惡軟體險補獄漲訂閱費優計評勝準試對決競結驅馬遊戲權紅學開發釋參數態僅義偉達譜亞遜維機"
 
+# Where a sentence of a text, and a clause of a title, ends.
+MARKS, TITLE_MARKS = r"[。！？.!?\n]+", r"[。！？；;.!?\n]+"
+
 
 def normalised(text: Column) -> Column:
     """Lower-cased, with the simplified characters of the terms as traditional ones; a full converter is not built."""
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), SIMPLIFIED, TRADITIONAL)
 
 
-def holds(text: Column, terms: list[str], words: list[str]) -> Column:
-    inside = [t for t in terms if t not in words]
-    bound = [t.replace("&", "\\&") for t in terms if t in words]
-    out = F.exists(F.array(*map(F.lit, inside)), lambda t: F.contains(text, t)) if inside else F.lit(False)
-    return out | text.rlike("(?<![a-z0-9])(" + "|".join(bound) + ")(?![a-z0-9])") if bound else out
+def _all(lists: Iterable[list[str]]) -> list[str]:
+    return [t for terms_ in lists for t in terms_]
 
 
-def cooccurs(text: Column, groups: tuple[list[str], ...], words: list[str], marks: str = r"[。！？.!?\n]+") -> Column:
+def cooccurs(text: Column, groups: tuple[list[str], ...], words: list[str], marks: str = MARKS) -> Column:
     """Whether one sentence holds a term of each group."""
-
-    def inside(sentence: Column) -> Column:
-        out = F.lit(True)
-        for g in groups:
-            out = out & holds(sentence, g, words)
-        return out
-
-    return F.exists(F.split(text, marks), inside)
+    known = _all(groups)
+    return terms.together(terms.hits(text, known, words, marks, known)["sentences"], *groups)
 
 
 def business_events(site: Column, title: Column, summary: Column, events: Events = NEWS_EVENTS) -> Column:
-    """The codes of the events that an item's title and summary report, in table order."""
+    """The codes of the events that an item's title and summary report, in table order.
+
+    Each text is read once for the terms of all events.
+    """
     text = normalised(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))))
-    said = F.struct(text.alias("text"), normalised(title).alias("title"))
-    found = bound(said, lambda s: _found(s["text"], s["title"], events))
+    pairs = [*events.together.values(), *events.unless.values()]
+    lists = [*events.terms.values(), *events.exclude.values(), *(g for pair in pairs for g in pair)]
+    in_text = terms.hits(text, _all(lists), events.words, MARKS, _all(g for pair in pairs for g in pair))
+    titled = _all(g for groups in events.titled.values() for g in groups)
+    in_title = terms.hits(normalised(title), titled, events.words, TITLE_MARKS, titled)
+    found = bound(F.struct(in_text.alias("text"), in_title.alias("title")), lambda s: _found(s["text"], s["title"], events))
     return F.when(F.coalesce(site, F.lit("")).isin(list(events.no_sites)), F.array().cast("array<string>")).otherwise(found)
 
 
 def _found(text: Column, title: Column, events: Events) -> Column:
-    hits = []
-    for name, terms in events.terms.items():
-        hit = holds(text, terms, events.words)
+    said, hits = text["terms"], []
+    for name, known in events.terms.items():
+        hit = terms.some_of(said, known)
         if name in events.unless:
             weak, context = events.unless[name]
-            strong = holds(text, [t for t in terms if t not in weak], events.words)
-            hit = hit & (strong | ~cooccurs(text, (weak, context), events.words))
+            strong = terms.some_of(said, [t for t in known if t not in weak])
+            hit = hit & (strong | ~terms.together(text["sentences"], weak, context))
         if name in events.together:
-            hit = hit | cooccurs(text, events.together[name], events.words)
+            hit = hit | terms.together(text["sentences"], *events.together[name])
         if name in events.exclude:
-            hit = hit & ~holds(text, events.exclude[name], events.words)
+            hit = hit & ~terms.some_of(said, events.exclude[name])
         hits.append(F.when(hit, F.lit(name)))
     for name, groups in events.titled.items():
-        hits.append(F.when(cooccurs(title, groups, events.words, r"[。！？；;.!?\n]+"), F.lit(name)))
+        hits.append(F.when(terms.together(title["sentences"], *groups), F.lit(name)))
     return F.array_compact(F.array(*hits))
