@@ -141,6 +141,14 @@ def test_candidate_titles_lose_no_pair(spark):
     assert got == want and len(want) > 20
 
 
+def test_short_titles_are_not_paired_with_each_other(spark):
+    titles = [f"openai note {i}" for i in range(100, 160)] + [f"openai note about the number {i}" for i in range(100, 110)]
+    frame = spark.createDataFrame([("", i % 2, t, mergeable(t)) for i, t in enumerate(titles)], "scope string, band long, title string, open boolean")
+    got = {(r.a, r.b): r.similarity for r in similar.similar_titles(frame, 0.6).collect()}
+    assert got == {(a, b): alike(a, b) for a in titles for b in titles if a != b and alike(a, b) >= 0.6 and (mergeable(a) or mergeable(b))}
+    assert any(not mergeable(a) for a, _ in got) and not any(mergeable(a) for a in titles[:60])
+
+
 def plain_diverse(rows, limit):
     """rows: (story_id, source, title, score)."""
     left, picked, used = sorted(rows, key=lambda r: (-r[3], r[2], r[0])), [], {}
