@@ -33,6 +33,21 @@ def test_rendered_queries_equal_their_sql(spark, small, name):
     assert sorted(repr(plain(tuple(r[c] for c in cols))) for r in got.collect()) == sorted(repr(plain(tuple(r[i] for i in at))) for r in want.fetchall())
 
 
+def test_repeated_entries_of_short_titles_equal_the_sql(spark, tmp_path):
+    """An entry that is too short for its source stands twice: neither counts."""
+    import duckdb
+
+    rows = [(11 * (k + 150), f"{'x' * n}\nbody", "en", f"src{s}", n) for k, (n, s) in enumerate([(24, 3), (29, 3), (30, 3), (0, 6), (24, 6)], 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("catalogue_feeds", "collected_sources"):
+        got = Q.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.SQL[name]})").fetchall()
+        assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, want)) and want
+
+
 def test_feeds_equal_a_plain_reader(spark):
     rss = '<?xml version="1.0"?><rss xmlns:dc="d"><channel><title>T</title><!-- <item><title>hidden</title><link>h</link></item> --><item><title>a <![CDATA[b & c]]></title><link note="1>2">https://f/1</link><dc:date>2026-07-01</dc:date></item><item><title>A &amp; B &#8212; é</title><link>https://f/2</link><pubDate>p</pubDate></item></channel></rss>'
     atom = '<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:entry><a:title type="html">E &lt;i&gt;</a:title><a:link rel="self" href="https://g/self"/><a:link href="https://g/1?a=1&amp;b=2"/><a:updated>u</a:updated></a:entry></a:feed>'
