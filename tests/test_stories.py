@@ -149,6 +149,16 @@ def test_short_titles_are_not_paired_with_each_other(spark):
     assert any(not mergeable(a) for a, _ in got) and not any(mergeable(a) for a in titles[:60])
 
 
+def test_suppression_pairs_no_two_short_titles(spark, monkeypatch):
+    rows = [(i, "s", f"openai model {i}", "", NOW, 1, 0.5) for i in range(10, 40)] + [(50 + i, "s", "openai model for all of the teams", "", NOW, 1, 0.5) for i in range(2)]
+    frame = spark.createDataFrame(rows, "id long, site_id string, title string, url string, event_time timestamp, tier_rank int, score double")
+    found = []
+    monkeypatch.setattr(stories, "similar_titles", lambda *a: found.append(similar.similar_titles(*a)) or found[0])
+    kept = {r.id for r in stories.suppress_near_duplicates(frame).collect()}
+    assert kept == plain_suppression([(i, s, t, at, k, sc) for i, s, t, _, at, k, sc in rows]) and len(kept) == 31
+    assert found[0].isEmpty()
+
+
 def plain_diverse(rows, limit):
     """rows: (story_id, source, title, score)."""
     left, picked, used = sorted(rows, key=lambda r: (-r[3], r[2], r[0])), [], {}
