@@ -335,3 +335,18 @@ def test_quality_features_equal_plain_version():
     got = quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets)
     for i, text in enumerate(texts):
         assert [number[bounds[i] : bounds[i + 1]].tolist() for number, bounds in got] == plain_features(text)
+
+
+def test_lines_are_split_into_words_once(spark, monkeypatch):
+    """The words of lines that may have a near one are fetched by the place of their first rows."""
+    from tidewire.llm import line_dedup
+
+    asked = []
+    plain = line_dedup.may_match
+    monkeypatch.setattr(line_dedup, "may_match", lambda rows, *a: asked.append((rows.columns, rows.count(), (got := plain(rows, *a)).count())) or got)
+    text = "one two three four five six\none two three four five\nquite another line of six words\nshort"
+    docs = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert kept[0] == "one two three four five six\nquite another line of six words\nshort" and set(kept[i] for i in range(1, 20)) == {""}
+    # Of 80 lines only the first rows of the two alike pass.
+    assert asked == [(["place", "raw"], 80, 2)]

@@ -61,9 +61,11 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     halves = classes.where(F.col("n") >= MIN_WORDS).select("line", F.explode(F.array_compact(F.array(*ks))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("half")
     suspects = stored(classes.join(halves.join(shared, "half", "left_semi").select("line").distinct(), "line", "left_semi").select("line", "first"))
-    # The suspects' words, from any of their rows: few other lines pass the bit map on the way to the join.
-    passed = may_match(lines.select(F.xxhash64(line_words(F.col("raw"))).alias("line"), "raw"), F.col("line"), suspects.select("line"))
-    suspects = stored(suspects.join(passed.groupBy("line").agg(F.min("raw").alias("raw")), "line").select("line", "first", line_words(F.col("raw")).alias("words")))
+    # The suspects' words, from their first rows: others are left out by the bit map of places before their words are split.
+    place = F.xxhash64("key", "text_hash", "line_no").alias("place")
+    passed = may_match(lines.select(place, "raw"), F.col("place"), suspects.select(F.xxhash64("first.key", "first.text_hash", "first.line_no").alias("place")))
+    said = passed.select(F.xxhash64(line_words(F.col("raw"))).alias("line"), "raw")
+    suspects = stored(suspects.join(said.groupBy("line").agg(F.min("raw").alias("raw")), "line").select("line", "first", line_words(F.col("raw")).alias("words")))
     variants = _variants(suspects)
     shared = variants.groupBy("variant").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("variant")
     met = variants.join(shared, "variant", "left_semi").select("line", "at", "deleted")
