@@ -111,3 +111,15 @@ def test_published_headers_count_their_rows(spark):
     made = payloads.latest_views(rows.where("ai_is_related"), rows, F.lit("2026-06-01 10:00:00").cast("timestamp"))
     slim, bulky = made["latest_header"].first(), made["all_header"].first()
     assert (slim.total_items, bulky.total_items_all_mode, slim.generated_at) == (2, 3, "2026-06-01T10:00:00Z")
+
+
+def test_creator_posts_pass_on_in_slices(spark):
+    """A batch of payloads with more posts than a slice gives each post once, in several parts."""
+    import json
+
+    from tidewire.sources import services
+
+    made = [json.dumps({"data": [{"aweme_info": {"aweme_id": f"v{n}-{i}", "desc": f"video {i}"}} for i in range(services.SLICE - 1)]}) for n in range(3)]
+    frame = spark.createDataFrame([(m,) for m in made], "payload string").coalesce(1)
+    posts = services.creator_posts(frame, "tikhub_douyin", R.now())
+    assert posts.count() == posts.select("post_id").distinct().count() == 3 * (services.SLICE - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,6 +124,8 @@ TIMES = ["time", "create_time", "create_time_stamp", "created_at", "last_update_
 VIDEO = {"wrap": ["aweme_info"], "id": ["aweme_id", "awemeId"], "title": ["desc", "title", "caption"], "owner": ["author"], "name": ["nickname", "unique_id"], "url": ["share_url"], "metrics": ["statistics"]}
 NOTE = {"wrap": ["note_card", "note_info", "note", "note_data", "noteCard"], "id": ["note_id", "noteId", "id"], "title": ["display_title", "displayTitle", "title", "desc", "description", "content"], "owner": ["user", "user_info"], "name": ["nickname", "nick_name", "nickName", "name"], "url": ["url", "share_url", "shareUrl"], "metrics": ["interact_info"]}
 COUNTERS = {"likes": ["digg_count", "liked_count", "likes_count", "like_count"], "comments": ["comment_count", "comments_count"], "collects": ["collect_count", "collected_count"], "shares": ["share_count", "shared_count"]}
+#: Posts that a task holds before it passes them on, beside those of one payload, however many payloads a batch has.
+SLICE = 2000
 AUDIO_TITLE = r"(?i)^@?.{1,80}(?:创作的原声|的原声|original\s+sound)$"
 
 
@@ -197,7 +200,9 @@ def creator_posts(payloads: DataFrame, site: str, now: Column, column: str = "pa
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page", "pos", "post_id", "titles", "name", "url", "token", "said", *COUNTERS]
         for part in parts:
-            yield pd.DataFrame([(n, i, *p) for n, text in zip(part.page, part.text) for i, p in enumerate(posts(text or ""))], columns=names)
+            made = ((n, i, *p) for n, text in zip(part.page, part.text) for i, p in enumerate(posts(text or "")))
+            while rows := list(islice(made, SLICE)):  # posts hold more memory than their text
+                yield pd.DataFrame(rows, columns=names)
 
     lists = ", ".join(f"{c} array<string>" for c in ("said", *COUNTERS))
     raw = payloads.select(F.monotonically_increasing_id().alias("page"), F.col(column).alias("text")).mapInPandas(run, f"page long, pos int, post_id string, titles array<string>, name string, url string, token string, {lists}")
