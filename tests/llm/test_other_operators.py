@@ -476,6 +476,88 @@ def test_near_passages_have_full_recall_on_edited_copies(spark):
     assert rooted(got) == rooted(near)
 
 
+def test_passages_with_two_words_inserted_or_deleted(spark):
+    rows = []
+    for n in range(8):
+        base = [f"w{n}x{i}" for i in range(50)]
+        longer = base[: 20 + n] + ["new", f"newer{n}"] + base[20 + n :]
+        one, two = (longer, base) if n % 2 else (base, longer)
+        rows += [(10 * n + 1, " ".join(one)), (10 * n, " ".join(two))]
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # 42 of at most 52 shingles are shared wherever an untouched run of 21 is left
+    assert got == {(10 * n + 1, 10 * n) for n in range(8) if max(20 + n, 30 - n) >= 25}
+
+
+def test_each_document_has_the_class_of_all_its_links(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    rows, source = [], [word() for _ in range(60)]
+    for i in range(40):
+        copy = list(source)
+        for p in rng.sample(range(len(copy)), i % 3):
+            copy[p] = word()
+        rows.append((i, [word() for _ in range(20)] + copy + [word() for _ in range(20)]))
+    rows += [(100 + i, [word() for _ in range(90)]) for i in range(5)]
+    near = [(a, b) for a, x in rows for b, y in rows if a > b and near_by_brute_force(x, y)]
+    least = {k: k for k, _ in rows}
+    for _ in rows:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in rows] + [(200, None), (None, "x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.passage_classes(frame).collect()}
+    assert {k: r.component_id for k, r in got.items()} == least | {200: 200} and len(near) > 100
+    assert all(p.other_doc_id < k and p.end_word - p.start_word >= 50 for k, r in got.items() for p in r.passages or [])
+    assert substring_dedup.passage_classes(frame.limit(0)).count() == 0
+
+
+def test_a_run_that_many_units_hold_gives_its_pairs_once():
+    rng = np.random.default_rng(8)
+    zone, n = substring_dedup.ZONE, 400
+    text = rng.integers(1, 1 << 32, n + 2 * zone, dtype=np.uint64)
+    h = rng.permutation(n)
+    units = [(lo, c, hi) for lo, c, hi in substring_dedup.compact_windows(h) if zone <= c < n - zone]
+    around = lambda c: text[c - zone : c + zone + 1].astype("<u4")[None]
+    kept = [c for lo, c, hi in units if not substring_dedup.deferred(around(c), around(c), np.array([c - lo]), np.array([hi - c]))[0]]
+    # the least one of every run as long as what can be seen stays
+    assert all(any(abs(c - k) <= zone for k in kept) for _, c, _ in units) and len(kept) < len(units) / 4
+
+
+def test_forest_looks_rows_up_by_their_probes():
+    rng = np.random.default_rng(5)
+    zone = substring_dedup.ZONE
+    rows = rng.integers(1, 1 << 32, (3000, 2 * zone + 1), dtype=np.uint64).astype("<u4")
+    rows[:, zone - 3 : zone + 4] = 7
+    rows[1000:1020] = rows[5]
+    rows[1000:1020, zone + 70] += np.arange(20, dtype=np.uint32)
+    assert {j for i, j in substring_dedup.forest(rows)} == set(range(1000, 1020))
+    assert substring_dedup.forest(rows[:0]) == [] == substring_dedup.forest(rows[:1])
+
+
+def test_blocks_of_a_unit_give_their_pairs_once():
+    rng = np.random.default_rng(6)
+    zone, blocks = substring_dedup.ZONE, 5
+    rows = rng.integers(1, 1 << 32, (300, 2 * zone + 1), dtype=np.uint64).astype("<u4")
+    rows[:] = rows[rng.integers(0, 20, 300)]
+    rows[:, zone + 80] += np.arange(300, dtype=np.uint32)
+    block = rng.integers(0, blocks, 300)
+
+    def rooted(pairs):
+        top = np.arange(300)
+        for _ in range(300):
+            for a, b in pairs:
+                top[a] = top[b] = min(top[a], top[b])
+        return top.tolist()
+
+    found = []
+    for low in range(blocks):
+        for high in range(low + 1, blocks):
+            held = np.flatnonzero((block == low) | (block == high))
+            found += [(held[i], held[j]) for i, j in substring_dedup.between(rows[held], block[held], blocks)]
+    assert rooted(found) == rooted(substring_dedup.forest(rows))
+    # a group in a block has one pair less than rows there, and one for each pair of blocks
+    assert len(found) <= 300 + 20 * blocks * (blocks - 1) / 2
+
+
 def test_repetitive_texts_cost_no_more_than_others():
     for text in ("tick " * 80_000, "tick tock " * 40_000):
         data = np.frombuffer(text.encode(), np.uint8)

@@ -90,9 +90,9 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewire.llm.substring_dedup import near_passages
+    from tidewire.llm.substring_dedup import passage_classes
 
-    return near_passages(table(spark, sf_dir, "documents"))
+    return passage_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,10 @@ its shingles, and any edit changes five of them, so at least ``RUN`` = 21 shingl
 
 Windows whose shingles are equal as far as a shortest passage can reach form a class, and each meets the first of its
 class. The classes of a unit are compared with each other, all with all in blocks, by short hashes of the shingles
-around the unit. Of the pairs that share a near passage there, each block gives those of a spanning forest. So rows grow
-with the windows, however many documents share a passage (a unit of more than ``BLOCK`` classes gives them once for each
-pair of blocks), and equal and near passages connect all their holders. Joined places are verified on the texts, and
-passages of ``PASSAGE`` or more words with a similarity of 0.8 or more are returned.
+around the unit. Of the pairs that share a near passage there, each block gives those of a spanning forest, less those
+that an equal run gives at another unit (see ``deferred``) or another pair of blocks (see ``between``). So rows grow with
+the windows, however many documents share a passage, and equal and near passages connect all their holders. Joined places are verified on the texts, and passages of ``PASSAGE`` or more words with a
+similarity of 0.8 or more are returned. ``passage_classes`` gives every document the class that all such links make.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from tidewire.llm import textnum as N
 from tidewire.llm.common import byte_slices, may_match, stored, text_buffer
+from tidewire.llm.components import components
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
 #: Shingles of the shortest passage.
@@ -47,6 +48,8 @@ ZONE = 2 * LEAST - 2
 #: place around the unit's middle, it holds the first two probes or the last two; an edit changes five shingles in a
 #: row, so it changes only one of two that lie six apart.
 PROBES = (-23, -17, 16, 22)
+#: Words in a row that may be inserted or deleted in a shortest passage: with three it isn't similar enough.
+SLIP = 2
 #: Classes of a unit that one block holds from each of its two sides.
 BLOCK = 2048
 
@@ -152,17 +155,19 @@ def alike_around(x: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def shifted_around(x: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Which rows of ``many`` share with x a near passage around the middle in which a word was inserted or deleted."""
+    """Which rows of ``many`` share with x a near passage around the middle in which words were inserted or deleted."""
     lo, hi = ZONE - LEAST + 1, ZONE + LEAST
-    inside = ((many[:, lo:hi] == x[lo:hi]) | (many[:, lo - 1 : hi - 1] == x[lo:hi]) | (many[:, lo + 1 : hi + 1] == x[lo:hi])) & (x[lo:hi] != 0)
-    held = np.zeros((len(many), inside.shape[1] + 1), np.int16)
-    np.cumsum(inside, axis=1, out=held[:, 1:])
-    out = (held[:, LEAST:] - held[:, :-LEAST]).max(1) >= LEAST * 2 * SIMILARITY / (1 + SIMILARITY) - 1
+    out = np.zeros(len(many), bool)
+    for one, two in ((x[None], many), (many, x[None])):
+        inside = np.any([two[:, lo + d : hi + d] == one[:, lo:hi] for d in range(-SLIP, SLIP + 1)], axis=0) & (one[:, lo:hi] != 0)
+        held = np.zeros((len(many), inside.shape[1] + 1), np.int16)
+        np.cumsum(inside, axis=1, out=held[:, 1:])
+        out |= (held[:, LEAST:] - held[:, :-LEAST]).max(1) >= LEAST * 2 * SIMILARITY / (1 + SIMILARITY) - SLIP
     pad = np.flatnonzero(x)
     for i in np.flatnonzero(out):
         there = np.flatnonzero(many[i])
         a, b = x[pad[0] : pad[-1] + 1], many[i, there[0] : there[-1] + 1]
-        out[i] = shifted_passage(a, b, ZONE - pad[0], ZONE - there[0]) is not None
+        out[i] = either_shifted(a, b, ZONE - pad[0], ZONE - there[0]) is not None
     return out
 
 
@@ -170,36 +175,89 @@ def forest(zones: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows that share a near passage around the middle: enough of them to connect all that such pairs connect.
 
     Each part is reached from its first row on, so the units of one group of texts mostly give the same pairs. Rows are
-    compared as a whole only if they agree, up to a shift of one, at one of ``PROBES``: see there.
+    compared as a whole only if they agree, up to a shift of ``SLIP``, at one of ``PROBES``: see there. Many rows are
+    looked up by their probes, so rows without a near one cost no more than themselves.
     """
-    out, left, reached = [], np.arange(len(zones)), []
-    probes = np.stack([np.stack([zones[:, ZONE + p + d] for d in (-1, 0, 1)], axis=1) for p in PROBES], axis=1)
-    while len(left):
+    out, reached, left = [], [], np.ones(len(zones), bool)
+    probes = np.stack([np.stack([zones[:, ZONE + p + d] for d in range(-SLIP, SLIP + 1)], axis=1) for p in PROBES], axis=1)
+    named = np.where(probes != 0, probes.astype(np.uint64) * np.uint64(len(PROBES)) + np.arange(len(PROBES), dtype=np.uint64)[:, None] + np.uint64(1), np.uint64(0))
+    order = np.argsort(named, axis=None, kind="stable")
+    keys, owners = named.ravel()[order], order // named[0].size if len(zones) else order
+    rest, first = len(zones), 0
+    while rest:
         if not reached:
-            reached, left = [left[0]], left[1:]
+            first += int(left[first:].argmax())
+            reached, left[first], rest = [first], False, rest - 1
         at = reached.pop()
-        mine = probes[at, :, 1]
-        some = np.flatnonzero(((probes[left] == mine[:, None]) & (mine != 0)[:, None]).any((1, 2)))
-        near = np.zeros(len(left), bool)
-        near[some] = alike_around(zones[at], zones[left[some]])
-        far = some[~near[some]]
-        near[far] = shifted_around(zones[at], zones[left[far]])
-        out += [(int(at), int(i)) for i in left[near]]
-        reached += list(left[near])
-        left = left[~near]
+        mine = named[at, :, SLIP]
+        if rest <= 64:
+            some = np.flatnonzero(left)
+            some = some[((named[some] == mine[:, None]) & (mine != 0)[:, None]).any((1, 2))]
+        else:
+            mine = mine[mine != 0]
+            spans = zip(np.searchsorted(keys, mine, "left").tolist(), np.searchsorted(keys, mine, "right").tolist())
+            some = np.concatenate([np.zeros(0, np.int64), *(owners[lo:hi][left[owners[lo:hi]]] for lo, hi in spans)])
+            some = np.unique(some)
+        near = alike_around(zones[at], zones[some])
+        far = np.flatnonzero(~near)
+        near[far] = shifted_around(zones[at], zones[some[far]])
+        found = some[near]
+        out += [(at, int(i)) for i in found]
+        reached += found.tolist()
+        left[found], rest = False, rest - len(found)
     return out
 
 
+def between(zones: np.ndarray, block: np.ndarray, blocks: int) -> list[tuple[int, int]]:
+    """The pairs that the rows of two of ``blocks`` blocks give: of those inside a block only one of its pairs of blocks
+    gives a forest, and between the two only those that join what such forests leave apart."""
+    if blocks <= 2:
+        return forest(zones)
+    out, top = [], list(range(len(zones)))
+
+    def joined(i: int, j: int) -> bool:
+        i, j = int(i), int(j)
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        while top[j] != j:
+            top[j] = j = top[top[j]]
+        top[j] = i
+        return i != j
+
+    sides = np.unique(block).tolist()
+    for side in sides:
+        rows = np.flatnonzero(block == side)
+        own = [(int(rows[i]), int(rows[j])) for i, j in forest(zones[rows])]
+        for pair in own:
+            joined(*pair)
+        out += own if (side + 1) % blocks in sides else []
+    return out + [(i, j) for i, j in forest(zones) if block[i] != block[j] and joined(i, j)]
+
+
+def deferred(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which pairs (rows of x and y) another unit gives as well; ``before`` and ``after``: how far y's window reaches from
+    the middle.
+
+    If the shingles around the middle that are equal in both reach beyond the window, they hold a unit of less hash. The
+    least one of all these shingles, a run of at least ``RUN``, is a window of both texts and in the same passage, so
+    there the two are connected, by this rule or by pairs of still less hash.
+    """
+    same = (x == y) & (x != 0)
+    reach = lambda side: np.where(side.all(1), side.shape[1], side.argmin(1)) - 1
+    lo, hi = reach(same[:, ZONE::-1]), reach(same[:, ZONE:])
+    return (lo + hi + 1 >= RUN) & ((lo > before) | (hi > after))
+
+
 def near_classes(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
-    """(k, at, o struct<k, at>): pairs of the places (signature, k, c, n), n to a signature, which share a near passage
+    """(k, at, o struct<k, at>): pairs of the places (signature, k, c, l, r, n), n to a signature, which share a near passage
     around c: every two places of one signature are compared, and the pairs connect all that do share one."""
-    around = stored(places.groupBy("k").agg(F.collect_set(F.struct("signature", "n", "c")).alias("spots")))
+    around = stored(places.groupBy("k").agg(F.collect_set(F.struct("signature", "n", "c", (F.col("c") - F.col("l")).alias("before"), (F.col("r") - F.col("c")).alias("after"))).alias("spots")))
 
     def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "k_text"):
                 values, bounds = shingles(*text_buffer(part.column("k_text")))
-                short = np.maximum(1, N.mixed(values) >> np.uint64(48)).astype("<u2")
+                short = np.maximum(1, N.mixed(values) >> np.uint64(32)).astype("<u4")
                 spots = part.column("spots")
                 rows = np.repeat(np.arange(len(spots)), np.diff(spots.offsets.to_numpy()))
                 spots = spots.flatten()
@@ -210,25 +268,28 @@ def near_classes(docs: DataFrame, key: str, text: str, places: DataFrame) -> Dat
                     r, mid, some = rows[lo : lo + 4096], c[lo : lo + 4096], spots.slice(lo, 4096)
                     at = (bounds[r] + mid)[:, None] + np.arange(-ZONE, ZONE + 1)
                     held = (at >= bounds[r][:, None]) & (at < bounds[r + 1][:, None])
-                    got = np.where(held, short[np.where(held, at, 0)], 0).astype("<u2")
-                    yield pa.RecordBatch.from_arrays([some.field("signature"), some.field("n"), part.column("k").take(pa.array(r)), some.field("c"), pa.array([g.tobytes() for g in got], pa.binary())], ["signature", "n", "k", "c", "near"])
+                    got = np.where(held, short[np.where(held, at, 0)], 0).astype("<u4")
+                    yield pa.RecordBatch.from_arrays([some.field("signature"), some.field("n"), part.column("k").take(pa.array(r)), *(some.field(x) for x in ("c", "before", "after")), pa.array([g.tobytes() for g in got], pa.binary())], ["signature", "n", "k", "c", "before", "after", "near"])
 
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("signature", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", kind), T.StructField("c", T.IntegerType()), T.StructField("near", T.BinaryType())])
+    schema = T.StructType([T.StructField("signature", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", kind), *(T.StructField(x, T.IntegerType()) for x in ("c", "before", "after")), T.StructField("near", T.BinaryType())])
     held = around.join(texts_of(docs, key, text, around, "k"), "k").select("k", "spots", "k_text").mapInArrow(zones, schema)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("k", "c"), blocks).cast("int")
     other = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).where((blocks == 1) | (F.col("mine") != F.col("other")))
-    grouped = other.groupBy("signature", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).agg(F.sort_array(F.collect_list(F.struct("k", "c", "near"))).alias("held")).select("held")
+    grouped = other.groupBy("signature", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).agg(F.sort_array(F.collect_list(F.struct("k", "c", "before", "after", "near", "mine"))).alias("held"), F.first(blocks).alias("blocks")).select("held", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column("held")
             edges, held = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten()
-            near = np.frombuffer(b"".join(held.field("near").to_pylist()), "<u2").reshape(-1, 2 * ZONE + 1)
-            pairs = [(lo + i, lo + j) for lo, hi in zip(edges, edges[1:]) for i, j in forest(near[lo:hi])]
-            if pairs:
-                one, two = (held.take(pa.array(x)) for x in np.array(pairs, np.int64).T)
+            near = np.frombuffer(b"".join(held.field("near").to_pylist()), "<u4").reshape(-1, 2 * ZONE + 1)
+            before, after, block = (held.field(x).to_numpy() for x in ("before", "after", "mine"))
+            pairs = np.array([(lo + i, lo + j) for lo, hi, n in zip(edges, edges[1:], batch.column("blocks").to_pylist()) for i, j in between(near[lo:hi], block[lo:hi], n)], np.int64).reshape(-1, 2)
+            for some in np.split(pairs, range(4096, len(pairs), 4096)):
+                i, j = some.T
+                kept = ~deferred(near[i], near[j], before[j], after[j])
+                one, two = held.take(pa.array(i[kept])), held.take(pa.array(j[kept]))
                 yield pa.RecordBatch.from_arrays([one.field("k"), one.field("c"), pa.StructArray.from_arrays([two.field("k"), two.field("c")], ["k", "at"])], ["k", "at", "o"])
 
     at = T.IntegerType()
@@ -251,7 +312,7 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     ends = stored(classes.groupBy("signature").agg(F.min("rep").alias("o"), F.max("rep").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     run = F.least(F.col("rep.c") - F.col("rep.l"), F.col("o.c") - F.col("o.l")) + F.least(F.col("rep.r") - F.col("rep.c"), F.col("o.r") - F.col("o.c")) + 1
     two = ends.where((F.col("n") == 2) & (run >= RUN)).select("rep.k", F.col("rep.c").alias("at"), F.struct("o.k", F.col("o.c").alias("at")).alias("o"))
-    many = stored(classes.join(ends.where("n > 2").select("signature", "n"), "signature").select("signature", "rep.k", "rep.c", "n"))
+    many = stored(classes.join(ends.where("n > 2").select("signature", "n"), "signature").select("signature", "rep.k", "rep.c", "rep.l", "rep.r", "n"))
     compared = two.unionByName(near_classes(docs, key, text, many))
     met = own.withColumn("equal", F.lit(True)).unionByName(compared.withColumn("equal", F.lit(False))).where("k != o.k")
     turned = F.col("k") < F.col("o.k")
@@ -303,21 +364,22 @@ def passage(met: tuple[int, np.ndarray, np.ndarray], at: int, shift: int) -> tup
 def shifted_passage(a: np.ndarray, b: np.ndarray, at: int, bt: int) -> tuple[int, int, int, float] | None:
     """A shortest passage around the shingle whose sets of shingles are similar enough, though words were inserted or
     deleted in it."""
-    lo, lo_b = max(0, at - LEAST + 1), max(0, bt - LEAST)
-    inside = np.isin(a[lo : at + LEAST], b[lo_b : bt + LEAST + 1])
+    lo, lo_b = max(0, at - LEAST + 1), max(0, bt - LEAST - SLIP + 1)
+    inside = np.isin(a[lo : at + LEAST], b[lo_b : bt + LEAST + SLIP])
     if len(inside) < LEAST:
         return None
     held = np.cumsum(np.concatenate(([0], inside)))
     held = held[LEAST:] - held[:-LEAST]
-    if held.max() < LEAST * 2 * SIMILARITY / (1 + SIMILARITY) - 1:
+    if held.max() < LEAST * 2 * SIMILARITY / (1 + SIMILARITY) - SLIP:
         return None
     s, best = lo + int(held.argmax()), None
-    for wide in (-1, 0, 1):
-        for slip in (-1, 0, 1):
+    x = np.unique(a[s : s + LEAST])
+    for wide in range(-SLIP, SLIP + 1):
+        for slip in range(-SLIP, SLIP + 1):
             t = s + bt - at + slip
             if t < 0 or t + LEAST + wide > len(b):
                 continue
-            x, y = np.unique(a[s : s + LEAST]), np.unique(b[t : t + LEAST + wide])
+            y = np.unique(b[t : t + LEAST + wide])
             both = len(np.intersect1d(x, y, assume_unique=True))
             alike = both / (len(x) + len(y) - both)
             if alike >= SIMILARITY and (best is None or alike > best[3]):
@@ -325,6 +387,15 @@ def shifted_passage(a: np.ndarray, b: np.ndarray, at: int, bt: int) -> tuple[int
     return best
 
 
+def either_shifted(a: np.ndarray, b: np.ndarray, at: int, bt: int) -> tuple[int, int, int, float] | None:
+    """``shifted_passage`` from a's side, else from b's: whether two texts share one doesn't depend on their order."""
+    got = shifted_passage(a, b, at, bt)
+    if got is None and (turned := shifted_passage(b, a, bt, at)):
+        s, e, shift, alike = turned
+        got = (s + shift, e + shift, -shift, alike) if e + shift <= len(a) else None
+    return got
+
+
 def verified(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
     """Near-duplicate passages (words from, to, offset of b, similarity) around the places; a place of a that lies in a
     passage already found isn't looked at again."""
@@ -335,7 +406,7 @@ def verified(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]]) -> lis
             continue
         if bt - at not in met:
             met = {bt - at: side_by_side(a, b, bt - at)}
-        got = passage(met[bt - at], at, bt - at) or shifted_passage(a, b, at, bt)
+        got = passage(met[bt - at], at, bt - at) or either_shifted(a, b, at, bt)
         if got:
             out.append(got)
     return [(s, e + SHINGLE - 1, shift, alike) for s, e, shift, alike in out]
@@ -378,3 +449,21 @@ def near_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField(f"other_{key}", kind), *T._parse_datatype_string(PASSAGES).fields])
     return both.mapInArrow(run, schema)
+
+
+def passage_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id, passages): one row per document with its class, the least key that near passages lead to from
+    it, and its passages of ``near_passages`` (array of structs; null: none of a document of lower key).
+
+    Links to different texts are all in the class, also those that ``near_passages`` leaves to a chain of others. Rows with
+    a null key are left out.
+    """
+    found = stored(near_passages(docs, key, text))
+    other = f"other_{key}"
+    root = components(found.select(F.col(key).alias("src"), F.col(other).alias("dst")).distinct())
+    least = root.groupBy("root").agg(F.min("node").alias("component_id"))
+    placed = root.join(least, "root").select(F.col("node").alias(key), "component_id")
+    fields = F.struct("start_word", "end_word", other, "other_start", "other_end", "similarity")
+    held = found.groupBy(key).agg(F.array_sort(F.collect_list(fields)).alias("passages"))
+    every = docs.where(F.col(key).isNotNull()).select(key).distinct()
+    return every.join(placed, key, "left").join(held, key, "left").select(key, F.coalesce("component_id", key).alias("component_id"), "passages")
