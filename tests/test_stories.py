@@ -233,3 +233,25 @@ def test_literal_cases_equal_their_sql(spark, small):
         want = con.execute(L.SQL[name])
         at = [[d[0] for d in want.description].index(c) for c in cols]
         assert sorted(map(repr, (plain(tuple(r[c] for c in cols)) for r in got.collect()))) == sorted(map(repr, (plain(tuple(r[i] for i in at)) for r in want.fetchall()))), name
+
+
+def test_overlap_candidates_are_few_and_lose_no_copy(spark):
+    """Prose of one vocabulary shares its rarest character pairs, so all of it used to meet."""
+    r = random.Random(5)
+    said = lambda n: " ".join("".join(r.choice("th ing tion an re he nd on ou qu zi xk".split()) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+    def edited(t):
+        for _ in range(r.randint(0, len(t) // 12)):
+            p = r.randrange(len(t))
+            t = t[:p] + r.choice(["", "q", "an"]) + t[p + 1 :]
+        return " ".join(t.split()) or "x"
+
+    a = [said(r.choice([1, 4, 12, 40, 90])) for _ in range(60)]
+    b = [edited(t) for t in a for _ in range(2)] + [said(r.choice([12, 40])) for _ in range(80)]
+    frame = lambda rows, name: spark.createDataFrame([(t, None) for t in rows], f"{name} string, at timestamp")
+    got = {(x.norm, x.o_norm) for x in similar.overlap_candidates(frame(a, "norm"), frame(b, "o_norm").withColumnRenamed("at", "o_at"), 0.88, 2).collect()}
+    shared = lambda x, y: any(len(t) > 1 for t in set(x.split()) & set(y.split()))
+    want = {(x, y) for x in a for y in b if shared(x, y) and similar.overlap_similarity(x, y) >= 0.88}
+    assert len(want) > 40 and want <= got and len(got) < 4 * len(want)
+    scored = spark.createDataFrame(sorted(got), "a string, b string").withColumn("s", similar.overlap_similarities("a", "b", F.lit(0.88)))
+    assert {(x.a, x.b): x.s for x in scored.where("s >= 0.88").collect()} == {p: similar.overlap_similarity(*p) for p in want}
