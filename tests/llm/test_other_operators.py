@@ -598,3 +598,42 @@ def test_warc_of_large_payloads_and_of_no_pages(spark, tmp_path, monkeypatch):
     assert got == {i: (len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()) for i, t in pages.items()}
     frame.limit(0).write.parquet(str(tmp_path / "sf" / "pages.parquet"))
     assert queries.op9_warc(spark, str(tmp_path / "sf")).count() == 0
+
+
+def test_shifted_passages_equal_a_plain_search():
+    """Passages with inserted or deleted words, repeats among them, against sets of shingles tried place by place."""
+    import random
+
+    from tidewire.llm import substring_dedup as D
+
+    def plainly(a, b, at, bt):
+        lo, lo_b = max(0, at - D.LEAST + 1), max(0, bt - D.LEAST - D.SLIP + 1)
+        near = set(b[lo_b : bt + D.LEAST + D.SLIP])
+        held = [sum(v in near for v in a[s : s + D.LEAST]) for s in range(lo, min(at, len(a) - D.LEAST) + 1)]
+        if not held or max(held) < D.LEAST * 2 * D.SIMILARITY / (1 + D.SIMILARITY) - D.SLIP:
+            return None
+        s, best = lo + held.index(max(held)), None
+        x = set(a[s : s + D.LEAST])
+        for wide in range(-D.SLIP, D.SLIP + 1):
+            for t in range(s + bt - at - D.SLIP, s + bt - at + D.SLIP + 1):
+                if t >= 0 and t + D.LEAST + wide <= len(b):
+                    y = set(b[t : t + D.LEAST + wide])
+                    alike = len(x & y) / len(x | y)
+                    if alike >= D.SIMILARITY and (best is None or alike > best[3]):
+                        best = (s, s + D.LEAST, t - s, alike)
+        return best
+
+    r, found = random.Random(4), 0
+    for _ in range(1500):
+        kinds = r.choice([3, 30, 10**6])
+        a = [r.randrange(kinds) for _ in range(r.randint(40, 160))]
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            p = r.randrange(len(b))
+            b[p : p + r.randint(0, 2)] = [r.randrange(kinds) for _ in range(r.randint(0, 2))]
+        at = r.randrange(len(a))
+        bt = min(len(b) - 1, max(0, at + r.randint(-4, 4)))
+        got, want = D.shifted_passage(np.array(a, np.uint64), np.array(b, np.uint64), at, bt), plainly(a, b, at, bt)
+        assert got == want
+        found += want is not None
+    assert found > 500

@@ -158,6 +158,8 @@ def shifted_around(x: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Which rows of ``many`` share with x a near passage around the middle in which words were inserted or deleted."""
     lo, hi = ZONE - LEAST + 1, ZONE + LEAST
     out = np.zeros(len(many), bool)
+    if not len(many):
+        return out
     for one, two in ((x[None], many), (many, x[None])):
         inside = np.any([two[:, lo + d : hi + d] == one[:, lo:hi] for d in range(-SLIP, SLIP + 1)], axis=0) & (one[:, lo:hi] != 0)
         held = np.zeros((len(many), inside.shape[1] + 1), np.int16)
@@ -198,6 +200,8 @@ def forest(zones: np.ndarray) -> list[tuple[int, int]]:
             spans = zip(np.searchsorted(keys, mine, "left").tolist(), np.searchsorted(keys, mine, "right").tolist())
             some = np.concatenate([np.zeros(0, np.int64), *(owners[lo:hi][left[owners[lo:hi]]] for lo, hi in spans)])
             some = np.unique(some)
+        if not len(some):
+            continue
         near = alike_around(zones[at], zones[some])
         far = np.flatnonzero(~near)
         near[far] = shifted_around(zones[at], zones[some[far]])
@@ -365,26 +369,37 @@ def shifted_passage(a: np.ndarray, b: np.ndarray, at: int, bt: int) -> tuple[int
     """A shortest passage around the shingle whose sets of shingles are similar enough, though words were inserted or
     deleted in it."""
     lo, lo_b = max(0, at - LEAST + 1), max(0, bt - LEAST - SLIP + 1)
-    inside = np.isin(a[lo : at + LEAST], b[lo_b : bt + LEAST + SLIP])
+    inside = (a[lo : at + LEAST, None] == b[lo_b : bt + LEAST + SLIP]).any(1)
     if len(inside) < LEAST:
         return None
     held = np.cumsum(np.concatenate(([0], inside)))
     held = held[LEAST:] - held[:-LEAST]
     if held.max() < LEAST * 2 * SIMILARITY / (1 + SIMILARITY) - SLIP:
         return None
-    s, best = lo + int(held.argmax()), None
-    x = np.unique(a[s : s + LEAST])
-    for wide in range(-SLIP, SLIP + 1):
-        for slip in range(-SLIP, SLIP + 1):
-            t = s + bt - at + slip
-            if t < 0 or t + LEAST + wide > len(b):
-                continue
-            y = np.unique(b[t : t + LEAST + wide])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            alike = both / (len(x) + len(y) - both)
-            if alike >= SIMILARITY and (best is None or alike > best[3]):
-                best = (s, s + LEAST, t - s, alike)
-    return best
+    s = lo + int(held.argmax())
+    x, base = a[s : s + LEAST], s + bt - at
+    start = max(0, base - SLIP)
+    y = b[start : max(start, base + LEAST + 2 * SLIP)]
+    slips, inside = np.arange(-SLIP, SLIP + 1), (y[:, None] == x).any(1)
+    begins = base - start + slips
+    ends = begins + LEAST + slips[:, None]  # rows: how much longer the part of b is; columns: where it begins
+    to, here = np.minimum(np.maximum(ends, 0), len(y)), np.minimum(np.maximum(begins, 0), len(y))
+    if len(set(y.tolist())) == len(y):
+        held = np.concatenate(([0], np.cumsum(inside)))
+        own, both = to - here, held[to] - held[here]
+    else:  # a shingle counts in a part of b if it stands there for the first time
+        order = np.argsort(y, kind="stable")
+        before = np.full(len(y), -1)
+        before[order[1:]] = np.where(y[order[1:]] == y[order[:-1]], order[:-1], -1)
+        first = (before < begins[:, None]) & (np.arange(len(y)) >= begins[:, None])
+        sums = np.zeros((2, len(begins), len(y) + 1), np.int64)
+        np.cumsum(np.stack([first, first & inside]), axis=2, out=sums[:, :, 1:])
+        own, both = sums[:, np.arange(len(begins)), to]
+    alike = np.where((begins >= 0) & (ends <= len(y)), both / (len(set(x.tolist())) + own - both), -1)
+    best = int(alike.argmax())
+    if alike.flat[best] < SIMILARITY:
+        return None
+    return s, s + LEAST, int(base + slips[best % len(slips)] - s), float(alike.flat[best])
 
 
 def either_shifted(a: np.ndarray, b: np.ndarray, at: int, bt: int) -> tuple[int, int, int, float] | None:
