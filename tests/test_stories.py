@@ -141,6 +141,21 @@ def test_candidate_titles_lose_no_pair(spark):
     assert got == want and len(want) > 5
 
 
+def test_titles_that_must_share_tokens_meet_by_these_alone(spark, monkeypatch):
+    titles = sorted({r[2] for seed in (3, 5, 9) for r in random_rows(seed, 80) if r[2]} | {" ".join(WORDS[i % 5 :] + WORDS[: i % 3]) for i in range(9)})
+    frame = spark.createDataFrame([("", i % 2, t) for i, t in enumerate(titles)], "scope string, band long, title string")
+    sent, held = [], []
+    send, settle = spark.sparkContext.broadcast, similar.settled
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: sent.append(v) or send(v))
+    monkeypatch.setattr(similar, "settled", lambda df: held.append(settle(df)) or held[-1])
+    for least, jaccard in ((0.9, 0.5), (0.7, 0.8)):
+        got = {(r.a, r.b): r.similarity for r in similar.similar_titles(frame, least, jaccard).collect()}
+        shared = lambda a, b: bool(tokens(a) and tokens(b)) and len(tokens(a) & tokens(b)) >= jaccard * len(tokens(a) | tokens(b)) - 1e-12
+        assert got == {(a, b): alike(a, b) for a in titles for b in titles if a != b and shared(a, b) and alike(a, b) >= least and not parted(a, b)} and got
+        assert sent[-1] and all(gram.startswith("t") for gram in sent[-1])
+        assert held[-1].where(F.greatest("s.ab", "s.ba") < least).isEmpty()
+
+
 def test_short_titles_are_not_paired_with_each_other(spark):
     titles = [f"openai note {i}" for i in range(100, 160)] + [f"openai note about the number {i}" for i in range(100, 110)]
     frame = spark.createDataFrame([("", i % 2, t, mergeable(t)) for i, t in enumerate(titles)], "scope string, band long, title string, open boolean")
