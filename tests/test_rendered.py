@@ -123,3 +123,18 @@ def test_creator_posts_pass_on_in_slices(spark):
     frame = spark.createDataFrame([(m,) for m in made], "payload string").coalesce(1)
     posts = services.creator_posts(frame, "tikhub_douyin", R.now())
     assert posts.count() == posts.select("post_id").distinct().count() == 3 * (services.SLICE - 1)
+
+
+def test_repeated_posts_are_found_without_a_broadcast(spark, tmp_path, capsys):
+    import json
+
+    from tidewire.sources import services
+
+    post = lambda i, text="said": {"id_str": str(i), "full_text": text, "user": {"screen_name": "u"}}
+    pages = [(1, [post(1), post(2), post(1), post(3, " ")]), (2, [post(2), post(4), {"full_text": "no id"}]), (2, [post(5)]), (3, [post(1)] * 3)]
+    spark.createDataFrame([(n, json.dumps({"tweets": t})) for n, t in pages], "page long, payload string").write.parquet(str(tmp_path / "p"))
+    tagged = services.tagged_posts(spark.read.parquet(str(tmp_path / "p")), R.now())
+    got = sorted((r.page, r.pos, r.post_id or "", r.skipped or "") for r in tagged.collect())
+    assert got == [(1, 0, "1", ""), (1, 1, "2", ""), (1, 2, "1", "duplicate"), (1, 3, "3", "empty"), (2, 0, "2", "duplicate"), (2, 0, "5", ""), (2, 1, "4", ""), (2, 2, "", "empty"), *[(3, i, "1", "duplicate") for i in range(3)]]
+    tagged.explain()
+    assert "Broadcast" not in capsys.readouterr().out

@@ -102,9 +102,11 @@ def tagged_posts(payloads: DataFrame, now: Column, followed: bool = False, exclu
         why = F.when(empty, "empty")
     name = F.coalesce(who, F.lit("i/web"))
     made = rows.select("page", "pos", why.alias("skipped"), pid.alias("post_id"), F.lit("socialdata_x").alias("site_id"), F.lit("SocialData X").alias("site_name"), F.concat(F.lit("@"), name).alias("source"), title.alias("title"), F.concat(F.lit("https://x.com/"), name, F.lit("/status/"), pid).alias("url"), at.alias("published"))
-    first = made.where("skipped is null").groupBy("post_id").agg(F.min(F.struct("page", "pos")).alias("first"))
-    both = made.join(first, "post_id", "left")
-    again = F.col("skipped").isNull() & (F.struct("page", "pos") != F.col("first"))
+    first = made.where("skipped is null").groupBy("post_id").agg(F.min(F.struct("page", "pos")).alias("first")).select("first.*", "post_id", F.lit(True).alias("_first"))
+    # A row for each post: never broadcast, whatever the size of the files lets the planner expect. Rows meet by place, so
+    # a post that is repeated often doesn't meet in one task.
+    both = made.join(first.hint("merge"), ["page", "pos", "post_id"], "left")
+    again = F.col("skipped").isNull() & F.col("_first").isNull()
     return both.withColumn("skipped", F.when(again, "duplicate").otherwise(F.col("skipped"))).select(*made.columns)
 
 
