@@ -138,3 +138,29 @@ def test_repeated_posts_are_found_without_a_broadcast(spark, tmp_path, capsys):
     assert got == [(1, 0, "1", ""), (1, 1, "2", ""), (1, 2, "1", "duplicate"), (1, 3, "3", "empty"), (2, 0, "2", "duplicate"), (2, 0, "5", ""), (2, 1, "4", ""), (2, 2, "", "empty"), *[(3, i, "1", "duplicate") for i in range(3)]]
     tagged.explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_identities_of_stories_are_read_once_and_not_broadcast(spark, tmp_path, capsys):
+    from tidewire.functions import items as I
+    from tidewire.operators import query
+
+    item = "struct<id: string, title: string, title_zh: string, url: string, source: string>"
+    rows = [
+        (1, "OpenAI ships", "u1", ("i1", "OpenAI ships", None, "u2", ""), [("i1", "OpenAI ships", "", "u1", None), ("", None, "《新的大模型》发布", None, "x")]),
+        (2, "Another day", None, None, None),
+        (3, None, "u2", None, [(None, None, None, None, None)]),
+        (4, "Quiet week", "u4", None, [("i4", "uncensored pictures and nsfw nudes by AI", None, None, "s")]),
+    ]
+    spark.createDataFrame(rows, f"story_id long, title string, url string, primary_item {item}, items array<{item}>").write.parquet(str(tmp_path / "s"))
+    s = spark.read.parquet(str(tmp_path / "s"))
+    title = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("title_zh", "title", "title_en", "title_original")])
+    keys = F.array_compact(F.array(F.concat(F.lit("url:"), F.nullif("url", F.lit(""))), F.concat(F.lit("id:"), F.nullif("id", F.lit(""))), F.when(title.isNotNull(), F.concat(F.lit("event:"), I.event_key(title))), F.when(title.isNotNull(), F.concat(F.lit("title:"), F.substring(I.event_text(title), 1, 34)))))
+    want = {tuple(r) for r in query.story_refs(s).select("story_id", F.explode(keys)).collect()}
+    got = [tuple(r) for r in query.identity_keys(s).collect()]
+    assert set(got) == want and len(got) == len(want) > 12
+    bad = {r.story_id for r in query.story_refs(s).where(query.unsafe()).collect()}
+    assert bad == {4} and {r.story_id for r in query.safe_stories(s).collect()} == {1, 2, 3}
+    pools = query.story_pools(s.where("story_id = 1"), s, spark.createDataFrame([], "id string, url string"), query.ViewQuery())
+    assert {k: {r.story_id for r in df.collect()} for k, df in pools.items()} == {"brief": {1}, "merged": {1, 2, 3}, "followup": {2}}
+    pools["followup"].explain()
+    assert "Broadcast" not in capsys.readouterr().out

@@ -38,8 +38,11 @@ class ViewQuery:
         return self.section == "hot" and not (self.site or self.author or self.source_type or self.level or self.text.strip())
 
 
+UNSAFE = ("title", "title_zh", "title_en", "title_original", "source", "source_name")
+
+
 def unsafe(rules: Rules = NEWS, *names: str) -> Column:
-    return is_unsafe(F.lower(_text(*(names or ("title", "title_zh", "title_en", "title_original", "source", "source_name")))), rules)
+    return is_unsafe(F.lower(_text(*(names or UNSAFE))), rules)
 
 
 def shown_items(items: DataFrame, now: Column, rules: Rules = NEWS) -> DataFrame:
@@ -160,9 +163,8 @@ def authors(items: DataFrame) -> DataFrame:
 REF = "struct<id: string, title: string, title_zh: string, title_en: string, title_original: string, source: string, source_name: string, url: string>"
 
 
-def story_refs(stories: DataFrame) -> DataFrame:
-    """(story_id, ref columns): the story itself, its primary item and its items (arrays of structs with fields of
-    ``REF``)."""
+def held_refs(stories: DataFrame) -> Column:
+    """The refs of a story: itself, its primary item and its items, an array."""
     names = ["id", "title", "title_zh", "title_en", "title_original", "source", "source_name", "url"]
 
     def ref(of: Column, fields: list[str]) -> Column:
@@ -175,20 +177,33 @@ def story_refs(stories: DataFrame) -> DataFrame:
         refs.append(F.array(ref(F.col("primary_item"), kinds["primary_item"].names)))
     if "items" in kinds:
         refs.append(F.transform(F.coalesce("items", F.array().cast(kinds["items"])), lambda x: ref(x, kinds["items"].elementType.names)))
-    return stories.select("story_id", F.explode(F.concat(*refs)).alias("r")).select("story_id", "r.*")
+    return F.concat(*refs)
+
+
+def story_refs(stories: DataFrame) -> DataFrame:
+    """(story_id, ref columns): the story itself, its primary item and its items (arrays of structs with fields of
+    ``REF``)."""
+    return stories.select("story_id", F.explode(held_refs(stories)).alias("r")).select("story_id", "r.*")
 
 
-def identity_keys(refs: DataFrame) -> DataFrame:
-    """(story_id, key): what tells that two stories are the same: addresses, ids, events and heads of titles."""
-    title = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("title_zh", "title", "title_en", "title_original")])
-    keys = F.array_compact(F.array(F.concat(F.lit("url:"), F.nullif("url", F.lit(""))), F.concat(F.lit("id:"), F.nullif("id", F.lit(""))), F.when(title.isNotNull(), F.concat(F.lit("event:"), I.event_key(title))), F.when(title.isNotNull(), F.concat(F.lit("title:"), F.substring(I.event_text(title), 1, 34)))))
-    return refs.select("story_id", F.explode(keys).alias("key")).distinct()
+def identity_keys(stories: DataFrame) -> DataFrame:
+    """(story_id, key), some repeated: what tells that two stories are the same: addresses, ids, events and heads of
+    titles. A story's items often bear its own title, so each of its titles is read once."""
+    refs = stories.select("story_id", held_refs(stories).alias("refs"))
+    known = lambda c: F.filter(F.transform("refs", c), lambda v: v.isNotNull())
+    given = lambda r, n: F.nullif(r.getField(n), F.lit(""))
+    title = lambda r: F.coalesce(*[given(r, n) for n in ("title_zh", "title", "title_en", "title_original")])
+    places = F.concat(known(lambda r: F.concat(F.lit("url:"), given(r, "url"))), known(lambda r: F.concat(F.lit("id:"), given(r, "id"))))
+    read = F.array_compact(F.array(F.concat(F.lit("event:"), I.event_key(F.col("title"))), F.concat(F.lit("title:"), F.substring(I.event_text(F.col("title")), 1, 34))))
+    titles = refs.select("story_id", F.explode(F.array_distinct(known(title))).alias("title")).select("story_id", F.explode(read).alias("key"))
+    return refs.select("story_id", F.explode(F.array_distinct(places)).alias("key")).unionByName(titles)
 
 
 def safe_stories(stories: DataFrame, rules: Rules = NEWS) -> DataFrame:
     """The stories none of whose nested references is unsafe."""
-    bad = story_refs(stories).where(unsafe(rules)).select("story_id").distinct()
-    return stories.join(bad, "story_id", "left_anti")
+    texts = F.transform(held_refs(stories), lambda r: F.lower(F.concat_ws(" ", *[F.nullif(r.getField(n), F.lit("")) for n in UNSAFE])))
+    bad = stories.select("story_id", F.explode(F.array_distinct(texts)).alias("text")).where(is_unsafe(F.col("text"), rules)).select("story_id").distinct()
+    return stories.join(bad.hint("merge"), "story_id", "left_anti")
 
 
 def matching_stories(stories: DataFrame, items: DataFrame, q: ViewQuery) -> DataFrame:
@@ -204,9 +219,10 @@ def matching_stories(stories: DataFrame, items: DataFrame, q: ViewQuery) -> Data
 def story_pools(brief: DataFrame, merged: DataFrame, items: DataFrame, q: ViewQuery, rules: Rules = NEWS) -> dict[str, DataFrame]:
     """brief, merged and followup (merged stories that share no identity with a brief one), for a query's items."""
     shown, all_ = (matching_stories(safe_stories(s, rules), items, q) for s in (brief, merged))
-    taken = identity_keys(story_refs(shown)).select("key").distinct()
-    seen = identity_keys(story_refs(all_)).join(taken, "key", "left_semi").select("story_id").distinct()
-    return {"brief": shown, "merged": all_, "followup": all_.join(seen, "story_id", "left_anti")}
+    # Both grow with the stories, so they aren't broadcast, whatever the size of the files lets the planner expect.
+    taken = identity_keys(shown).select("key").distinct()
+    seen = identity_keys(all_).join(taken.hint("shuffle_hash"), "key", "left_semi").select("story_id").distinct()
+    return {"brief": shown, "merged": all_, "followup": all_.join(seen.hint("merge"), "story_id", "left_anti")}
 
 
 def ranked_stories(stories: DataFrame, now: Column, view_: str = "hot") -> DataFrame:
