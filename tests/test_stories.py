@@ -174,6 +174,19 @@ def test_suppression_pairs_no_two_short_titles(spark, monkeypatch):
     assert found[0].isEmpty()
 
 
+def test_suppression_meets_every_kept_row_of_the_window(spark):
+    one, between, short = (f"alphaalpha bravobravo charliecharlie {end}" for end in ("delta echo", "delt e f g", "d e f g"))
+    titles = [one] + [short] * 70 + [one, between]
+    rows = [(i, "s", t, "", NOW + dt.timedelta(minutes=i), 1, 0.5) for i, t in enumerate(titles)]
+    # Similar in one direction alone, whatever their order as strings.
+    x, y = "golf ehtl hotle delta bravo", "golf hotel hotel delta bravo"
+    assert alike(one, short) < 0.9 <= min(alike(one, between), alike(between, short)) and alike(x, y) < 0.9 <= alike(y, x)
+    rows += [(100, "t", x, "", NOW, 1, 0.5), (101, "t", y, "", NOW + dt.timedelta(minutes=5), 1, 0.5), (102, "u", y, "", NOW, 1, 0.5), (103, "u", x, "", NOW + dt.timedelta(minutes=5), 1, 0.5)]
+    frame = spark.createDataFrame(rows, "id long, site_id string, title string, url string, event_time timestamp, tier_rank int, score double")
+    kept = {r.id for r in stories.suppress_near_duplicates(frame).collect()}
+    assert kept == plain_suppression([(i, s, t, at, k, sc) for i, s, t, _, at, k, sc in rows]) and 71 not in kept and 101 not in kept and {102, 103} <= kept
+
+
 def plain_diverse(rows, limit):
     """rows: (story_id, source, title, score)."""
     left, picked, used = sorted(rows, key=lambda r: (-r[3], r[2], r[0])), [], {}
