@@ -1,6 +1,7 @@
 """Stories, suppression, diverse picks and overlap against plain replays of their definitions."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 from difflib import SequenceMatcher
@@ -285,6 +286,27 @@ def test_overlap_candidates_are_few_and_lose_no_copy(spark):
     assert {(x.a, x.b): x.s for x in scored.where("s >= 0.88").collect()} == {p: similar.overlap_similarity(*p) for p in want}
 
 
+def test_token_overlap_shuffles_no_strings_for_each_token(spark):
+    r = random.Random(4)
+    words = [hashlib.sha512(str(i).encode()).hexdigest() for i in range(400)]
+    rows = lambda n, at: spark.createDataFrame([(at + i, r.sample(words, 60)) for i in range(n)], "id long, tokens array<string>")
+    a, b = rows(20, 0), rows(200, 1000)
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large to be broadcast
+    try:
+        before = written()
+        assert evaluate.token_overlap(a, b).count() == 0
+        # The sets' strings are 1.7 MB; a copy of a set for each of its tokens would be 60 times that.
+        assert 0 < written() - before < 15_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_token_overlap_equals_a_plain_search(spark):
     r = random.Random(8)
     sets = lambda n, at: [(at + i, sorted({f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randint(0, 9))})) for i in range(n)]
