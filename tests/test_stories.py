@@ -188,6 +188,30 @@ def test_suppression_meets_every_kept_row_of_the_window(spark):
     assert kept == plain_suppression([(i, s, t, at, k, sc) for i, s, t, _, at, k, sc in rows]) and 71 not in kept and 101 not in kept and {102, 103} <= kept
 
 
+def test_crowds_of_titles_are_not_paired(spark, monkeypatch):
+    """Titles that begin alike are settled without their pairs; leaders are met however many came and went."""
+    rng = random.Random(7)
+    ends = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(3)) for _ in range(60)]
+    titles = [f"openai releases new model for developers {e}" for e in ends] + [f"openai releases {e}" for e in ends[:20]]
+    rows = [(i, t, "", NOW + dt.timedelta(minutes=12 * i), 0) for i, t in enumerate(titles)]
+    found = []
+    monkeypatch.setattr(similar, "similar_titles", lambda *a, real=similar.similar_titles: found.append(real(*a)) or found[-1])
+    monkeypatch.setattr(stories, "similar_titles", similar.similar_titles)
+    frame = spark.createDataFrame(rows, "id long, title string, url string, event_time timestamp, tier_rank int")
+    got = {r.id: r.leader for r in stories.story_clusters(frame).collect()}
+    assert got == plain_stories(rows) and len(set(got.values())) < len(got) - 20
+    assert len(found) == 1 and found[0].isEmpty()
+    held = similar.Leaders()
+    for i in range(1000):
+        late = 300 if i < 600 else 1
+        bag = similar.leader_bag(title := f"a title of the number {i}")
+        assert [x for x in held.alike(i, late, bag, len(title), 0.1)] == list(range(max(0, i - late), i))
+        held.add(i, i, bag, len(title))
+    for i in range(2000, 2600):  # all older ones are gone
+        assert held.alike(i * 10, 1, bag, len(title), 0.1) == []
+        held.add(i, i * 10, bag, len(title))
+
+
 def plain_diverse(rows, limit):
     """rows: (story_id, source, title, score)."""
     left, picked, used = sorted(rows, key=lambda r: (-r[3], r[2], r[0])), [], {}
