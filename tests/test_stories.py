@@ -331,6 +331,19 @@ def test_token_overlap_shuffles_no_strings_for_each_token(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_short_texts_are_left_out_by_short_runs(monkeypatch):
+    """Texts of one language under 200 characters: bounds by runs leave few pairs for the common subsequence, and no pair is lost."""
+    rng = random.Random(11)
+    parts = [rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice(["", "n", "r"]) for _ in range(60)]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(28))[:160] for _ in range(60)]
+    texts += [t[:i] + "x" + t[i + 3 :] for i, t in enumerate(texts[:20])]
+    counted = []
+    monkeypatch.setattr(similar, "longest_common", lambda a, b, real=similar.longest_common: counted.append(1) or real(a, b))
+    got = {tuple(p) for p in similar.alike_in_block(texts, texts, 0.8795).tolist()}
+    met, want = len(counted), {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if SequenceMatcher(None, a, b).ratio() >= 0.8795}
+    assert want <= got and len(want) >= 120 and met < 500
+
+
 def test_token_overlap_equals_a_plain_search(spark):
     r = random.Random(8)
     sets = lambda n, at: [(at + i, sorted({f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randint(0, 9))})) for i in range(n)]
